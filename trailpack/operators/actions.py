@@ -10,7 +10,13 @@ from ..schemas import ACTION_ATC, ACTION_CLICK, ACTION_ORDER
 
 
 def _actions(
-    feed: DataFrame, item: str, occurred_at: Column, code: int, source: str, strict: bool
+    feed: DataFrame,
+    item: str,
+    occurred_at: Column,
+    code: int,
+    source: str,
+    strict: bool,
+    keep: tuple[str, ...],
 ) -> DataFrame:
     return feed.select(
         lenient_cast(F.col("customer_id"), "bigint", strict).alias("customer_id"),
@@ -20,23 +26,30 @@ def _actions(
         F.lit(source).alias("source"),
         # The day always follows from the event time; the feed's own dt is not trusted.
         F.to_date(occurred_at).alias("action_date"),
+        *keep,
     )
 
 
-def click_actions(clicks: DataFrame, *, strict: bool = False) -> DataFrame:
+def click_actions(
+    clicks: DataFrame, *, strict: bool = False, keep: tuple[str, ...] = ()
+) -> DataFrame:
     at = lenient_cast(F.col("click_time"), "timestamp", strict)
-    return _actions(clicks, "item_id", at, ACTION_CLICK, "clicks", strict)
+    return _actions(clicks, "item_id", at, ACTION_CLICK, "clicks", strict, keep)
 
 
-def atc_actions(atc: DataFrame, *, strict: bool = False) -> DataFrame:
+def atc_actions(
+    atc: DataFrame, *, strict: bool = False, keep: tuple[str, ...] = ()
+) -> DataFrame:
     at = lenient_cast(F.col("occurred_at"), "timestamp", strict)
-    return _actions(atc, "config_id", at, ACTION_ATC, "atc", strict)
+    return _actions(atc, "config_id", at, ACTION_ATC, "atc", strict, keep)
 
 
-def order_actions(orders: DataFrame, *, strict: bool = False) -> DataFrame:
+def order_actions(
+    orders: DataFrame, *, strict: bool = False, keep: tuple[str, ...] = ()
+) -> DataFrame:
     # Orders know their day only and count as midnight. A null day stays null.
     at = lenient_cast(F.col("order_date"), "date", strict).cast("timestamp")
-    return _actions(orders, "config_id", at, ACTION_ORDER, "orders", strict)
+    return _actions(orders, "config_id", at, ACTION_ORDER, "orders", strict, keep)
 
 
 def build_actions_union(

@@ -7,17 +7,27 @@ from pyspark.sql import DataFrame
 from .impressions import explode_items, normalize_impressions
 
 
-def join_impressions_with_histories(impressions_df: DataFrame, histories_df: DataFrame) -> DataFrame:
-    """Every impression row with the arrays of its (day, customer).
+CONTEXT = ["as_of_date", "customer_id"]
+
+
+def attach_histories(impressions: DataFrame, histories: DataFrame) -> DataFrame:
+    """Every normalised impression row with all history columns of its (day, customer).
 
     Impressions without a day or customer match nothing and get null arrays. Both sides shuffle on
     the full key, so AQE can split a context that holds a large share of the impressions.
     """
+    carried = [c for c in histories.columns if c not in CONTEXT]
+    return impressions.join(histories, CONTEXT, "left").select(
+        "as_of_date", "ranking_id", "customer_id", "impressions", *carried
+    )
+
+
+def join_impressions_with_histories(impressions_df: DataFrame, histories_df: DataFrame) -> DataFrame:
+    """Raw or normalised impressions with ``actions`` and ``action_types``."""
     raw = "dt" in impressions_df.columns or "as_of_date" not in impressions_df.columns
     impressions = normalize_impressions(impressions_df) if raw else impressions_df
-    return impressions.join(histories_df, ["as_of_date", "customer_id"], "left").select(
-        "as_of_date", "ranking_id", "customer_id", "impressions", "actions", "action_types"
-    )
+    histories = histories_df.select(*CONTEXT, "actions", "action_types")
+    return attach_histories(impressions, histories)
 
 
 def build_training_examples(

@@ -107,11 +107,13 @@ def packed_histories(
     salts: int = DEFAULT_SALTS,
     as_of_range: tuple[date, date] | None = None,
     keep_times: bool = False,
+    keep_days: bool = False,
 ) -> DataFrame:
-    """Histories before padding: (as_of_date, customer_id, actions, action_types[, action_times]).
+    """Histories before padding: (as_of_date, customer_id, actions, action_types).
 
     One row per distinct context, with empty arrays where nothing is in reach. This is the form to
-    shuffle; padding belongs after the last exchange.
+    shuffle; padding belongs after the last exchange. For audits, ``keep_times`` adds the times of
+    the kept actions and ``keep_days`` the newest and oldest day the window was filled from.
     """
     contexts = contexts_df.select("as_of_date", "customer_id")
     reach = actions_in_reach(actions_union_df, contexts, lookback_days, as_of_range)
@@ -121,9 +123,20 @@ def packed_histories(
     asked = contexts.groupBy("customer_id").agg(
         F.collect_set(F.struct("as_of_date")).alias("asked")
     )
-    columns = {"actions": ("items", "array<int>"), "action_types": ("codes", "array<int>")}
+    arrays = {"actions": ("items", "array<int>"), "action_types": ("codes", "array<int>")}
     if keep_times:
-        columns["action_times"] = ("times", "array<timestamp>")
+        arrays["action_times"] = ("times", "array<timestamp>")
+
+    def newest(win: Column, part: str, kind: str) -> Column:
+        merged = F.slice(F.flatten(win[part]), 1, max_actions)
+        return F.coalesce(merged, F.array().cast(kind))
+
+    def columns_of(win: Column) -> dict[str, Column]:
+        made = {name: newest(win, part, kind) for name, (part, kind) in arrays.items()}
+        if keep_days:
+            made["newest_day"] = F.get(win["day"], F.lit(0))
+            made["oldest_day"] = F.try_element_at(win["day"], F.lit(-1))
+        return made
 
     windows = F.transform(
         "asked",
@@ -133,19 +146,11 @@ def packed_histories(
         windows,
         lambda w: F.struct(
             w["as_of_date"].alias("as_of_date"),
-            *[
-                F.coalesce(
-                    F.slice(F.flatten(w["win"][part]), 1, max_actions), F.array().cast(kind)
-                ).alias(name)
-                for name, (part, kind) in columns.items()
-            ],
+            *[made.alias(name) for name, made in columns_of(w["win"]).items()],
         ),
     )
-    return (
-        asked.join(days, "customer_id", "left")
-        .select("customer_id", F.inline(histories))
-        .select("as_of_date", "customer_id", *columns)
-    )
+    built = asked.join(days, "customer_id", "left").select("customer_id", F.inline(histories))
+    return built.select("as_of_date", "customer_id", *built.columns[2:])
 
 
 def pad_histories(df: DataFrame, max_actions: int) -> DataFrame:

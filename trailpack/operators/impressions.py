@@ -19,13 +19,16 @@ def as_of_day(impressions: DataFrame, strict: bool = False) -> Column:
     )
 
 
-def normalize_impressions(impressions_df: DataFrame, *, strict: bool = False) -> DataFrame:
+def normalize_impressions(
+    impressions_df: DataFrame, *, strict: bool = False, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """Raw or already normalised impressions as (as_of_date, ranking_id, customer_id, impressions)."""
     return impressions_df.select(
         as_of_day(impressions_df, strict).alias("as_of_date"),
         F.col("ranking_id").cast("string").alias("ranking_id"),
         lenient_cast(F.col("customer_id"), "bigint", strict).alias("customer_id"),
         F.col("impressions"),
+        *keep,
     )
 
 

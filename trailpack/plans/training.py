@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 
 from ..operators.actions import build_actions_union
-from ..operators.examples import join_impressions_with_histories
+from ..operators.examples import attach_histories
 from ..operators.histories import DEFAULT_SALTS, packed_histories, pad_histories
 from ..operators.impressions import explode_items, normalize_impressions
 from ..schemas import DEFAULT_LOOKBACK_DAYS, DEFAULT_MAX_ACTIONS
@@ -21,6 +21,7 @@ def unpadded_inputs(
     lookback_days: int,
     salts: int = DEFAULT_SALTS,
     as_of_range: tuple[date, date] | None = None,
+    keep_days: bool = False,
 ) -> DataFrame:
     """Normalised impressions with arrays as long as the history is: cheap to shuffle."""
     histories = packed_histories(
@@ -30,8 +31,9 @@ def unpadded_inputs(
         lookback_days=lookback_days,
         salts=salts,
         as_of_range=as_of_range,
+        keep_days=keep_days,
     )
-    return join_impressions_with_histories(impressions, histories)
+    return attach_histories(impressions, histories)
 
 
 def finish_inputs(unpadded: DataFrame, max_actions: int, explode: bool) -> DataFrame:

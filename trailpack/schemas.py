@@ -15,20 +15,21 @@ DEFAULT_LOOKBACK_DAYS = 365
 DEFAULT_TRAIN_DAYS = 14
 
 
-def _table(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+def _table(**columns: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, dtype) for name, dtype in columns.items()])
 
 
+_text, _id, _int, _day = T.StringType(), T.LongType(), T.IntegerType(), T.DateType()
+_ints = T.ArrayType(_int)
+_shown = T.ArrayType(_table(item_id=_int, is_order=T.BooleanType()))
+
 # Raw feeds. Event times stay text here and are parsed when actions are built.
-impressions_schema = _table(
-    "dt string, ranking_id string, customer_id bigint, "
-    "impressions array<struct<item_id: int, is_order: boolean>>"
-)
-clicks_schema = _table("dt string, customer_id bigint, item_id int, click_time string")
+impressions_schema = _table(dt=_text, ranking_id=_text, customer_id=_id, impressions=_shown)
+clicks_schema = _table(dt=_text, customer_id=_id, item_id=_int, click_time=_text)
 atc_schema = _table(
-    "dt string, customer_id bigint, config_id int, simple_id string, occurred_at string"
+    dt=_text, customer_id=_id, config_id=_int, simple_id=_text, occurred_at=_text
 )
-orders_schema = _table("order_date string, customer_id bigint, config_id int")
+orders_schema = _table(order_date=_text, customer_id=_id, config_id=_int)
 
 FEED_SCHEMAS = {
     "impressions": impressions_schema,
@@ -39,19 +40,29 @@ FEED_SCHEMAS = {
 
 # Derived tables.
 actions_union_schema = _table(
-    "customer_id bigint, item_id int, occurred_at timestamp, action_type int, "
-    "source string, action_date date"
-)
-histories_schema = _table(
-    "as_of_date date, customer_id bigint, actions array<int>, action_types array<int>"
+    customer_id=_id,
+    item_id=_int,
+    occurred_at=T.TimestampType(),
+    action_type=_int,
+    source=_text,
+    action_date=_day,
 )
+histories_schema = _table(as_of_date=_day, customer_id=_id, actions=_ints, action_types=_ints)
 # A run directory is partitioned by day, so the day comes back as the last column.
 training_output_schema = _table(
-    "ranking_id string, customer_id bigint, "
-    "impressions array<struct<item_id: int, is_order: boolean>>, "
-    "actions array<int>, action_types array<int>, as_of_date date"
+    ranking_id=_text,
+    customer_id=_id,
+    impressions=_shown,
+    actions=_ints,
+    action_types=_ints,
+    as_of_date=_day,
 )
 exploded_output_schema = _table(
-    "ranking_id string, customer_id bigint, impression_item_id int, is_order boolean, "
-    "actions array<int>, action_types array<int>, as_of_date date"
+    ranking_id=_text,
+    customer_id=_id,
+    impression_item_id=_int,
+    is_order=T.BooleanType(),
+    actions=_ints,
+    action_types=_ints,
+    as_of_date=_day,
 )
