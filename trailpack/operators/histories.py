@@ -1,18 +1,17 @@
 """The last N actions before each (day, customer), packed into two parallel arrays.
 
 A look-back window holds whole days, so no context can need more than the newest N actions of any
-one day. That gives an exact bound on what has to be gathered per customer, however many actions the
-customer has:
+one day. That bounds exactly what has to be gathered per customer, however many actions there are:
 
 1. newest N per (customer, day, salt): limited once inside each map task, before the shuffle, and
    once after it. The salt is the number of the map task modulo ``salts``: what one task holds of a
    day stays together, and a day with a third of all actions spreads over ``salts`` reducers.
-2. by customer: the salted pieces of a day merge to its newest N (at most N x salts entries at a
-   time), and the days of a customer become one array, newest day first.
-3. each customer's days meet the list of days asked for, one row to one row. Every asked day picks
-   its window from the day array; actions are never paired with contexts.
+2. by customer, together with one marker row per day asked for: the salted pieces of a day merge to
+   its newest N, and running counts over the days give each marker where its window starts and ends
+   in the customer's actions, newest first.
+3. per customer one array of actions; every marker cuts its slice out of it.
 
-All steps after the second shuffle keep the partitioning by customer.
+Actions are never paired with contexts. One sort by customer and day serves all of steps 2 and 3.
 """
 
 from __future__ import annotations
@@ -74,27 +73,58 @@ def newest_per_day(actions: DataFrame, max_actions: int, salts: int = DEFAULT_SA
     )
 
 
-def packed_days(newest: DataFrame, max_actions: int, keep_times: bool = False) -> DataFrame:
-    """One row per customer: its days with their newest actions, newest day first."""
-    merged = (
-        newest.repartition("customer_id")
-        .groupBy("customer_id", "day")
-        .agg(F.sort_array(F.collect_list(F.struct(*RECENCY)), asc=False).alias("entries"))
-        .withColumn("entries", F.slice("entries", 1, max_actions))
-    )
-    parts = {"items": "item_id", "codes": "action_type"}
-    if keep_times:
-        parts["times"] = "occurred_at"
-    day = F.struct("day", *[F.col("entries")[field].alias(name) for name, field in parts.items()])
-    return merged.groupBy("customer_id").agg(
-        F.sort_array(F.collect_list(day), asc=False).alias("days")
-    )
+def _age(day: Column) -> Column:
+    """Ascending from the newest day to the oldest."""
+    return -F.unix_date(day)
 
 
-def _window_of(asked: Column, lookback_days: int) -> Column:
-    day = asked["as_of_date"]
-    return F.filter(
-        "days", lambda d: (d["day"] < day) & (d["day"] >= F.date_sub(day, lookback_days))
+def customer_timelines(
+    newest: DataFrame, contexts: DataFrame, max_actions: int, lookback_days: int
+) -> DataFrame:
+    """One row per customer asked for: ``entries``, newest first, and ``asked``.
+
+    ``asked`` holds the days with ``skip``, the entries on or after the day, and ``length``, how many
+    of the following ones belong to its history. ``entries`` has at most ``max_actions`` per day.
+    """
+    recency = [newest.schema[c] for c in RECENCY]
+    acted = newest.select(
+        "customer_id",
+        _age(F.col("day")).alias("age"),
+        *RECENCY,
+        F.lit(None).cast("date").alias("as_of_date"),
+        F.lit(1).alias("acted"),
+    )
+    markers = contexts.distinct().select(
+        "customer_id",
+        _age(F.col("as_of_date")).alias("age"),
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in recency],
+        "as_of_date",
+        F.lit(0).alias("acted"),
+    )
+    in_day = Window.partitionBy("customer_id", "age").orderBy(*[F.desc(c) for c in RECENCY])
+    by_age = Window.partitionBy("customer_id").orderBy("age")
+    until_day = by_age.rangeBetween(Window.unboundedPreceding, 0)
+    until_oldest = by_age.rangeBetween(Window.unboundedPreceding, lookback_days)
+    is_action = F.col("acted") == 1
+
+    # Markers sort behind the actions of their day, so they take no rank away from them.
+    counted = (
+        acted.unionByName(markers)
+        .repartition("customer_id")
+        .withColumn("nth", F.row_number().over(in_day))
+        .where(~is_action | (F.col("nth") <= max_actions))
+        .withColumn("skip", F.sum("acted").over(until_day).cast("int"))
+        .withColumn("until", F.sum("acted").over(until_oldest).cast("int"))
+    )
+    length = F.least(F.col("until") - F.col("skip"), F.lit(max_actions)).alias("length")
+    return (
+        counted.groupBy("customer_id")
+        .agg(
+            F.collect_list(F.when(is_action, F.struct(*RECENCY))).alias("entries"),
+            F.collect_list(F.when(~is_action, F.struct("as_of_date", "skip", length))).alias("asked"),
+        )
+        .where(F.size("asked") > 0)
+        .withColumn("entries", F.sort_array("entries", asc=False))
     )
 
 
@@ -113,44 +143,37 @@ def packed_histories(
 
     One row per distinct context, with empty arrays where nothing is in reach. This is the form to
     shuffle; padding belongs after the last exchange. For audits, ``keep_times`` adds the times of
-    the kept actions and ``keep_days`` the newest and oldest day the window was filled from.
+    the kept actions and ``keep_days`` the days of the newest and the oldest of them.
     """
     contexts = contexts_df.select("as_of_date", "customer_id")
     reach = actions_in_reach(actions_union_df, contexts, lookback_days, as_of_range)
-    days = packed_days(newest_per_day(reach, max_actions, salts), max_actions, keep_times)
-
-    # A customer's distinct days, combined before the shuffle. The struct keeps a null day.
-    asked = contexts.groupBy("customer_id").agg(
-        F.collect_set(F.struct("as_of_date")).alias("asked")
+    timelines = customer_timelines(
+        newest_per_day(reach, max_actions, salts), contexts, max_actions, lookback_days
     )
-    arrays = {"actions": ("items", "array<int>"), "action_types": ("codes", "array<int>")}
-    if keep_times:
-        arrays["action_times"] = ("times", "array<timestamp>")
-
-    def newest(win: Column, part: str, kind: str) -> Column:
-        merged = F.slice(F.flatten(win[part]), 1, max_actions)
-        return F.coalesce(merged, F.array().cast(kind))
-
-    def columns_of(win: Column) -> dict[str, Column]:
-        made = {name: newest(win, part, kind) for name, (part, kind) in arrays.items()}
-        if keep_days:
-            made["newest_day"] = F.get(win["day"], F.lit(0))
-            made["oldest_day"] = F.try_element_at(win["day"], F.lit(-1))
-        return made
-
-    windows = F.transform(
-        "asked",
-        lambda a: F.struct(a["as_of_date"].alias("as_of_date"), _window_of(a, lookback_days).alias("win")),
+    opened = timelines.select(
+        "customer_id",
+        F.col("entries.item_id").alias("items"),
+        F.col("entries.action_type").alias("codes"),
+        F.col("entries.occurred_at").alias("times"),
+        F.inline("asked"),
     )
-    histories = F.transform(
-        windows,
-        lambda w: F.struct(
-            w["as_of_date"].alias("as_of_date"),
-            *[made.alias(name) for name, made in columns_of(w["win"]).items()],
-        ),
+    skip, length = F.col("skip"), F.col("length")
+
+    def cut(column: str, name: str) -> Column:
+        return F.slice(column, skip + 1, length).alias(name)
+
+    extra = []
+    if keep_times:
+        extra.append(cut("times", "action_times"))
+    if keep_days:
+        any_kept = length > 0
+        extra += [
+            F.to_date(F.when(any_kept, F.get("times", skip))).alias("newest_day"),
+            F.to_date(F.when(any_kept, F.get("times", skip + length - 1))).alias("oldest_day"),
+        ]
+    return opened.select(
+        "as_of_date", "customer_id", cut("items", "actions"), cut("codes", "action_types"), *extra
     )
-    built = asked.join(days, "customer_id", "left").select("customer_id", F.inline(histories))
-    return built.select("as_of_date", "customer_id", *built.columns[2:])
 
 
 def pad_histories(df: DataFrame, max_actions: int) -> DataFrame:

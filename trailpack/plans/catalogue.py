@@ -53,13 +53,19 @@ def rounded(column: str, digits: int = 6) -> Column:
     return F.round(column, digits).alias(column)
 
 
-def _actions(spark, sf_dir):
+def _parts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(actions, normalised impressions)"""
     feeds = event_feeds(spark, sf_dir)
-    return build_actions_union(feeds["clicks"], feeds["atc"], feeds["orders"])
+    actions = build_actions_union(feeds["clicks"], feeds["atc"], feeds["orders"])
+    return actions, I.normalize_impressions(feeds["impressions"])
+
+
+def _actions(spark, sf_dir):
+    return _parts(spark, sf_dir)[0]
 
 
 def _impressions(spark, sf_dir):
-    return I.normalize_impressions(event_feeds(spark, sf_dir)["impressions"])
+    return _parts(spark, sf_dir)[1]
 
 
 def _inputs(feeds: dict[str, DataFrame], **options) -> DataFrame:
@@ -144,7 +150,7 @@ def impression_items(spark, sf_dir):
 
 def histories(spark, sf_dir):
     built = H.build_histories_for_impressions(
-        _actions(spark, sf_dir), _impressions(spark, sf_dir), max_actions=N, lookback_days=L
+        *_parts(spark, sf_dir), max_actions=N, lookback_days=L
     )
     return built.select("as_of_date", "customer_id", joined("actions"), joined("action_types"))
 
@@ -160,34 +166,30 @@ def histories_orders(spark, sf_dir):
     return built.select("as_of_date", "customer_id", joined("actions"), joined("action_types"))
 
 
-def _timed_histories(spark, sf_dir):
+def _timed_histories(actions, impressions):
     return H.packed_histories(
-        _actions(spark, sf_dir),
-        _impressions(spark, sf_dir),
-        max_actions=N,
-        lookback_days=L,
-        keep_times=True,
+        actions, impressions, max_actions=N, lookback_days=L, keep_times=True
     )
 
 
 def topn_actions(spark, sf_dir):
-    return H.ranked_actions(_timed_histories(spark, sf_dir)).select(
+    return H.ranked_actions(_timed_histories(*_parts(spark, sf_dir))).select(
         "as_of_date", "customer_id", "action_rank", "item_id", "action_type", micros("occurred_at")
     )
 
 
 def candidates_before(spark, sf_dir):
-    return leaks.candidate_counts(_actions(spark, sf_dir), _impressions(spark, sf_dir))
+    return leaks.candidate_counts(*_parts(spark, sf_dir))
 
 
 def candidates_window(spark, sf_dir):
-    return leaks.candidate_counts(_actions(spark, sf_dir), _impressions(spark, sf_dir), L)
+    return leaks.candidate_counts(*_parts(spark, sf_dir), L)
 
 
 def _examples(spark, sf_dir, explode):
-    impressions = _impressions(spark, sf_dir)
+    actions, impressions = _parts(spark, sf_dir)
     built = H.build_histories_for_impressions(
-        _actions(spark, sf_dir), impressions, max_actions=N, lookback_days=L
+        actions, impressions, max_actions=N, lookback_days=L
     )
     return build_training_examples(impressions, built, explode=explode)
 
@@ -239,20 +241,19 @@ def duplicate_groups(spark, sf_dir):
 
 
 def leak_count(spark, sf_dir):
-    return leaks.same_day_leaks(
-        _actions(spark, sf_dir), _impressions(spark, sf_dir), lookback_days=L
-    )
+    return leaks.same_day_leaks(*_parts(spark, sf_dir), lookback_days=L)
 
 
 def history_audit(spark, sf_dir):
+    actions, impressions = _parts(spark, sf_dir)
     audit = leaks.audit_histories(
-        _timed_histories(spark, sf_dir), _actions(spark, sf_dir), max_actions=N, lookback_days=L
+        _timed_histories(actions, impressions), actions, max_actions=N, lookback_days=L
     )
     return audit.withColumns({c: F.unix_micros(c) for c in ("newest_at", "oldest_at")})
 
 
 def upstream_same_day(spark, sf_dir):
-    return leaks.upstream_same_day(_actions(spark, sf_dir), _impressions(spark, sf_dir))
+    return leaks.upstream_same_day(*_parts(spark, sf_dir))
 
 
 # Sources and sinks -------------------------------------------------------------------------------

@@ -32,12 +32,10 @@ def _shown(count: Column, item, is_order) -> Column:
     )
 
 
-def _events(spark: SparkSession, sf_dir: str, event_type: str) -> DataFrame:
+def _of_type(events: DataFrame, event_type: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
-    return (
-        table(spark, sf_dir, "events")
-        .where(F.col("event_type") == event_type)
-        .select("event_id", "ts", F.col("user_id").alias("customer_id"), k.alias("k"))
+    return events.where(F.col("event_type") == event_type).select(
+        "event_id", "ts", F.col("user_id").alias("customer_id"), k.alias("k")
     )
 
 
@@ -45,7 +43,8 @@ def event_feeds(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Family A: clicks, sign-ups as add-to-carts (to the hour) and purchases; views as impressions."""
     day = F.to_date("ts").cast("string")
     item = (F.col("k") + 1).alias
-    views = _events(spark, sf_dir, "view")
+    events = table(spark, sf_dir, "events")
+    views = _of_type(events, "view")
     event_id = F.col("event_id")
     impressions = views.select(
         # Every other day in the prefixed form.
@@ -58,17 +57,17 @@ def event_feeds(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
             lambda j: (event_id + j) % 7 == 0,
         ).alias("impressions"),
     )
-    clicks = _events(spark, sf_dir, "click").select(
+    clicks = _of_type(events, "click").select(
         day.alias("dt"), "customer_id", item("item_id"), F.col("ts").alias("click_time")
     )
-    atc = _events(spark, sf_dir, "signup").select(
+    atc = _of_type(events, "signup").select(
         day.alias("dt"),
         "customer_id",
         item("config_id"),
         F.lit(None).cast("string").alias("simple_id"),
         F.date_trunc("hour", "ts").alias("occurred_at"),
     )
-    orders = _events(spark, sf_dir, "purchase").select(
+    orders = _of_type(events, "purchase").select(
         day.alias("order_date"), "customer_id", item("config_id")
     )
     return {"impressions": impressions, "clicks": clicks, "atc": atc, "orders": orders}
