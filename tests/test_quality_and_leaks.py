@@ -1,0 +1,116 @@
+from datetime import date, timedelta
+
+import pytest
+from frames import actions_df, at, contexts_df
+from pyspark.sql import functions as F
+from test_histories import random_case
+
+from trailpack.operators import leaks
+from trailpack.operators.histories import packed_histories
+from trailpack.operators.quality import (
+    QualityReport,
+    actions_quality_report,
+    assert_quality_or_fail,
+    duplicate_groups,
+)
+
+T0 = at("2025-08-14 10:00")
+
+
+def test_counters(spark):
+    actions = actions_df(
+        spark,
+        [(1, 5, 1, T0)] * 3
+        + [(None, 5, 1, T0), (None, 5, 1, T0), (1, 0, 2, T0), (1, 9, 3, None), (2, 5, 1, at("2099-01-01"))],
+    )
+    report = actions_quality_report(actions, now=F.expr("timestamp'2025-09-01'"))
+    assert report.as_dict() == {
+        "rows": 8,
+        "null_customer_ids": 2,
+        "future_actions": 1,
+        "duplicate_action_rows": 2,  # groups; nulls are equal here
+        "zero_item_ids": 1,
+        "undated_actions": 1,
+    }
+    copies = {tuple(r)[:2]: r.copies for r in duplicate_groups(actions).collect()}
+    assert copies == {(1, 5): 3, (None, 5): 2}
+
+
+def test_counters_of_nothing(spark):
+    assert set(actions_quality_report(actions_df(spark, [])).as_dict().values()) == {0}
+
+
+def test_default_now_is_the_clock(spark):
+    report = actions_quality_report(actions_df(spark, [(1, 5, 1, at("2099-01-01")), (1, 5, 1, T0)]))
+    assert report.future_actions == 1
+
+
+def test_gate():
+    ok = QualityReport(5, 0, 0, 3)
+    assert_quality_or_fail(ok)
+    with pytest.raises(ValueError, match="Null customer_id in actions: 2"):
+        assert_quality_or_fail(QualityReport(5, 2, 0, 0))
+    future = QualityReport(5, 0, 2, 0)
+    with pytest.raises(ValueError, match="Future-dated actions seen: 2"):
+        assert_quality_or_fail(future, allow_future_actions=1)
+    assert_quality_or_fail(future, allow_future_actions=2)
+
+
+def test_leak_count_is_zero_even_for_leaky_inputs(spark):
+    actions = actions_df(spark, [(1, 5, 1, T0), (1, 5, 1, T0 - timedelta(days=1))])
+    contexts = contexts_df(spark, [(T0.date(), 1), (T0.date(), 2)])
+    assert leaks.check_no_same_day_leak_strict(actions, contexts, lookback_days=7) == 0
+    assert leaks.check_no_same_day_leak_strict(actions, contexts.limit(0), lookback_days=7) == 0
+
+
+def test_upstream_scan(spark):
+    actions = actions_df(spark, [(1, 5, 1, T0), (1, 6, 1, T0), (2, 5, 1, T0), (None, 5, 1, T0)])
+    contexts = contexts_df(spark, [(T0.date(), 1)] * 2 + [(T0.date(), None), (date(2025, 1, 1), 2)])
+    assert tuple(leaks.upstream_same_day(actions, contexts).first()) == (2, 1)
+    assert leaks.has_upstream_same_day(actions, contexts)
+    later = contexts.withColumn("as_of_date", F.date_add("as_of_date", 1))
+    assert tuple(leaks.upstream_same_day(actions, later).first()) == (0, 0)
+    assert not leaks.has_upstream_same_day(actions, later)
+
+
+@pytest.mark.parametrize("days", [None, 1, 6])
+def test_candidate_counts(spark, days):
+    actions, contexts = random_case(9)
+    got = {
+        (r.as_of_date, r.customer_id): r.candidates
+        for r in leaks.candidate_counts(
+            actions_df(spark, actions), contexts_df(spark, contexts + [(None, 1), (contexts[0][0], None)]), days
+        ).collect()
+    }
+
+    def candidate(a, day, customer):
+        first = day - timedelta(days=days) if days is not None else date.min
+        return a[0] == customer and first <= a[3].date() < day
+
+    want = {(d, c): sum(candidate(a, d, c) for a in actions) for d, c in set(contexts)}
+    assert got == {**want, (None, 1): 0, (contexts[0][0], None): 0}
+
+
+def test_audit_is_clean_for_built_histories(spark):
+    actions, contexts = random_case(10)
+    frame = actions_df(spark, actions)
+    histories = packed_histories(
+        frame, contexts_df(spark, contexts), max_actions=6, lookback_days=4, keep_times=True
+    )
+    audit = leaks.audit_histories(histories, frame, max_actions=6, lookback_days=4)
+    rows = audit.collect()
+    assert len(rows) == len(set(contexts))
+    broken = ("not_before", "too_old", "over_limit", "out_of_order", "missing")
+    assert all(r[name] == 0 for r in rows for name in broken)
+
+
+def test_audit_finds_every_kind_of_fault(spark):
+    day = T0.date()
+    history = spark.createDataFrame(
+        [(day, 1, [1, 2, 3], [1, 1, 1], [T0 - timedelta(days=30), T0 - timedelta(days=1), T0])],
+        "as_of_date date, customer_id bigint, actions array<int>, action_types array<int>, "
+        "action_times array<timestamp>",
+    )
+    seen = actions_df(spark, [(1, i, 1, T0 - timedelta(days=1, minutes=i)) for i in range(9)])
+    row = leaks.audit_histories(history, seen, max_actions=2, lookback_days=7).first()
+    assert (row.kept, row.not_before, row.too_old, row.over_limit, row.out_of_order, row.missing) == (3, 1, 1, 1, 2, -1)
