@@ -1,0 +1,236 @@
+import json
+from datetime import date
+
+import pytest
+
+from trailpack.operators import leaks
+from trailpack.plans import job
+from trailpack.plans.job import FEEDS, JobConfig, LeakError, parse_args, run_job
+from trailpack.plans.training import build_training_inputs
+from trailpack.sinks.writers import new_run_dir, quarantine_path, read_run
+from trailpack.schemas import exploded_output_schema
+from trailpack.sources.demo import demo_inputs
+from trailpack.sources.synthetic import synthetic_feeds, write_feeds
+
+TODAY = date(2025, 8, 17)
+
+
+@pytest.fixture(autouse=True)
+def keep_session_settings(spark):
+    names = (
+        "spark.sql.optimizer.windowGroupLimitThreshold",
+        "spark.sql.maxConcurrentOutputFileWriters",
+        "spark.sql.shuffle.partitions",
+    )
+    before = {n: spark.conf.get(n) for n in names}
+    yield
+    for n, value in before.items():
+        spark.conf.set(n, value)
+
+
+def demo(tmp_path, **options):
+    settings = {"demo": True, "demo_day": TODAY, "max_actions": 4, "lookback_days": 7, **options}
+    return JobConfig(out=str(tmp_path / "out"), **settings)
+
+
+@pytest.fixture(scope="module")
+def data(spark, tmp_path_factory):
+    base = str(tmp_path_factory.mktemp("feeds"))
+    customers = spark.range(100, 120).withColumnRenamed("id", "customer_id")
+    feeds = synthetic_feeds(customers, first_day=date(2025, 7, 1), days=20, items=50)
+    write_feeds(feeds, base)
+    return base, feeds
+
+
+def bag(df):
+    return sorted(str(sorted(r.asDict(recursive=True).items())) for r in df.collect())
+
+
+def external(base, tmp_path, *more):
+    return parse_args(
+        ["--out", str(tmp_path / "out"), "--data", base, "--layout", "lines",
+         "--max-actions", "6", "--lookback-days", "5", *more]
+    )
+
+
+def test_demo(spark, tmp_path):
+    report = run_job(spark, demo(tmp_path))
+    assert (report.rows, report.records, report.leaks, report.kept_outside_window) == (2, 2, 0, 0)
+    assert (report.first_day, report.last_day) == (date(2025, 8, 16), TODAY)
+    assert report.quality["rows"] == 5 and report.warnings == []
+    rows = {r.ranking_id: (r.actions, r.action_types) for r in read_run(spark, str(tmp_path / "out")).collect()}
+    # The click on the 16th is not in the history of the 16th.
+    assert rows == {
+        "r1": ([10, 11, 12, 10], [1, 1, 2, 3]),
+        "r2": ([99, 10, 11, 12], [1, 1, 1, 2]),
+    }
+
+
+def test_train_days(spark, tmp_path):
+    report = run_job(spark, demo(tmp_path, train_days=1))
+    assert (report.rows, report.first_day) == (1, TODAY)
+
+
+def test_feeds_from_files_equal_the_library_call(spark, data, tmp_path):
+    base, feeds = data
+    report = run_job(spark, external(base, tmp_path, "--train-days", "14"))
+    assert report.rows == 14 * 20
+    assert report.rejects == dict.fromkeys(FEEDS, 0)
+    assert report.upstream_same_day is None
+    want = build_training_inputs(
+        feeds["impressions"].where("dt >= '2025-07-07'"),
+        feeds["clicks"], feeds["atc"], feeds["orders"], max_actions=6, lookback_days=5,
+    )
+    assert bag(read_run(spark, str(tmp_path / "out"))) == bag(want)
+    assert len(list((tmp_path / "out").glob("as_of_date=*"))) == 14
+
+
+def test_exploded_parquet_layout(spark, data, tmp_path):
+    base, feeds = data
+    for name, feed in feeds.items():
+        feed.write.parquet(str(tmp_path / "in" / name))
+    config = parse_args(
+        ["--out", str(tmp_path / "out"), "--data", str(tmp_path / "in"), "--layout", "parquet",
+         "--max-actions", "6", "--lookback-days", "5", "--explode", "--external-upstream-scan",
+         "--shuffle-partitions", "3"]
+    )
+    report = run_job(spark, config)
+    assert (report.records, report.rows) == (280, 2800)
+    assert report.upstream_same_day is True
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "3"
+    out = read_run(spark, str(tmp_path / "out"), exploded_output_schema)
+    want = build_training_inputs(
+        feeds["impressions"].where("dt >= '2025-07-07'"),
+        feeds["clicks"], feeds["atc"], feeds["orders"], max_actions=6, lookback_days=5, explode=True,
+    )
+    assert bag(out) == bag(want)
+
+
+def test_rejects_are_counted_and_kept(spark, data, tmp_path):
+    base, feeds = data
+    for name, feed in feeds.items():
+        feed.write.json(str(tmp_path / "in" / name))
+    (tmp_path / "in" / "clicks" / "bad.json").write_text('{"customer_id": "x", "item_id": 1}\n{oops\n')
+    report = run_job(spark, external(str(tmp_path / "in"), tmp_path))
+    assert report.rejects == {"impressions": 0, "clicks": 2, "atc": 0, "orders": 0}
+    assert spark.read.json(quarantine_path(str(tmp_path / "out"), "clicks")).count() == 2
+    assert report.quality["rows"] == sum(feeds[n].count() for n in ("clicks", "atc", "orders"))
+
+
+def test_staging_goes_to_the_shared_folder(spark, data, tmp_path, monkeypatch):
+    class Session:
+        conf = {"spark.checkpoint.dir": str(tmp_path / "shared")}
+
+    shared = new_run_dir(Session, otherwise="/local")
+    assert shared.startswith(str(tmp_path / "shared") + "/run-")
+    Session.conf = {}
+    assert new_run_dir(Session, otherwise="/local").startswith("/local/run-")
+
+    monkeypatch.setattr(job, "new_run_dir", lambda spark, otherwise: shared)
+    run_job(spark, external(data[0], tmp_path))
+    assert len(list((tmp_path / "shared").glob("run-*/impressions"))) == 1
+
+
+def test_empty_feeds(spark, tmp_path):
+    for name in FEEDS:
+        (tmp_path / "in" / name).mkdir(parents=True)
+        (tmp_path / "in" / name / "a.json").write_text("[]")
+    report = run_job(spark, parse_args(["--out", str(tmp_path / "out"), "--data", str(tmp_path / "in")]))
+    assert (report.rows, report.leaks) == (0, 0)
+    assert read_run(spark, str(tmp_path / "out")).count() == 0
+
+
+def write_small(tmp_path, clicks):
+    rows = {
+        "impressions": [{"dt": "2025-08-16", "ranking_id": "r", "customer_id": 1, "impressions": [{"item_id": 1, "is_order": False}]}],
+        "clicks": clicks,
+        "atc": [],
+        "orders": [],
+    }
+    for name, content in rows.items():
+        (tmp_path / "in" / name).mkdir(parents=True)
+        (tmp_path / "in" / name / "a.json").write_text(json.dumps(content))
+    return parse_args(
+        ["--out", str(tmp_path / "out"), "--data", str(tmp_path / "in"), "--max-actions", "2",
+         "--external-upstream-scan", "--fail-on-same-day-leak"]
+    )
+
+
+@pytest.mark.parametrize("day, hit", [("2025-08-15", False), ("2025-08-16", True)])
+def test_same_day_inputs_are_reported_and_excluded(spark, tmp_path, day, hit):
+    config = write_small(tmp_path, [{"customer_id": 1, "item_id": 9, "click_time": f"{day} 10:00:00"}])
+    report = run_job(spark, config)
+    assert report.upstream_same_day is hit
+    row = read_run(spark, str(tmp_path / "out")).first()
+    assert row.actions == ([0, 0] if hit else [9, 0])
+
+
+def test_failing_quality_gate(spark, tmp_path):
+    config = write_small(tmp_path, [{"item_id": 9, "click_time": "2025-08-15 10:00:00"}])
+    with pytest.raises(ValueError, match="Null customer_id"):
+        run_job(spark, config)
+    assert not (tmp_path / "out").exists()
+    relaxed = JobConfig(**{**config.__dict__, "on_check_error": "warn"})
+    report = run_job(spark, relaxed)
+    assert report.rows == 1 and "Null customer_id" in report.warnings[0]
+    assert run_job(spark, JobConfig(**{**config.__dict__, "check_quality": False})).warnings == []
+
+
+def test_leak_stops_the_job(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(leaks, "check_no_same_day_leak_strict", lambda *a, **k: 3)
+    with pytest.raises(LeakError, match="3"):
+        run_job(spark, demo(tmp_path, fail_on_same_day_leak=True))
+    assert not (tmp_path / "out").exists()
+    assert run_job(spark, demo(tmp_path)).leaks == 3
+
+
+def test_audit_of_written_rows(spark, tmp_path, monkeypatch):
+    """A history from outside its window is counted while it is written."""
+    right = job.unpadded_inputs
+
+    def wrong(*args, **options):
+        return right(*args, **options).selectExpr("* EXCEPT (newest_day)", "as_of_date AS newest_day")
+
+    monkeypatch.setattr(job, "unpadded_inputs", wrong)
+    assert run_job(spark, demo(tmp_path)).kept_outside_window == 2
+    with pytest.raises(LeakError):
+        run_job(spark, demo(tmp_path, fail_on_same_day_leak=True))
+
+
+def test_main_returns_2_on_a_leak(spark, tmp_path, monkeypatch):
+    def leak(*_):
+        raise LeakError("leak")
+
+    class Session:
+        stopped = 0
+
+        def stop(self):
+            Session.stopped += 1
+
+    class Builder:
+        def appName(self, _):
+            return self
+
+        def getOrCreate(self):
+            return Session()
+
+    monkeypatch.setattr(job, "SparkSession", type("S", (), {"builder": Builder()}))
+    monkeypatch.setattr(job, "run_job", leak)
+    assert job.main(["--out", str(tmp_path), "--demo"]) == 2
+    monkeypatch.setattr(job, "run_job", lambda *_: "done")
+    assert job.main(["--out", str(tmp_path), "--demo"]) == 0
+    assert Session.stopped == 2
+
+
+def test_all_four_paths_are_needed(tmp_path):
+    with pytest.raises(ValueError, match="clicks, atc, orders"):
+        JobConfig(out="o", paths={"impressions": "x"})
+    with pytest.raises(SystemExit):
+        parse_args(["--out", "o", "--impressions-path", "x"])
+    with pytest.raises(ValueError, match="on_check_error"):
+        JobConfig(out="o", demo=True, on_check_error="ignore")
+
+
+def test_long_histories_keep_the_early_limit(spark, tmp_path):
+    run_job(spark, demo(tmp_path, max_actions=1500))
+    assert int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")) == 1500

@@ -85,5 +85,7 @@ def test_as_of_date_only_passes_through(spark):
     impressions = spark.sql(
         "SELECT DATE '2025-08-15' AS as_of_date, 77 AS ranking_id, 1 AS customer_id, 'any' AS impressions"
     )
-    row = join_impressions_with_histories(impressions, histories).first()
-    assert (row.ranking_id, row.impressions, row.actions) == (77, "any", [9])
+    for day in ("as_of_date", "CAST(as_of_date AS STRING) AS as_of_date"):
+        typed = impressions.selectExpr(day, "ranking_id", "customer_id", "impressions")
+        row = join_impressions_with_histories(typed, histories).first()
+        assert (row.ranking_id, row.impressions, row.actions) == (77, "any", [9])

@@ -88,9 +88,10 @@ def upstream_same_day(actions: DataFrame, contexts: DataFrame) -> DataFrame:
 
 
 def has_upstream_same_day(actions: DataFrame, contexts: DataFrame) -> bool:
-    """Is there any such action? Stops at the first."""
+    """Is there any such action?"""
     days = contexts_of(contexts).withColumnRenamed("as_of_date", "action_date")
-    return not actions.join(days, ["action_date", "customer_id"], "left_semi").isEmpty()
+    hit = daily_action_counts(actions).join(days, ["action_date", "customer_id"], "left_semi")
+    return not hit.isEmpty()
 
 
 def audit_histories(

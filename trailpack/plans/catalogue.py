@@ -6,7 +6,6 @@ Arrays leave as text and times as epoch micros, so that another engine's result
 from __future__ import annotations
 
 import tempfile
-import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -20,7 +19,7 @@ from ..operators import impressions as I
 from ..operators import leaks, profile, quality
 from ..operators.actions import atc_actions, build_actions_union, click_actions, order_actions
 from ..operators.examples import build_training_examples
-from ..sinks.writers import read_run, write_parquet
+from ..sinks.writers import new_run_dir, read_run, write_parquet
 from ..sources.readers import BAD_FIELDS, flag_rejects
 from ..sources.synthetic import synthetic_feeds
 from .testbed import event_feeds, order_feeds, table
@@ -278,16 +277,8 @@ def reject_split(spark, sf_dir):
     )
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared checkpoint folder; a local one only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/run-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="trailpack-")
-
-
 def write_read_roundtrip(spark, sf_dir):
-    path = f"{scratch_dir(spark)}/run"
+    path = new_run_dir(spark, otherwise=tempfile.gettempdir())
     write_parquet(_run(spark, sf_dir), path, partition_by=["as_of_date"], rebalance=True)
     return _nested_rows(read_run(spark, path))
 

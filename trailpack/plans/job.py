@@ -24,7 +24,7 @@ from ..schemas import (
     DEFAULT_TRAIN_DAYS,
     FEED_SCHEMAS,
 )
-from ..sinks.writers import write_parquet, write_quarantine
+from ..sinks.writers import new_run_dir, write_parquet, write_quarantine
 from ..sources.demo import demo_inputs
 from ..sources.readers import BAD_FIELDS, read_feed, read_flagged, rejected_rows
 from .training import finish_inputs, unpadded_inputs
@@ -98,9 +98,9 @@ def configure(spark: SparkSession, config: JobConfig) -> None:
 
 
 def _staging_dir(spark: SparkSession, config: JobConfig) -> str:
-    shared = config.staging or spark.conf.get("spark.checkpoint.dir", None)
-    base = shared.rstrip("/") if shared else f"{config.out.rstrip('/')}_staging"
-    return f"{base}/run-{uuid.uuid4().hex}"
+    if config.staging:
+        return config.staging.rstrip("/")
+    return new_run_dir(spark, otherwise=f"{config.out.rstrip('/')}_staging")
 
 
 def _load_json(spark: SparkSession, config: JobConfig, report: JobReport) -> dict[str, DataFrame]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -43,3 +45,9 @@ def quarantine_path(out_dir: str, name: str) -> str:
 def write_quarantine(df: DataFrame | None, out_dir: str, name: str) -> None:
     if df is not None:
         df.write.mode("overwrite").json(quarantine_path(out_dir, name))
+
+
+def new_run_dir(spark: SparkSession, otherwise: str) -> str:
+    """A new folder for intermediate tables, in the shared folder of ``spark.checkpoint.dir`` if set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or otherwise
+    return f"{base.rstrip('/')}/run-{uuid.uuid4().hex}"
