@@ -15,7 +15,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-from trailpack.plans.catalogue import QUERIES
+from trailpack.plans.catalogue import NATIVE
 
 HEADLINE = (
     "training_inputs",
@@ -58,7 +58,7 @@ def main() -> None:
         times = []
         for _ in range(1 + runs):
             start = time.perf_counter()
-            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            NATIVE[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             times.append(time.perf_counter() - start)
         seconds[name] = round(statistics.median(times[1:]), 3)
     spark.stop()

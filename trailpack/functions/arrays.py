@@ -13,7 +13,9 @@ TOKEN_WIDTH = 12
 
 def pad_array(arr: Column, size: int, fill_value) -> Column:
     """Cut or right-pad an array to exactly ``size`` elements; a null array stays null."""
-    return F.slice(F.concat(arr, F.array_repeat(F.lit(fill_value), size)), 1, size)
+    missing = F.lit(size) - F.size(arr)
+    filled = F.concat(arr, F.array_repeat(F.lit(fill_value), missing))
+    return F.when(missing > 0, filled).otherwise(F.slice(arr, 1, size))
 
 
 def action_type_name(code: Column) -> Column:

@@ -1,13 +1,11 @@
-"""Every operator as a query over the driver's tables.
-
-Arrays leave as text and times as epoch micros, so that another engine's result compares by value.
-"""
+"""Every operator as a query over the driver's tables."""
 
 from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable
 from datetime import date
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,26 +28,33 @@ N, L = 10, 7
 SEED = 11
 NOW = "2024-01-20 00:00:00"
 
-
-def micros(column: str) -> Column:
-    return F.unix_micros(column).alias(column)
-
-
-def joined(column: str | Column, name: str | None = None) -> Column:
-    text = F.array_join(F.col(column) if isinstance(column, str) else column, ",")
-    return text.alias(name or column)
+Query = Callable[[SparkSession, str], DataFrame]
 
 
-def shown_text() -> Column:
-    mark = F.transform(
-        "impressions",
-        lambda x: F.concat(x["item_id"].cast("string"), F.when(x["is_order"], "+").otherwise("-")),
-    )
-    return joined(mark, "impressions")
+def _comparable(field: T.StructField) -> Column:
+    column, dtype = F.col(field.name), field.dataType
+    if isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, T.StructType):
+        column = F.array_join(
+            F.transform(
+                column,
+                lambda x: F.concat(
+                    x["item_id"].cast("string"), F.when(x["is_order"], "+").otherwise("-")
+                ),
+            ),
+            ",",
+        )
+    elif isinstance(dtype, T.ArrayType):
+        column = F.array_join(column, ",")
+    elif isinstance(dtype, T.TimestampType):
+        column = F.unix_micros(column)
+    elif isinstance(dtype, T.DoubleType):
+        column = F.round(column, 6)
+    return column.alias(field.name)
 
 
-def rounded(column: str, digits: int = 6) -> Column:
-    return F.round(column, digits).alias(column)
+def comparable(df: DataFrame) -> DataFrame:
+    """Arrays as text, times as epoch micros, averages rounded: values that engines agree on."""
+    return df.select([_comparable(field) for field in df.schema])
 
 
 def _parts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -59,80 +64,41 @@ def _parts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return actions, I.normalize_impressions(feeds["impressions"])
 
 
-def _actions(spark, sf_dir):
-    return _parts(spark, sf_dir)[0]
-
-
-def _impressions(spark, sf_dir):
-    return _parts(spark, sf_dir)[1]
-
-
 def _inputs(feeds: dict[str, DataFrame], **options) -> DataFrame:
     return build_training_inputs(
         feeds["impressions"], feeds["clicks"], feeds["atc"], feeds["orders"], **options
     )
 
 
-def _run(spark, sf_dir, explode=False):
-    return _inputs(event_feeds(spark, sf_dir), max_actions=N, lookback_days=L, explode=explode)
-
-
-def _action_rows(actions: DataFrame) -> DataFrame:
-    return actions.select(
-        "customer_id", "item_id", micros("occurred_at"), "action_type", "source", "action_date"
-    )
-
-
-def _nested_rows(df: DataFrame) -> DataFrame:
-    return df.select(
-        "as_of_date", "ranking_id", "customer_id", shown_text(), joined("actions"), joined("action_types")
-    )
-
-
-def _exploded_rows(df: DataFrame) -> DataFrame:
-    return df.select(
-        "as_of_date",
-        "ranking_id",
-        "customer_id",
-        "impression_item_id",
-        "is_order",
-        joined("actions"),
-        joined("action_types"),
-    )
-
-
 # Feeds, actions, impressions ---------------------------------------------------------------------
 
 
 def clicks_norm(spark, sf_dir):
-    return _action_rows(click_actions(event_feeds(spark, sf_dir)["clicks"]))
+    return click_actions(event_feeds(spark, sf_dir)["clicks"])
 
 
 def atc_norm(spark, sf_dir):
-    return _action_rows(atc_actions(event_feeds(spark, sf_dir)["atc"]))
+    return atc_actions(event_feeds(spark, sf_dir)["atc"])
 
 
 def orders_norm(spark, sf_dir):
-    return _action_rows(order_actions(event_feeds(spark, sf_dir)["orders"]))
+    return order_actions(event_feeds(spark, sf_dir)["orders"])
 
 
 def actions_union(spark, sf_dir):
-    return _action_rows(_actions(spark, sf_dir))
+    return _parts(spark, sf_dir)[0]
 
 
 def normalize_impressions_raw(spark, sf_dir):
-    return _impressions(spark, sf_dir).select(
-        "as_of_date", "ranking_id", "customer_id", shown_text()
-    )
+    return I.normalize_impressions(event_feeds(spark, sf_dir)["impressions"])
 
 
 def normalize_impressions_idem(spark, sf_dir):
-    again = I.normalize_impressions(_impressions(spark, sf_dir))
-    return again.select("as_of_date", "ranking_id", "customer_id", shown_text())
+    return I.normalize_impressions(normalize_impressions_raw(spark, sf_dir))
 
 
 def contexts(spark, sf_dir):
-    return I.contexts_of(_impressions(spark, sf_dir))
+    return I.contexts_of(normalize_impressions_raw(spark, sf_dir))
 
 
 def train_window(spark, sf_dir):
@@ -144,25 +110,30 @@ def impression_items(spark, sf_dir):
     return I.explode_impressions(event_feeds(spark, sf_dir)["impressions"])
 
 
+def pad_arrays(spark, sf_dir):
+    """Item lists of the impressions cut or filled to three."""
+    items = F.col("impressions")["item_id"]
+    padded = pad_array(items, 3, 0).alias("padded")
+    return normalize_impressions_raw(spark, sf_dir).select("ranking_id", padded)
+
+
 # Histories and examples --------------------------------------------------------------------------
 
 
 def histories(spark, sf_dir):
-    built = H.build_histories_for_impressions(
+    return H.build_histories_for_impressions(
         *_parts(spark, sf_dir), max_actions=N, lookback_days=L
     )
-    return built.select("as_of_date", "customer_id", joined("actions"), joined("action_types"))
 
 
 def histories_orders(spark, sf_dir):
     feeds = order_feeds(spark, sf_dir)
-    built = H.build_histories_for_impressions(
+    return H.build_histories_for_impressions(
         build_actions_union(feeds["clicks"], feeds["atc"], feeds["orders"]),
         I.normalize_impressions(feeds["impressions"]),
         max_actions=N,
         lookback_days=365,
     )
-    return built.select("as_of_date", "customer_id", joined("actions"), joined("action_types"))
 
 
 def _timed_histories(actions, impressions):
@@ -172,9 +143,7 @@ def _timed_histories(actions, impressions):
 
 
 def topn_actions(spark, sf_dir):
-    return H.ranked_actions(_timed_histories(*_parts(spark, sf_dir))).select(
-        "as_of_date", "customer_id", "action_rank", "item_id", "action_type", micros("occurred_at")
-    )
+    return H.ranked_actions(_timed_histories(*_parts(spark, sf_dir)))
 
 
 def candidates_before(spark, sf_dir):
@@ -185,7 +154,7 @@ def candidates_window(spark, sf_dir):
     return leaks.candidate_counts(*_parts(spark, sf_dir), L)
 
 
-def _examples(spark, sf_dir, explode):
+def examples(spark, sf_dir, explode):
     actions, impressions = _parts(spark, sf_dir)
     built = H.build_histories_for_impressions(
         actions, impressions, max_actions=N, lookback_days=L
@@ -193,50 +162,35 @@ def _examples(spark, sf_dir, explode):
     return build_training_examples(impressions, built, explode=explode)
 
 
-def examples_nested(spark, sf_dir):
-    return _nested_rows(_examples(spark, sf_dir, False))
-
-
-def examples_exploded(spark, sf_dir):
-    return _exploded_rows(_examples(spark, sf_dir, True))
-
-
-def training_inputs(spark, sf_dir):
-    return _nested_rows(_run(spark, sf_dir))
-
-
-def training_inputs_exploded(spark, sf_dir):
-    return _exploded_rows(_run(spark, sf_dir, explode=True))
+def training_inputs(spark, sf_dir, explode=False):
+    return _inputs(event_feeds(spark, sf_dir), max_actions=N, lookback_days=L, explode=explode)
 
 
 def training_inputs_default(spark, sf_dir):
     """The default size: 1000 actions, 365 days."""
-    return _nested_rows(_inputs(event_feeds(spark, sf_dir)))
+    return _inputs(event_feeds(spark, sf_dir))
 
 
 def training_inputs_train_window(spark, sf_dir):
     """The job's plan: newest 14 days of impressions, histories over all actions."""
     feeds = event_feeds(spark, sf_dir)
     feeds["impressions"] = I.slice_impressions_last_n_days(feeds["impressions"], 14)
-    return _nested_rows(_inputs(feeds, max_actions=N, lookback_days=L))
+    return _inputs(feeds, max_actions=N, lookback_days=L)
 
 
 def training_inputs_orders(spark, sf_dir):
-    return _nested_rows(_inputs(order_feeds(spark, sf_dir), max_actions=N, lookback_days=365))
+    return _inputs(order_feeds(spark, sf_dir), max_actions=N, lookback_days=365)
 
 
 # Quality and leaks -------------------------------------------------------------------------------
 
 
 def quality_report(spark, sf_dir):
-    return quality.quality_counters(_actions(spark, sf_dir), F.lit(NOW).cast("timestamp"))
+    return quality.quality_counters(actions_union(spark, sf_dir), F.lit(NOW).cast("timestamp"))
 
 
 def duplicate_groups(spark, sf_dir):
-    groups = quality.duplicate_groups(_actions(spark, sf_dir))
-    return groups.select(
-        "customer_id", "item_id", "action_type", micros("occurred_at"), "action_date", "source", "copies"
-    )
+    return quality.duplicate_groups(actions_union(spark, sf_dir))
 
 
 def leak_count(spark, sf_dir):
@@ -245,10 +199,9 @@ def leak_count(spark, sf_dir):
 
 def history_audit(spark, sf_dir):
     actions, impressions = _parts(spark, sf_dir)
-    audit = leaks.audit_histories(
+    return leaks.audit_histories(
         _timed_histories(actions, impressions), actions, max_actions=N, lookback_days=L
     )
-    return audit.withColumns({c: F.unix_micros(c) for c in ("newest_at", "oldest_at")})
 
 
 def upstream_same_day(spark, sf_dir):
@@ -259,56 +212,55 @@ def upstream_same_day(spark, sf_dir):
 
 
 def reject_split(spark, sf_dir):
-    """Events as a text feed whose ``k`` does not parse from 90 on."""
+    """Events as a text feed whose ``k`` does not parse from 90 on; both sides in one result."""
     k = F.get_json_object("props", "$.k")
     raw = table(spark, sf_dir, "events").select(
         F.col("event_id").cast("string").alias("event_id"),
         F.col("user_id").cast("string").alias("customer_id"),
         F.when(k.cast("int") >= 90, F.concat(F.lit("x"), k)).otherwise(k).alias("item_id"),
     )
-    schema = T.StructType.fromDDL("event_id bigint, customer_id bigint, item_id int")
-    flagged = flag_rejects(raw, schema)
-    # Good rows typed, rejected rows as they came in: the two sides of the split in one result.
-    return flagged.select(
-        F.coalesce(F.col("event_id"), F.col("_raw.event_id").cast("bigint")).alias("event_id"),
-        F.when(F.size(BAD_FIELDS) == 0, F.col("item_id")).alias("item_id"),
+    schema = T.StructType(
+        [
+            T.StructField("event_id", T.LongType()),
+            T.StructField("customer_id", T.LongType()),
+            T.StructField("item_id", T.IntegerType()),
+        ]
+    )
+    return flag_rejects(raw, schema).select(
+        "event_id",
+        "item_id",
         F.col("_raw.item_id").alias("rejected_value"),
-        joined(BAD_FIELDS, "bad_fields"),
+        F.col(BAD_FIELDS).alias("bad_fields"),
     )
 
 
 def write_read_roundtrip(spark, sf_dir):
     path = new_run_dir(spark, otherwise=tempfile.gettempdir())
-    write_parquet(_run(spark, sf_dir), path, partition_by=["as_of_date"], rebalance=True)
-    return _nested_rows(read_run(spark, path))
+    run = training_inputs(spark, sf_dir)
+    write_parquet(run, path, partition_by=["as_of_date"], rebalance=True)
+    return read_run(spark, path)
 
 
 def synthetic(spark, sf_dir):
+    """The four generated feeds under each other."""
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer_id"))
     feeds = synthetic_feeds(customers, first_day=date(2024, 1, 1), days=3, items=200, seed=SEED)
-    no_item = F.lit(None).cast("int")
-    return (
-        feeds["impressions"]
-        .select(
-            F.lit("impressions").alias("feed"),
+
+    def rows(feed: str, time: str, item: str | None) -> DataFrame:
+        shown = feeds["impressions"].schema["impressions"].dataType
+        return feeds[feed].select(
+            F.lit(feed).alias("feed"),
             "customer_id",
-            F.col("dt").alias("event_time"),
-            no_item.alias("item_id"),
-            shown_text().alias("shown"),
+            F.col(time).alias("event_time"),
+            (F.col(item) if item else F.lit(None).cast("int")).alias("item_id"),
+            (F.lit(None).cast(shown) if item else F.col("impressions")).alias("shown"),
         )
-        .unionByName(_flat("clicks", feeds["clicks"], "click_time", "item_id"))
-        .unionByName(_flat("atc", feeds["atc"], "occurred_at", "config_id"))
-        .unionByName(_flat("orders", feeds["orders"], "order_date", "config_id"))
-    )
 
-
-def _flat(name: str, feed: DataFrame, time: str, item: str) -> DataFrame:
-    return feed.select(
-        F.lit(name).alias("feed"),
-        "customer_id",
-        F.col(time).alias("event_time"),
-        F.col(item).alias("item_id"),
-        F.lit(None).cast("string").alias("shown"),
+    return (
+        rows("impressions", "dt", None)
+        .unionByName(rows("clicks", "click_time", "item_id"))
+        .unionByName(rows("atc", "occurred_at", "config_id"))
+        .unionByName(rows("orders", "order_date", "config_id"))
     )
 
 
@@ -316,60 +268,44 @@ def _flat(name: str, feed: DataFrame, time: str, item: str) -> DataFrame:
 
 
 def size_preview(spark, sf_dir):
-    return profile.size_preview(_run(spark, sf_dir))
+    return profile.size_preview(training_inputs(spark, sf_dir))
 
 
 def run_summary(spark, sf_dir):
-    summary = profile.run_summary(_run(spark, sf_dir))
-    return summary.select(
-        "rows",
-        "min_as_of_date",
-        "max_as_of_date",
-        rounded("avg_impressions_per_row"),
-        rounded("avg_actions_array_len"),
-    )
+    return profile.run_summary(training_inputs(spark, sf_dir))
 
 
 def padding_stats(spark, sf_dir):
-    stats = profile.padding_stats(_run(spark, sf_dir))
-    return stats.withColumn("avg_zero_pads_per_row", F.round("avg_zero_pads_per_row", 6))
+    return profile.padding_stats(training_inputs(spark, sf_dir))
 
 
 def sample_customers(spark, sf_dir):
-    return profile.sample_customers(_impressions(spark, sf_dir), 10, SEED)
+    return profile.sample_customers(normalize_impressions_raw(spark, sf_dir), 10, SEED)
 
 
 def customer_snapshot(spark, sf_dir):
-    snapshot = profile.customer_snapshot(_run(spark, sf_dir), 10, SEED)
-    return snapshot.withColumns({c: F.round(c, 6) for c in ("avg_impr", "avg_actions")})
+    return profile.customer_snapshot(training_inputs(spark, sf_dir), 10, SEED)
 
 
 def action_tokens(spark, sf_dir):
-    return profile.action_tokens(_run(spark, sf_dir), head=5)
+    return profile.action_tokens(training_inputs(spark, sf_dir), head=5)
 
 
 def action_names(spark, sf_dir):
-    named = _actions(spark, sf_dir).select(action_type_name(F.col("action_type")).alias("action_name"))
-    return named.groupBy("action_name").agg(F.count(F.lit(1)).alias("actions"))
+    name = action_type_name(F.col("action_type")).alias("action_name")
+    return actions_union(spark, sf_dir).groupBy(name).agg(F.count(F.lit(1)).alias("actions"))
 
 
 def sample_rows(spark, sf_dir):
-    return _nested_rows(profile.sample_rows(_run(spark, sf_dir), 10, SEED))
+    return profile.sample_rows(training_inputs(spark, sf_dir), 10, SEED)
 
 
 def sample_items(spark, sf_dir):
-    return profile.sample_items(_run(spark, sf_dir), 10, SEED)
-
+    return profile.sample_items(training_inputs(spark, sf_dir), 10, SEED)
 
-def pad_arrays(spark, sf_dir):
-    """Item lists of the impressions cut or filled to three."""
-    items = F.col("impressions")["item_id"]
-    return _impressions(spark, sf_dir).select(
-        "ranking_id", joined(pad_array(items, 3, 0), "padded")
-    )
 
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+# With Spark's own types.
+NATIVE: dict[str, Query] = {
     "clicks_norm": clicks_norm,
     "atc_norm": atc_norm,
     "orders_norm": orders_norm,
@@ -379,15 +315,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "contexts": contexts,
     "train_window": train_window,
     "impression_items": impression_items,
+    "pad_array": pad_arrays,
     "histories": histories,
     "histories_orders": histories_orders,
     "topn_actions": topn_actions,
     "candidates_before": candidates_before,
     "candidates_window": candidates_window,
-    "examples_nested": examples_nested,
-    "examples_exploded": examples_exploded,
+    "examples_nested": partial(examples, explode=False),
+    "examples_exploded": partial(examples, explode=True),
     "training_inputs": training_inputs,
-    "training_inputs_exploded": training_inputs_exploded,
+    "training_inputs_exploded": partial(training_inputs, explode=True),
     "training_inputs_default": training_inputs_default,
     "training_inputs_train_window": training_inputs_train_window,
     "training_inputs_orders": training_inputs_orders,
@@ -408,5 +345,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "action_names": action_names,
     "sample_rows": sample_rows,
     "sample_items": sample_items,
-    "pad_array": pad_arrays,
 }
+
+
+def _compared(query: Query) -> Query:
+    return lambda spark, sf_dir: comparable(query(spark, sf_dir))
+
+
+QUERIES: dict[str, Query] = {name: _compared(query) for name, query in NATIVE.items()}
