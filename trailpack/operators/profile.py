@@ -20,7 +20,7 @@ def _is_nested(run: DataFrame) -> bool:
 
 
 def _n_impr(run: DataFrame) -> Column:
-    return F.size("impressions") if _is_nested(run) else F.lit(1)
+    return F.array_size("impressions") if _is_nested(run) else F.lit(1)
 
 
 def size_preview(run: DataFrame) -> DataFrame:
@@ -29,8 +29,8 @@ def size_preview(run: DataFrame) -> DataFrame:
         "customer_id",
         "as_of_date",
         _n_impr(run).alias("n_impr"),
-        F.size("actions").alias("n_actions"),
-        F.size("action_types").alias("n_action_types"),
+        F.array_size("actions").alias("n_actions"),
+        F.array_size("action_types").alias("n_action_types"),
     )
 
 
@@ -40,8 +40,8 @@ def _row_features(run: DataFrame) -> DataFrame:
         "as_of_date",
         "customer_id",
         _n_impr(run).alias("n_impr"),
-        F.size("actions").alias("n_actions"),
-        F.size(F.filter("action_types", lambda t: t == ACTION_MISSING)).alias("pad_zeros"),
+        F.array_size("actions").alias("n_actions"),
+        F.array_size(F.filter("action_types", lambda t: t == ACTION_MISSING)).alias("pad_zeros"),
     )
 
 
@@ -94,7 +94,7 @@ def action_tokens(run: DataFrame, head: int = 5) -> DataFrame:
     tokens = F.transform(newest, lambda z: action_token(z["0"], z["1"]))
     return run.select(
         *RECORD_KEYS,
-        F.size("actions").alias("n_actions"),
+        F.array_size("actions").alias("n_actions"),
         F.concat_ws(" | ", tokens).alias("actions_head"),
     )
 

@@ -176,7 +176,7 @@ def _write(config: JobConfig, report: JobReport, impressions: DataFrame, actions
         | (F.col("oldest_day") < F.date_sub(day, config.lookback_days))
         | (longest > config.max_actions)
     )
-    rows = F.coalesce(F.size("impressions"), F.lit(0)) if config.explode else F.lit(1)
+    rows = F.greatest(F.size("impressions"), F.lit(0)) if config.explode else F.lit(1)
     seen = Observation(f"run-{uuid.uuid4().hex}")
     observed = unpadded.hint("rebalance", "as_of_date").observe(
         seen,
