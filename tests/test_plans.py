@@ -1,12 +1,17 @@
 """The physical plans that carry the scale: what shuffles, what is limited before, what is pruned."""
 
 import re
+import warnings
 from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
 
-from trailpack.operators.histories import build_histories_for_impressions, packed_histories
+from trailpack.operators.histories import (
+    EARLY_LIMIT,
+    build_histories_for_impressions,
+    packed_histories,
+)
 from trailpack.operators.impressions import normalize_impressions, slice_impressions_last_n_days
 from trailpack.plans.testbed import event_feeds
 from trailpack.operators.actions import build_actions_union
@@ -35,17 +40,25 @@ def histories(spark, n=10):
     )
 
 
-def main_plan(text: str) -> str:
-    """Without the subqueries that look up the first and last day."""
-    return "\n".join(line for line in text.splitlines() if ":  :-" not in line and ":  +-" not in line)
-
-
 def test_limit_runs_before_the_first_shuffle(spark, no_broadcast):
     text = plan(histories(spark, 1000))
     final, partial = text.index("Final"), text.index("Partial")
     assert final < text.index("hashpartitioning(customer_id", final) < partial
 
 
+def test_long_histories_warn_until_the_setting_allows_them(spark):
+    before = spark.conf.get(EARLY_LIMIT)
+    with pytest.warns(UserWarning, match="windowGroupLimitThreshold"):
+        assert "Partial" not in plan(histories(spark, 1001))
+    spark.conf.set(EARLY_LIMIT, "1001")
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("error")
+            assert "Partial" in plan(histories(spark, 1001))
+    finally:
+        spark.conf.set(EARLY_LIMIT, before)
+
+
 def test_history_shuffles_and_sorts(spark, no_broadcast):
     text = plan(histories(spark))
     exchanges = re.findall(r"Exchange (hashpartitioning\([^)]*\))", text)

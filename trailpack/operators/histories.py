@@ -16,6 +16,7 @@ Actions are never paired with contexts. One sort by customer and day serves all
 
 from __future__ import annotations
 
+import warnings
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,6 +29,9 @@ from ..schemas import ACTION_MISSING, DEFAULT_LOOKBACK_DAYS, DEFAULT_MAX_ACTIONS
 # at most N*salts. 32 keeps both in the tens of millions for N = 1000 and M = 800 000.
 DEFAULT_SALTS = 32
 
+# Spark limits rows per window group ahead of a shuffle up to this limit only.
+EARLY_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
+
 # Newest first; nulls last within ties, which DESC and sort_array(asc=False) both do.
 RECENCY = ("occurred_at", "action_type", "item_id")
 
@@ -57,6 +61,12 @@ def actions_in_reach(
 
 def newest_per_day(actions: DataFrame, max_actions: int, salts: int = DEFAULT_SALTS) -> DataFrame:
     """At most ``max_actions`` rows per (customer, day, salt), the newest ones."""
+    if max_actions > int(actions.sparkSession.conf.get(EARLY_LIMIT)):
+        warnings.warn(
+            f"{EARLY_LIMIT} is below max_actions={max_actions}: days are cut to it only after the "
+            "shuffle. Raise the setting before running.",
+            stacklevel=2,
+        )
     newest_first = Window.partitionBy("customer_id", "day", "salt").orderBy(
         *[F.desc(c) for c in RECENCY]
     )

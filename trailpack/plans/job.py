@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators import leaks, quality
 from ..operators.actions import atc_actions, click_actions, order_actions
+from ..operators.histories import EARLY_LIMIT
 from ..operators.impressions import normalize_impressions, slice_impressions_last_n_days
 from ..schemas import (
     DEFAULT_LOOKBACK_DAYS,
@@ -89,8 +90,7 @@ def configure(spark: SparkSession, config: JobConfig) -> None:
     conf.set("spark.sql.session.timeZone", "UTC")
     conf.set("spark.sql.adaptive.enabled", "true")
     # Keeps the per-task limit ahead of the first shuffle for any history length.
-    limit = "spark.sql.optimizer.windowGroupLimitThreshold"
-    conf.set(limit, str(max(int(conf.get(limit)), config.max_actions)))
+    conf.set(EARLY_LIMIT, str(max(int(conf.get(EARLY_LIMIT)), config.max_actions)))
     # After the rebalance a task holds few days: one open file each, instead of sorting wide rows.
     conf.set("spark.sql.maxConcurrentOutputFileWriters", "16")
     if config.shuffle_partitions > 0:
