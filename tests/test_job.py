@@ -167,12 +167,12 @@ def test_same_day_inputs_are_reported_and_excluded(spark, tmp_path, day, hit):
 
 def test_failing_quality_gate(spark, tmp_path):
     config = write_small(tmp_path, [{"item_id": 9, "click_time": "2025-08-15 10:00:00"}])
-    with pytest.raises(ValueError, match="Null customer_id"):
+    with pytest.raises(ValueError, match="without a customer_id"):
         run_job(spark, config)
     assert not (tmp_path / "out").exists()
     relaxed = JobConfig(**{**config.__dict__, "on_check_error": "warn"})
     report = run_job(spark, relaxed)
-    assert report.rows == 1 and "Null customer_id" in report.warnings[0]
+    assert report.rows == 1 and "without a customer_id" in report.warnings[0]
     assert run_job(spark, JobConfig(**{**config.__dict__, "check_quality": False})).warnings == []
 
 

@@ -94,6 +94,22 @@ def test_bounds_reach_a_typed_scan(spark, tmp_path):
     assert "source" not in columns and "action_date" not in columns
 
 
+def test_contexts_read_two_columns(spark, tmp_path):
+    path = str(tmp_path / "impressions")
+    feeds = event_feeds(spark, SF)
+    normalize_impressions(feeds["impressions"]).write.parquet(path)
+    out = build_training_inputs(
+        spark.read.parquet(path), feeds["clicks"], feeds["atc"], feeds["orders"], max_actions=5
+    )
+    schemas = re.findall(r"ReadSchema: (struct<as_of_date[^\n]*)", plan(out))
+    wide = [x for x in schemas if "impressions" in x]
+    assert len(wide) == 1  # the join side; contexts and day bounds read keys only
+    assert set(schemas) - set(wide) == {
+        "struct<as_of_date:date,customer_id:bigint>",
+        "struct<as_of_date:date>",
+    }
+
+
 def test_hot_context_is_split_by_aqe(spark, no_broadcast):
     """A (day, customer) with most impression rows: AQE splits its join partition."""
     settings = {

@@ -14,9 +14,7 @@ def as_of_day(impressions: DataFrame, strict: bool = False) -> Column:
         return lenient_cast(F.col("as_of_date"), "date", strict)
     if "dt" in impressions.columns:
         return day_of_text(F.col("dt"), strict)
-    raise ValueError(
-        "normalize_impressions: expected either 'dt' or 'as_of_date' column in impressions_df"
-    )
+    raise ValueError("impressions: expected either 'dt' or 'as_of_date' among the columns")
 
 
 def normalize_impressions(

@@ -75,6 +75,8 @@ def actions_quality_report(
 def assert_quality_or_fail(report: QualityReport, *, allow_future_actions: int = 0) -> None:
     """Raise on a null customer or on too many future actions. Duplicates never fail."""
     if report.null_customer_ids > 0:
-        raise ValueError(f"[DQ] Null customer_id in actions: {report.null_customer_ids}")
+        raise ValueError(f"{report.null_customer_ids} actions without a customer_id")
     if report.future_actions > allow_future_actions:
-        raise ValueError(f"[DQ] Future-dated actions seen: {report.future_actions}")
+        raise ValueError(
+            f"{report.future_actions} actions in the future, {allow_future_actions} allowed"
+        )

@@ -154,7 +154,7 @@ def _check(config: JobConfig, report: JobReport, actions: DataFrame, impressions
             raise
         report.warnings.append(str(error))
     if report.leaks and config.fail_on_same_day_leak:
-        raise LeakError(f"[DQ] Same-day leak detected after applying the filters: {report.leaks}")
+        raise LeakError(f"{report.leaks} same-day actions inside the window")
 
 
 def _write(config: JobConfig, report: JobReport, impressions: DataFrame, actions: DataFrame) -> None:
@@ -193,7 +193,7 @@ def _write(config: JobConfig, report: JobReport, impressions: DataFrame, actions
     for name, value in seen.get.items():
         setattr(report, name, value if value is not None else getattr(report, name))
     if report.kept_outside_window and config.fail_on_same_day_leak:
-        raise LeakError(f"[DQ] Written histories outside their window: {report.kept_outside_window}")
+        raise LeakError(f"{report.kept_outside_window} written histories reach outside their window")
 
 
 def run_job(spark: SparkSession, config: JobConfig) -> JobReport:
