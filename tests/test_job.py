@@ -20,6 +20,7 @@ def keep_session_settings(spark):
     names = (
         "spark.sql.optimizer.windowGroupLimitThreshold",
         "spark.sql.maxConcurrentOutputFileWriters",
+        "spark.sql.execution.useObjectHashAggregateExec",
         "spark.sql.shuffle.partitions",
     )
     before = {n: spark.conf.get(n) for n in names}

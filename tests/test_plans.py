@@ -69,6 +69,19 @@ def test_history_shuffles_and_sorts(spark, no_broadcast):
     assert "Join" not in text and "CartesianProduct" not in text
 
 
+def test_packing_streams_over_sorted_customers_in_the_job(spark, no_broadcast):
+    setting = "spark.sql.execution.useObjectHashAggregateExec"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        text = plan(histories(spark))
+    finally:
+        spark.conf.set(setting, before)
+    customer_stage = text[: text.index("REPARTITION_BY_COL")]
+    assert "SortAggregate" in customer_stage
+    assert len(re.findall(r"\bSort \[", customer_stage)) == 1
+
+
 def test_no_nested_loops_in_the_whole_plan(spark, no_broadcast):
     feeds = event_feeds(spark, SF)
     impressions = slice_impressions_last_n_days(feeds["impressions"], 14)

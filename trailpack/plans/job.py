@@ -91,6 +91,9 @@ def configure(spark: SparkSession, config: JobConfig) -> None:
     conf.set("spark.sql.adaptive.enabled", "true")
     # Keeps the per-task limit ahead of the first shuffle for any history length.
     conf.set(EARLY_LIMIT, str(max(int(conf.get(EARLY_LIMIT)), config.max_actions)))
+    # Rows reach the packing aggregate sorted by customer: take one customer at a time, with no second
+    # sort and no map of many customers' lists on the heap.
+    conf.set("spark.sql.execution.useObjectHashAggregateExec", "false")
     # After the rebalance a task holds few days: one open file each, instead of sorting wide rows.
     conf.set("spark.sql.maxConcurrentOutputFileWriters", "16")
     if config.shuffle_partitions > 0:
