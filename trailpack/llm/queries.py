@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.testbed import table
 from .chat import format_chats
+from .packing import pack
 from .url_filter import judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,7 +22,12 @@ def op8_url_filter(spark, sf_dir):
     return judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_best_fit_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op4_chat_formatting": op4_chat_formatting,
     "op8_url_filter": op8_url_filter,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
