@@ -12,8 +12,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def ascii_lower(text: Column) -> Column:
-    """A-Z only; other letters stay."""
-    return F.translate(text, UPPER, LOWER)
+    """A-Z only; other letters stay. ``lower`` does the same where there are no others, and faster."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def scratch_dir(spark: SparkSession) -> str:

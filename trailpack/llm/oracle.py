@@ -19,3 +19,25 @@ SELECT conv_id, n_turns, n_copies,
        list_aggregate(list_transform(turns, lambda t: '<|im_start|>' || coalesce(t.role, '') || chr(10) || coalesce(t.text, '') || '<|im_end|>' || chr(10)), 'string_agg', '') AS rendered
 FROM classes ANTI JOIN prefixes USING (turns)
 """
+
+# A line's key and the documents that hold it; a repeated key's lines stay in the largest doc_id.
+ORACLE["op1_line_dedup"] = """
+WITH split AS (
+    SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
+), lines AS (
+    SELECT doc_id, unnest(parts) AS line, unnest(range(1, len(parts) + 1)) AS n FROM split
+), keyed AS (
+    SELECT doc_id, n, line,
+           translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM lines
+), repeated AS (
+    SELECT key, max(doc_id) AS holder FROM keyed WHERE length(key) >= 40
+    GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), marked AS (
+    SELECT k.doc_id, k.n, k.line, coalesce(r.holder <> k.doc_id, false) AS dropped FROM keyed k LEFT JOIN repeated r USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""

@@ -8,12 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.testbed import table
 from .chat import format_chats
+from .line_dedup import line_report
 from .packing import pack
 from .url_filter import judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_line_dedup(spark, sf_dir):
+    return line_report(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op4_chat_formatting(spark, sf_dir):
     return format_chats(table(spark, sf_dir, "conversations"))
 
@@ -27,6 +32,7 @@ def op10_best_fit_packing(spark, sf_dir):
 
 
 QUERIES: dict[str, Query] = {
+    "op1_line_dedup": op1_line_dedup,
     "op4_chat_formatting": op4_chat_formatting,
     "op8_url_filter": op8_url_filter,
     "op10_best_fit_packing": op10_best_fit_packing,
