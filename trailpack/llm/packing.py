@@ -25,7 +25,9 @@ from .common import stored
 
 END_ID = 2
 #: So many words a task remembers; frequent ones come early, and later ones are kept for their batch only.
-CACHED_WORDS = 700_000
+CACHED_WORDS = 300_000
+#: Characters that a task splits into words at a time.
+SEGMENT = 1_000_000
 #: Pieces of one length that one task ranks, on average.
 RANKED_TOGETHER = 100_000
 
@@ -38,6 +40,20 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def segments(text: str) -> Iterator[str]:
+    """Parts of a text, cut before single spaces between other characters."""
+    start = 0
+    while len(text) - start > SEGMENT:
+        at = text.find(" ", start + SEGMENT)
+        while 0 < at < len(text) - 1 and (text[at - 1].isspace() or text[at + 1].isspace()):
+            at = text.find(" ", at + 1)
+        if not 0 < at < len(text) - 1:
+            break
+        yield text[start:at]
+        start = at
+    yield text[start:]
+
+
 class Encoder:
     """Token ids of texts, as little-endian 32-bit bytes, with the ids of words remembered.
 
@@ -67,6 +83,25 @@ class Encoder:
         return new
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; long texts in segments, and not more than about two segments' worth at a time."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        held: list[tuple[int, str]] = []
+        size = 0
+        for i, text in enumerate(texts):
+            for part in segments(text):
+                held.append((i, part))
+                size += len(part)
+                if size >= SEGMENT:
+                    self._encode(held, out)
+                    held, size = [], 0
+        self._encode(held, out)
+        return [b"".join(x) for x in out]
+
+    def _encode(self, held: list[tuple[int, str]], out: list[list[bytes]]) -> None:
+        for (i, _), ids in zip(held, self._ids([t for _, t in held]), strict=True):
+            out[i].append(ids)
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
         lines = [None if any(x in t for x in ("  ", " \n", "\n ", "\n\n")) else [x.split(" ") for x in t.split("\n")] for t in texts]
         first, rest = set(), set()
         for words in (w for text in lines if text for w in text):
