@@ -1,0 +1,75 @@
+"""Archives: written and read back, with the format's own marks inside payloads and at split edges."""
+
+import hashlib
+from base64 import b32encode
+
+import pytest
+
+from trailpack.llm import warc
+
+MAGIC = warc.MAGIC
+FAKE = f"<p>{MAGIC}WARC-Type: response\r\nWARC-Record-ID: <urn:page:99>\r\nContent-Length: 40\r\n\r\n" + "x" * 40 + "\r\n\r\nmore"
+SCHEMA = "page_id long, url string, html string, head string, owner long, start long"
+
+
+def expected(rows):
+    holder = {}
+    for page_id, _, html in rows:
+        if page_id is not None:
+            holder[html or ""] = min(page_id, holder.get(html or "", page_id))
+    for page_id, _, html in rows:
+        payload = (html or "").encode()
+        own = holder.get(html or "")
+        revisit = own is not None and own != page_id
+        yield page_id, len(payload), b32encode(hashlib.sha1(payload).digest()).decode(), "revisit" if revisit else "response", own if revisit else None
+
+
+ROWS = [
+    (1, "http://a.com/\r\nWARC-Type: revisit", "plain"),
+    (2, None, None),
+    (3, "http://a.com/b", ""),
+    (4, "http://a.com/c", "plain"),
+    (5, "http://a.com/d", FAKE),
+    (6, "http://a.com/e", f"{MAGIC}{MAGIC}{FAKE}{FAKE}{MAGIC}"),
+    (7, "http://a.com/f", "é" * 3000 + MAGIC + "Content-Length: 999999999\r\n\r\n"),
+    (8, "http://a.com/f", "\r\n\r\n" * 5),
+    (9, "http://a.com/g", "y" * 200_000 + FAKE * 50),
+    (9, "http://a.com/h", "repeated id"),
+    (None, "http://a.com/i", "plain"),
+    (None, "http://a.com/j", "only without an id"),
+    *((100 + i, f"http://a.com/{i}", f"page {i % 40} " * 30) for i in range(200)),
+]
+
+
+@pytest.mark.parametrize("compression", ["gzip", "none"])
+def test_round_trip(spark, tmp_path, compression):
+    pages = spark.createDataFrame([(*r, "x", 1, 2) for r in ROWS], SCHEMA)
+    warc.write_archives(pages.repartition(3), f"{tmp_path}/a", compression=compression)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        read = warc.read_archives(spark, f"{tmp_path}/a").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    found = sorted(((r.page_id, r.record_type, r.refers_to, r.digest) for r in read), key=str)
+    wanted = sorted(((p, kind, to, digest) for p, _, digest, kind, to in expected(ROWS)), key=str)
+    assert found == wanted
+    html = {(r[0], r[2] or "") for r in ROWS}
+    assert {(r.page_id, r.payload) for r in read if r.record_type == "response"} <= html
+    assert all(r.sha1 == r.digest for r in read if r.record_type == "response")
+
+
+def test_report(spark, tmp_path):
+    pages = spark.createDataFrame([(*r, "x", 1, 2) for r in ROWS], SCHEMA)
+    rows = warc.archive_report(pages, str(tmp_path)).collect()
+    assert sorted(map(tuple, rows), key=str) == sorted(expected(ROWS), key=str)
+
+
+def test_payloads_below_the_least_size_are_responses(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "abc"), (2, "u", "abc"), (3, "u", "longer"), (4, "u", "longer")], "page_id long, url string, html string")
+    rows = warc.archive_report(pages, str(tmp_path), min_bytes=4).collect()
+    assert sorted((r.page_id, r.record_type) for r in rows) == [(1, "response"), (2, "response"), (3, "response"), (4, "revisit")]
+
+
+def test_empty(spark, tmp_path):
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.archive_report(pages, str(tmp_path)).collect() == []

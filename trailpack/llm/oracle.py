@@ -41,3 +41,21 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped
        sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT dropped), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+# Base32 of a SHA-1: every five hex digits are 20 bits, that is four base32 digits.
+ORACLE["op5_warc"] = """
+WITH read AS (
+    SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS digits FROM pages
+), digests AS (
+    SELECT page_id, html, list_aggregate(list_transform(range(1, 41, 5), lambda i: list_aggregate(list_transform([32768, 1024, 32, 1],
+               lambda d: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                                ((('0x' || substr(digits, i, 5))::BIGINT // d) % 32 + 1)::BIGINT, 1)), 'string_agg', '')), 'string_agg', '') AS payload_digest
+    FROM read
+), held AS (
+    SELECT *, min(page_id) OVER (PARTITION BY html) AS holder FROM digests
+)
+SELECT page_id, octet_length(encode(html)) AS payload_bytes, payload_digest,
+       CASE WHEN page_id = holder THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> holder THEN holder END AS refers_to
+FROM held
+"""

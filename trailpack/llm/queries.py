@@ -11,6 +11,7 @@ from .chat import format_chats
 from .line_dedup import line_report
 from .packing import pack
 from .url_filter import judge_urls
+from .warc import archive_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +24,10 @@ def op4_chat_formatting(spark, sf_dir):
     return format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op5_warc(spark, sf_dir):
+    return archive_report(table(spark, sf_dir, "pages"))
+
+
 def op8_url_filter(spark, sf_dir):
     return judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -34,6 +39,7 @@ def op10_best_fit_packing(spark, sf_dir):
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op4_chat_formatting": op4_chat_formatting,
+    "op5_warc": op5_warc,
     "op8_url_filter": op8_url_filter,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
