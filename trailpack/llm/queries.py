@@ -10,6 +10,7 @@ from ..plans.testbed import table
 from .chat import format_chats
 from .line_dedup import line_report
 from .packing import pack
+from .quality import judge_quality
 from .url_filter import judge_urls
 from .warc import archive_report
 
@@ -28,6 +29,10 @@ def op5_warc(spark, sf_dir):
     return archive_report(table(spark, sf_dir, "pages"))
 
 
+def op6_quality_rules(spark, sf_dir):
+    return judge_quality(table(spark, sf_dir, "documents")).drop("distance")
+
+
 def op8_url_filter(spark, sf_dir):
     return judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -40,6 +45,7 @@ QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_warc": op5_warc,
+    "op6_quality_rules": op6_quality_rules,
     "op8_url_filter": op8_url_filter,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
