@@ -11,6 +11,7 @@ from .chat import format_chats
 from .line_dedup import line_report
 from .packing import pack
 from .quality import judge_quality
+from .simhash import near_duplicates
 from .url_filter import judge_urls
 from .warc import archive_report
 
@@ -33,6 +34,10 @@ def op6_quality_rules(spark, sf_dir):
     return judge_quality(table(spark, sf_dir, "documents")).drop("distance")
 
 
+def op7_simhash_golay(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark, sf_dir):
     return judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -46,6 +51,7 @@ QUERIES: dict[str, Query] = {
     "op4_chat_formatting": op4_chat_formatting,
     "op5_warc": op5_warc,
     "op6_quality_rules": op6_quality_rules,
+    "op7_simhash_golay": op7_simhash_golay,
     "op8_url_filter": op8_url_filter,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
