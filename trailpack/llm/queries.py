@@ -12,6 +12,7 @@ from .line_dedup import line_report
 from .packing import pack
 from .quality import judge_quality
 from .simhash import near_duplicates
+from .toxicity import toxicity_report
 from .url_filter import judge_urls
 from .warc import archive_report
 
@@ -46,6 +47,10 @@ def op10_best_fit_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark, sf_dir):
+    return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op4_chat_formatting": op4_chat_formatting,
@@ -53,5 +58,6 @@ QUERIES: dict[str, Query] = {
     "op6_quality_rules": op6_quality_rules,
     "op7_simhash_golay": op7_simhash_golay,
     "op8_url_filter": op8_url_filter,
+    "op9_toxicity": op9_toxicity,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
