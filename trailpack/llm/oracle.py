@@ -59,3 +59,20 @@ SELECT page_id, octet_length(encode(html)) AS payload_bytes, payload_digest,
        CASE WHEN page_id <> holder THEN holder END AS refers_to
 FROM held
 """
+
+# Distinct shingles of five words, on both sides.
+_SHINGLES = """
+    SELECT {id}, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                             ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS shingle
+    FROM (SELECT {id}, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+          FROM {table})
+    WHERE len(w) > 0
+"""
+ORACLE["op2_decontamination"] = f"""
+WITH items AS (SELECT DISTINCT item_id, shingle FROM ({_SHINGLES.format(id="item_id", table="benchmark")})),
+docs AS (SELECT DISTINCT doc_id, shingle FROM ({_SHINGLES.format(id="doc_id", table="documents")})),
+sizes AS (SELECT item_id, count(*) AS n_item FROM items GROUP BY item_id),
+shared AS (SELECT doc_id, item_id, count(*) AS n_shared FROM docs JOIN items USING (shingle) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment
+FROM shared JOIN sizes USING (item_id) WHERE 5 * n_shared >= 4 * n_item
+"""

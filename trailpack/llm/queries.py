@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.testbed import table
 from .chat import format_chats
+from .decontamination import find_contained
 from .line_dedup import line_report
 from .packing import pack
 from .quality import judge_quality
@@ -23,6 +24,10 @@ def op1_line_dedup(spark, sf_dir):
     return line_report(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op2_decontamination(spark, sf_dir):
+    return find_contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_chat_formatting(spark, sf_dir):
     return format_chats(table(spark, sf_dir, "conversations"))
 
@@ -53,6 +58,7 @@ def op9_toxicity(spark, sf_dir):
 
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_decontamination": op2_decontamination,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_warc": op5_warc,
     "op6_quality_rules": op6_quality_rules,

@@ -259,25 +259,28 @@ def learn(documents: DataFrame, labels: DataFrame) -> Index:
     return index
 
 
-def score_toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, score, predicted, near_ids and near_cosines (the evidence), by all ``labels`` given."""
-    index = learn(documents, labels)
-    shared = documents.sparkSession.sparkContext.broadcast(index)  # bounded by EXAMPLES and TERMS
+def scorer(documents: DataFrame, labels: DataFrame):
+    """A column function of the text: struct of score, near_ids and near_cosines (the evidence), by all ``labels`` given."""
+    shared = documents.sparkSession.sparkContext.broadcast(learn(documents, labels))  # bounded by EXAMPLES and TERMS
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [shared.value.score(t) for t in batch["text"]]
-            scores, ids, cosines = zip(*found, strict=True) if found else ((), (), ())
-            yield pd.DataFrame({"id": batch["id"], "score": scores, "near_ids": ids, "near_cosines": cosines})
+    @F.pandas_udf("score double, near_ids array<bigint>, near_cosines array<double>")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            found = [shared.value.score(t) for t in texts]
+            yield pd.DataFrame(found, columns=["score", "near_ids", "near_cosines"])
 
-    made = documents.select(F.col("doc_id").cast("string").alias("id"), "text").mapInPandas(
-        run, "id string, score double, near_ids array<long>, near_cosines array<double>"
-    )
-    predicted = F.when(F.col("score") >= REJECT, 1).otherwise(0)
-    return made.select(F.col("id").cast("long").alias("doc_id"), "score", predicted.alias("predicted"), "near_ids", "near_cosines")
+    return score
 
 
 def toxicity_report(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """As score_toxicity, with held_out: labels of those rows are not learned from."""
-    scored = score_toxicity(documents, labels.where(~held_out(F.col("doc_id"))))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "near_ids", "near_cosines")
+    """doc_id, held_out, score, predicted, near_ids, near_cosines. Labels of held-out rows are not learned from."""
+    score = scorer(documents, labels.where(~held_out(F.col("doc_id"))))
+    scored = documents.select("doc_id", score("text").alias("found")).select("doc_id", "found.*")
+    predicted = F.when(F.col("score") >= REJECT, 1).otherwise(0).alias("predicted")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", predicted, "near_ids", "near_cosines")
+
+
+def without_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents whose score is below REJECT, judged row by row where they lie."""
+    score = scorer(documents, labels)
+    return documents.where(score("text")["score"] < REJECT)
