@@ -13,6 +13,7 @@ from .line_dedup import line_report
 from .packing import pack
 from .quality import judge_quality
 from .simhash import near_duplicates
+from .substring_dedup import repeated_passages
 from .toxicity import toxicity_report
 from .url_filter import judge_urls
 from .warc import archive_report
@@ -28,6 +29,10 @@ def op2_decontamination(spark, sf_dir):
     return find_contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_substring_dedup(spark, sf_dir):
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op4_chat_formatting(spark, sf_dir):
     return format_chats(table(spark, sf_dir, "conversations"))
 
@@ -48,17 +53,18 @@ def op8_url_filter(spark, sf_dir):
     return judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-def op10_best_fit_packing(spark, sf_dir):
-    return pack(table(spark, sf_dir, "documents"))
-
-
 def op9_toxicity(spark, sf_dir):
     return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_best_fit_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontamination": op2_decontamination,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_warc": op5_warc,
     "op6_quality_rules": op6_quality_rules,
