@@ -34,7 +34,7 @@ from .decontamination import Hasher, mixed
 SHINGLE, SIMILARITY = 5, 0.8
 REACH, LONGEST = 4, 64
 BANDS, ROWS = 4, 2
-LEAST_WORDS = 16
+LEAST_WORDS = 20
 #: Most bits of the map that marks paragraphs for the second scan; a fuller map lets more through, which costs time only.
 MAP_BITS = 26
 
