@@ -43,12 +43,12 @@ def test_columns_and_types(spark):
 
 def test_window_order_and_padding(spark):
     actions = [
-        (1, 10, 1, at("2025-08-14 10:00")),
-        (1, 20, 3, at("2025-08-13 00:00")),
-        (1, 30, 2, at("2025-08-15 09:00")),  # same day
-        (1, 40, 1, at("2025-08-01 09:00")),  # too old
+        (4, 71, 2, at("2025-08-12 18:45")),
+        (4, 72, 1, at("2025-08-14 06:15")),
+        (4, 73, 3, at("2025-08-15 00:00")),  # same day
+        (4, 74, 1, at("2025-07-30 12:00")),  # too old
     ]
-    assert built(spark, actions, [(DAY, 1)], 3, 7) == {(DAY, 1): ([10, 20, 0], [1, 3, 0])}
+    assert built(spark, actions, [(DAY, 4)], 3, 7) == {(DAY, 4): ([72, 71, 0], [1, 2, 0])}
 
 
 @pytest.mark.parametrize(

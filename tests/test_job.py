@@ -3,7 +3,8 @@ from datetime import date
 
 import pytest
 
-from trailpack.operators import leaks
+from trailpack.operators.actions import build_actions_union
+from trailpack.operators.quality import gate_counters, quality_counters
 from trailpack.plans import job
 from trailpack.plans.job import FEEDS, JobConfig, LeakError, parse_args, run_job
 from trailpack.plans.training import build_training_inputs
@@ -56,20 +57,72 @@ def external(base, tmp_path, *more):
 
 def test_demo(spark, tmp_path):
     report = run_job(spark, demo(tmp_path))
-    assert (report.rows, report.records, report.leaks, report.kept_outside_window) == (2, 2, 0, 0)
+    assert (report.rows, report.records, report.leaks, report.kept_outside_window) == (4, 4, 0, 0)
     assert (report.first_day, report.last_day) == (date(2025, 8, 16), TODAY)
-    assert report.quality["rows"] == 5 and report.warnings == []
+    assert report.quality["rows"] == 7 and report.warnings == []
     rows = {r.ranking_id: (r.actions, r.action_types) for r in read_run(spark, str(tmp_path / "out")).collect()}
-    # The click on the 16th is not in the history of the 16th.
     assert rows == {
-        "r1": ([10, 11, 12, 10], [1, 1, 2, 3]),
-        "r2": ([99, 10, 11, 12], [1, 1, 1, 2]),
+        # Cut to four; of two clicks at one time the larger item comes first.
+        "home-7": ([602, 601, 611, 603], [1, 1, 2, 1]),
+        "search-7": ([611, 603, 604, 621], [2, 1, 1, 3]),
+        "home-8": ([0, 0, 0, 0], [0, 0, 0, 0]),
+        "home-9": ([0, 0, 0, 0], [0, 0, 0, 0]),
     }
 
 
 def test_train_days(spark, tmp_path):
     report = run_job(spark, demo(tmp_path, train_days=1))
-    assert (report.rows, report.first_day) == (1, TODAY)
+    assert (report.rows, report.first_day) == (3, TODAY)
+
+
+def test_what_write_feeds_writes_is_read_in_full_by_default(spark, data, tmp_path):
+    base, feeds = data
+    report = run_job(spark, JobConfig(out=str(tmp_path / "out"), paths={n: f"{base}/{n}" for n in FEEDS}))
+    assert report.rows == 14 * 20 and report.quality["rows"] == sum(feeds[n].count() for n in FEEDS[1:])
+    with pytest.raises(ValueError, match="layout='lines'"):
+        run_job(spark, JobConfig(out=str(tmp_path / "a"), layout="array", paths={n: f"{base}/{n}" for n in FEEDS}))
+    write_feeds(feeds, str(tmp_path / "arrays"), rows_per_file=37, layout="array")
+    paths = {n: str(tmp_path / "arrays" / n) for n in FEEDS}
+    again = run_job(spark, JobConfig(out=str(tmp_path / "b"), layout="array", paths=paths))
+    assert again.rows == report.rows and again.quality["rows"] == report.quality["rows"]
+    assert bag(read_run(spark, str(tmp_path / "b"))) == bag(read_run(spark, str(tmp_path / "out")))
+
+
+@pytest.mark.parametrize("layout", ["lines", "array", "parquet"])
+def test_days_and_times_that_do_not_parse_are_rejected(spark, tmp_path, layout):
+    shown = [{"item_id": 1, "is_order": False}]
+    rows = {
+        "impressions": [{"dt": d, "ranking_id": "r", "customer_id": 1, "impressions": shown} for d in ("2025-08-16", "05/01/2024")],
+        "clicks": [{"dt": "d", "customer_id": 1, "item_id": 9, "click_time": t} for t in ("2025-08-15 10:00:00", "noon", None)],
+        "atc": [{"dt": "d", "customer_id": 1, "config_id": 9, "simple_id": None, "occurred_at": "2025-13-01"}],
+        "orders": [{"order_date": "2025-02-30", "customer_id": 1, "config_id": 9}],
+    }
+    for name, content in rows.items():
+        path = tmp_path / "in" / name
+        if layout == "parquet":
+            schema = job.FEED_SCHEMAS[name]
+            values = [tuple([tuple(x.values()) for x in v] if isinstance(v, list) else v for v in r.values()) for r in content]
+            spark.createDataFrame(values, schema).write.parquet(str(path))
+        else:
+            path.mkdir(parents=True)
+            (path / "a.json").write_text(json.dumps(content) if layout == "array" else "\n".join(map(json.dumps, content)))
+    paths = {n: str(tmp_path / "in" / n) for n in FEEDS}
+    report = run_job(spark, JobConfig(out=str(tmp_path / "out"), paths=paths, layout=layout))
+    assert report.rejects == {"impressions": 1, "clicks": 1, "atc": 1, "orders": 1}
+    assert (report.rows, report.quality["undated_actions"]) == (1, 1)
+    kept = spark.read.json(quarantine_path(str(tmp_path / "out"), "impressions")).first()
+    assert (kept["dt"], kept["_bad_fields"]) == ("05/01/2024", ["dt"])
+    with pytest.raises(job.RejectError, match="rejected"):
+        run_job(spark, JobConfig(out=str(tmp_path / "strict"), paths=paths, layout=layout, strict=True))
+    assert not (tmp_path / "strict").exists()
+
+
+def test_rejects_of_an_earlier_run_do_not_stay(spark, tmp_path):
+    config = write_small(tmp_path, [{"customer_id": "x", "item_id": 9, "click_time": "2025-08-15 10:00:00"}])
+    assert run_job(spark, config).rejects["clicks"] == 1
+    (tmp_path / "in" / "clicks" / "a.json").write_text("")
+    assert run_job(spark, config).rejects["clicks"] == 0
+    assert list((tmp_path / "out_quarantine" / "clicks").glob("part-*")) == [] or spark.read.text(quarantine_path(str(tmp_path / "out"), "clicks")).count() == 0
 
 
 def test_feeds_from_files_equal_the_library_call(spark, data, tmp_path):
@@ -128,8 +181,10 @@ def test_staging_goes_to_the_shared_folder(spark, data, tmp_path, monkeypatch):
     assert new_run_dir(Session, otherwise="/local").startswith("/local/run-")
 
     monkeypatch.setattr(job, "new_run_dir", lambda spark, otherwise: shared)
-    run_job(spark, external(data[0], tmp_path))
+    run_job(spark, external(data[0], tmp_path, "--keep-staging"))
     assert len(list((tmp_path / "shared").glob("run-*/impressions"))) == 1
+    run_job(spark, external(data[0], tmp_path))
+    assert list((tmp_path / "shared").glob("run-*/impressions")) == []
 
 
 def test_empty_feeds(spark, tmp_path):
@@ -150,7 +205,7 @@ def write_small(tmp_path, clicks):
     }
     for name, content in rows.items():
         (tmp_path / "in" / name).mkdir(parents=True)
-        (tmp_path / "in" / name / "a.json").write_text(json.dumps(content))
+        (tmp_path / "in" / name / "a.json").write_text("\n".join(map(json.dumps, content)))
     return parse_args(
         ["--out", str(tmp_path / "out"), "--data", str(tmp_path / "in"), "--max-actions", "2",
          "--external-upstream-scan", "--fail-on-same-day-leak"]
@@ -177,15 +232,7 @@ def test_failing_quality_gate(spark, tmp_path):
     assert run_job(spark, JobConfig(**{**config.__dict__, "check_quality": False})).warnings == []
 
 
-def test_leak_stops_the_job(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(leaks, "check_no_same_day_leak_strict", lambda *a, **k: 3)
-    with pytest.raises(LeakError, match="3"):
-        run_job(spark, demo(tmp_path, fail_on_same_day_leak=True))
-    assert not (tmp_path / "out").exists()
-    assert run_job(spark, demo(tmp_path)).leaks == 3
-
-
-def test_audit_of_written_rows(spark, tmp_path, monkeypatch):
+def test_a_leak_is_found_before_anything_is_published(spark, tmp_path, monkeypatch):
     """A history from outside its window is counted while it is written."""
     right = job.unpadded_inputs
 
@@ -193,9 +240,19 @@ def test_audit_of_written_rows(spark, tmp_path, monkeypatch):
         return right(*args, **options).selectExpr("* EXCEPT (newest_day)", "as_of_date AS newest_day")
 
     monkeypatch.setattr(job, "unpadded_inputs", wrong)
-    assert run_job(spark, demo(tmp_path)).kept_outside_window == 2
-    with pytest.raises(LeakError):
+    with pytest.raises(LeakError, match="4"):
         run_job(spark, demo(tmp_path, fail_on_same_day_leak=True))
+    assert list(tmp_path.glob("out*")) == []
+    report = run_job(spark, demo(tmp_path))
+    assert (report.leaks, report.kept_outside_window) == (4, 4)
+
+
+def test_default_gate_shuffles_no_actions(spark):
+    actions = build_actions_union(*(demo_inputs(spark, TODAY)[n] for n in FEEDS[1:]))
+    plan = gate_counters(actions)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan
+    wanted = quality_counters(actions).first().asDict() | {"duplicate_action_rows": None}
+    assert gate_counters(actions).first().asDict() == wanted
 
 
 def test_main_returns_2_on_a_leak(spark, tmp_path, monkeypatch):

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from trailpack.operators.histories import (
     EARLY_LIMIT,
     build_histories_for_impressions,
+    customer_timelines,
+    newest_per_day,
+    of_asked_customers,
     packed_histories,
 )
 from trailpack.operators.impressions import normalize_impressions, slice_impressions_last_n_days
@@ -61,9 +64,10 @@ def test_long_histories_warn_until_the_setting_allows_them(spark):
 
 def test_history_shuffles_and_sorts(spark, no_broadcast):
     text = plan(histories(spark))
-    exchanges = re.findall(r"Exchange (hashpartitioning\([^)]*\))", text)
-    # By (customer, day, salt), by customer, and the distinct contexts.
-    assert len(exchanges) == 3
+    exchanges = re.findall(r"Exchange hashpartitioning\(([^)]*), \d+\)", text)
+    kinds = {re.sub(r"#\d+L?", "", e) for e in exchanges}
+    # By (customer, day, salt), by customer, and the distinct contexts; the map of asked customers moves no actions.
+    assert {k for k in kinds if "customer_id" in k} == {"customer_id, day, salt", "customer_id", "as_of_date, customer_id"}
     customer_stage = text[: text.index("REPARTITION_BY_COL")]
     assert len(re.findall(r"\bSort \[", customer_stage)) == 1
     assert "Join" not in text and "CartesianProduct" not in text
@@ -154,3 +158,38 @@ def test_hot_context_is_split_by_aqe(spark, no_broadcast):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_only_actions_of_asked_customers_are_shuffled(spark):
+    """20 of 20 000 customers are asked for: their actions alone pass the map of asked customers."""
+    day = date(2025, 8, 15)
+    actions = spark.range(200_000).select(
+        (F.col("id") % 20_000).alias("customer_id"),
+        F.col("id").cast("int").alias("item_id"),
+        F.lit("2025-08-14 10:00:00").cast("timestamp").alias("occurred_at"),
+        F.lit(1).alias("action_type"),
+        F.lit("clicks").alias("source"),
+        F.lit("2025-08-14").cast("date").alias("action_date"),
+    )
+    contexts = spark.range(20).select(F.lit(day).alias("as_of_date"), (F.col("id") * 1000).alias("customer_id"))
+    kept = of_asked_customers(actions, contexts)
+    assert 200 <= kept.count() < 400
+    assert "Join" not in plan(kept).split("Subquery")[0]
+    built = packed_histories(actions, contexts, max_actions=6, lookback_days=7)
+    assert sorted(r.customer_id for r in built.where("size(actions) = 6").collect()) == [1000 * i for i in range(20)]
+
+
+def test_a_customer_gathers_at_most_n_entries_per_day_asked_for(spark):
+    actions = spark.range(5000).select(
+        F.lit(1).cast("bigint").alias("customer_id"),
+        F.col("id").cast("int").alias("item_id"),
+        (F.lit("2025-08-14").cast("timestamp") - F.make_dt_interval(F.col("id") % 300)).alias("occurred_at"),
+        F.lit(1).alias("action_type"),
+    )
+    contexts = spark.createDataFrame(
+        [(date(2025, 8, 15), 1), (date(2025, 8, 1), 1), (date(2025, 7, 31), 1)], "as_of_date date, customer_id bigint"
+    )
+    newest = newest_per_day(actions, 10)
+    row = customer_timelines(newest, contexts, 10, 365).first()
+    assert len(row.entries) <= 30 and len(row.asked) == 3
+    assert all(a.length == 10 for a in row.asked)

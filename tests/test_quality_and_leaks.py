@@ -61,6 +61,11 @@ def test_leak_count_is_zero_even_for_leaky_inputs(spark):
     contexts = contexts_df(spark, [(T0.date(), 1), (T0.date(), 2)])
     assert leaks.check_no_same_day_leak_strict(actions, contexts, lookback_days=7) == 0
     assert leaks.check_no_same_day_leak_strict(actions, contexts.limit(0), lookback_days=7) == 0
+    # A history that does keep the day itself is counted.
+    wrong = packed_histories(actions, contexts, lookback_days=7, keep_times=True).withColumn(
+        "action_times", F.array(F.lit(T0), F.lit(T0 - timedelta(days=1)))
+    )
+    assert leaks.same_day_leaks(wrong).first().leaks == 2
 
 
 def test_upstream_scan(spark):
@@ -94,14 +99,16 @@ def test_candidate_counts(spark, days):
 def test_audit_is_clean_for_built_histories(spark):
     actions, contexts = random_case(10)
     frame = actions_df(spark, actions)
-    histories = packed_histories(
-        frame, contexts_df(spark, contexts), max_actions=6, lookback_days=4, keep_times=True
-    )
-    audit = leaks.audit_histories(histories, frame, max_actions=6, lookback_days=4)
+    asked = contexts_df(spark, contexts + [(None, 1), (contexts[0][0], None)])
+    histories = packed_histories(frame, asked, max_actions=6, lookback_days=4, keep_times=True)
+    audit = leaks.audit_histories(histories, frame, asked, max_actions=6, lookback_days=4)
     rows = audit.collect()
-    assert len(rows) == len(set(contexts))
-    broken = ("not_before", "too_old", "over_limit", "out_of_order", "missing")
+    assert len(rows) == len(set(contexts)) + 2
+    broken = ("not_before", "too_old", "over_limit", "out_of_order", "missing", "absent")
     assert all(r[name] == 0 for r in rows for name in broken)
+    half = histories.where("customer_id % 2 = 0")
+    lost = leaks.audit_histories(half, frame, asked, max_actions=6, lookback_days=4).where("absent = 1")
+    assert lost.count() == len(rows) - half.count() > 0
 
 
 def test_audit_finds_every_kind_of_fault(spark):
@@ -112,5 +119,5 @@ def test_audit_finds_every_kind_of_fault(spark):
         "action_times array<timestamp>",
     )
     seen = actions_df(spark, [(1, i, 1, T0 - timedelta(days=1, minutes=i)) for i in range(9)])
-    row = leaks.audit_histories(history, seen, max_actions=2, lookback_days=7).first()
+    row = leaks.audit_histories(history, seen, history, max_actions=2, lookback_days=7).first()
     assert (row.kept, row.not_before, row.too_old, row.over_limit, row.out_of_order, row.missing) == (3, 1, 1, 1, 2, -1)

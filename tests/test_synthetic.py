@@ -64,5 +64,5 @@ def test_written_feeds_read_back(spark, tmp_path):
 
 def test_demo(spark):
     demo = demo_inputs(spark, date(2025, 8, 17))
-    assert {n: df.count() for n, df in demo.items()} == {"impressions": 2, "clicks": 3, "atc": 1, "orders": 1}
+    assert {n: df.count() for n, df in demo.items()} == {"impressions": 4, "clicks": 5, "atc": 1, "orders": 1}
     assert all(demo[n].schema == s for n, s in FEED_SCHEMAS.items())

@@ -3,13 +3,16 @@
 A look-back window holds whole days, so no context can need more than the newest N actions of any
 one day. That bounds exactly what has to be gathered per customer, however many actions there are:
 
+0. actions of customers that no context asks for are dropped in the scan's own stage, by a bit map of the asked
+   customers. It has a fixed size: with very many asked customers it lets more through, never less.
 1. newest N per (customer, day, salt): limited once inside each map task, before the shuffle, and
    once after it. The salt is the number of the map task modulo ``salts``: what one task holds of a
    day stays together, and a day with a third of all actions spreads over ``salts`` reducers.
 2. by customer, together with one marker row per day asked for: the salted pieces of a day merge to
    its newest N, and running counts over the days give each marker where its window starts and ends
    in the customer's actions, newest first.
-3. per customer one array of actions; every marker cuts its slice out of it.
+3. actions more than N behind the latest marker before them are in no history and go; the others make one array per
+   customer, of at most N per day asked for, and every marker cuts its slice out of it.
 
 Actions are never paired with contexts. One sort by customer and day serves all of steps 2 and 3.
 """
@@ -32,6 +35,10 @@ DEFAULT_SALTS = 32
 # Spark limits rows per window group ahead of a shuffle up to this limit only.
 EARLY_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
+# Bits of the map of asked customers, an eighth of a megabyte. Raise it where more than some 100 000 customers of many
+# more are asked for.
+ASKED_BITS = 20
+
 # Newest first; nulls last within ties, which DESC and sort_array(asc=False) both do.
 RECENCY = ("occurred_at", "action_type", "item_id")
 
@@ -59,6 +66,31 @@ def actions_in_reach(
     )
 
 
+def _asked_bit(bits: int) -> Column:
+    return F.pmod(F.xxhash64(F.col("customer_id").cast("bigint")), F.lit(1 << bits))
+
+
+def asked_map(contexts: DataFrame, bits: int = ASKED_BITS) -> DataFrame:
+    """One row, one array of 2 ** (bits - 6) words: the bits of all customers asked for."""
+    at = contexts.where("customer_id IS NOT NULL").select(_asked_bit(bits).alias("at"))
+    one = F.expr("shiftleft(1L, cast(at & 63 AS int))")
+    words = at.select(F.shiftright("at", 6).alias("word"), one.alias("set"))
+    every = contexts.sparkSession.range(1 << (bits - 6)).select(F.col("id").alias("word"), F.lit(0).cast("bigint").alias("set"))
+    dense = words.unionByName(every).groupBy("word").agg(F.bit_or("set").alias("set"))
+    return dense.agg(F.sort_array(F.collect_list(F.struct("word", "set")))["set"].alias("words"))
+
+
+def of_asked_customers(actions: DataFrame, contexts: DataFrame, bits: int = ASKED_BITS) -> DataFrame:
+    """The actions of customers with a context, and few others, without a join or a shuffle of actions.
+
+    A semi join would either need a broadcast or leave the rows clustered by customer, a hot one in one task.
+    """
+    at = _asked_bit(bits)
+    word = F.get(asked_map(contexts, bits).scalar(), F.shiftright(at, 6).cast("int"))
+    # A null bit number (no customer) is no match.
+    return actions.where(F.getbit(word, at.bitwiseAND(F.lit(63)).cast("int")) == 1)
+
+
 def newest_per_day(actions: DataFrame, max_actions: int, salts: int = DEFAULT_SALTS) -> DataFrame:
     """At most ``max_actions`` rows per (customer, day, salt), the newest ones."""
     if max_actions > int(actions.sparkSession.conf.get(EARLY_LIMIT)):
@@ -94,7 +126,7 @@ def customer_timelines(
     """One row per customer asked for: ``entries``, newest first, and ``asked``.
 
     ``asked`` holds the days with ``skip``, the entries on or after the day, and ``length``, how many
-    of the following ones belong to its history. ``entries`` has at most ``max_actions`` per day.
+    of the following ones belong to its history. ``entries`` has at most ``max_actions`` per day asked for.
     """
     recency = [newest.schema[c] for c in RECENCY]
     acted = newest.select(
@@ -118,11 +150,18 @@ def customer_timelines(
     is_action = F.col("acted") == 1
 
     # Markers sort behind the actions of their day, so they take no rank away from them.
+    passed = by_age.rangeBetween(Window.unboundedPreceding, -1)
     counted = (
         acted.unionByName(markers)
         .repartition("customer_id")
         .withColumn("nth", F.row_number().over(in_day))
         .where(~is_action | (F.col("nth") <= max_actions))
+        .withColumn("skip", F.sum("acted").over(until_day))
+        .withColumn("newer", F.coalesce(F.sum("acted").over(passed), F.lit(0)))
+        # How many actions are as new as the latest marker passed; null before the first one.
+        .withColumn("seen_from", F.max(F.when(~is_action, F.col("skip"))).over(passed))
+        .where(~is_action | (F.col("newer") + F.col("nth") - F.col("seen_from") <= max_actions))
+        # Counted again among those that are left: what a marker sees has stayed whole.
         .withColumn("skip", F.sum("acted").over(until_day).cast("int"))
         .withColumn("until", F.sum("acted").over(until_oldest).cast("int"))
     )
@@ -157,6 +196,7 @@ def packed_histories(
     """
     contexts = contexts_df.select("as_of_date", "customer_id")
     reach = actions_in_reach(actions_union_df, contexts, lookback_days, as_of_range)
+    reach = of_asked_customers(reach, contexts)
     timelines = customer_timelines(
         newest_per_day(reach, max_actions, salts), contexts, max_actions, lookback_days
     )

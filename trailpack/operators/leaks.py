@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schemas import DEFAULT_MAX_ACTIONS
 from .actions import daily_action_counts
+from .histories import packed_histories
 from .impressions import contexts_of
 
 
@@ -49,32 +51,29 @@ def candidate_counts(
     )
 
 
-def same_day_leaks(actions: DataFrame, contexts: DataFrame, *, lookback_days: int) -> DataFrame:
-    """One row: actions that pass the window's bounds and still fall on the context's day.
-
-    The bounds rule such actions out, so this is 0 by construction; ``audit_histories`` looks at what
-    was really kept.
-    """
-    day = F.col("action_date")
-    as_of = F.col("as_of_date")
-    return (
-        daily_action_counts(actions)
-        .alias("a")
-        .join(
-            contexts_of(contexts).alias("c"),
-            (F.col("a.customer_id") == F.col("c.customer_id")) & (day == as_of),
-        )
-        .where((day < as_of) & (day >= F.date_sub(as_of, lookback_days)))
-        .agg(F.coalesce(F.sum("n"), F.lit(0).cast("bigint")).alias("leaks"))
-    )
+def same_day_leaks(histories: DataFrame) -> DataFrame:
+    """One row: the kept actions that fall on their context's own day, in histories built with ``keep_times``."""
+    same_day = F.filter("action_times", lambda t: F.to_date(t) == F.col("as_of_date"))
+    leaks = F.coalesce(F.sum(F.size(same_day)), F.lit(0).cast("bigint"))
+    return histories.agg(leaks.alias("leaks"))
 
 
 def check_no_same_day_leak_strict(
-    actions_union_df: DataFrame, impressions_ctx_df: DataFrame, *, lookback_days: int
+    actions_union_df: DataFrame,
+    impressions_ctx_df: DataFrame,
+    *,
+    lookback_days: int,
+    max_actions: int = DEFAULT_MAX_ACTIONS,
 ) -> int:
-    return same_day_leaks(
-        actions_union_df, impressions_ctx_df, lookback_days=lookback_days
-    ).first()["leaks"]
+    """Builds the histories and counts what they keep of the day itself."""
+    built = packed_histories(
+        actions_union_df,
+        impressions_ctx_df,
+        max_actions=max_actions,
+        lookback_days=lookback_days,
+        keep_times=True,
+    )
+    return same_day_leaks(built).first()["leaks"]
 
 
 def upstream_same_day(actions: DataFrame, contexts: DataFrame) -> DataFrame:
@@ -97,18 +96,20 @@ def has_upstream_same_day(actions: DataFrame, contexts: DataFrame) -> bool:
 def audit_histories(
     histories: DataFrame,
     actions: DataFrame,
+    contexts: DataFrame,
     *,
     max_actions: int,
     lookback_days: int,
 ) -> DataFrame:
-    """Per context, what was kept and how often each rule is broken (all zero when right).
+    """Per context asked for, what was kept and how often each rule is broken (all zero when right).
 
     Takes unpadded histories built with ``keep_times``. ``missing`` compares with the candidates
-    counted independently from the actions.
+    counted independently from the actions; ``absent`` is 1 for a context that has no history at all, and then
+    all its candidates are missing.
     """
     times = F.col("action_times")
     as_of = F.col("as_of_date")
-    expected = candidate_counts(actions, histories, lookback_days)
+    expected = candidate_counts(actions, contexts, lookback_days).alias("e")
 
     def count_days(rule):
         return F.size(F.filter(times, lambda t: rule(F.to_date(t))))
@@ -129,7 +130,19 @@ def audit_histories(
         F.greatest(F.size("actions") - F.lit(max_actions), F.lit(0)).alias("over_limit"),
         F.size(F.filter(rising, lambda r: r)).alias("out_of_order"),
     )
-    return measured.join(expected, ["as_of_date", "customer_id"]).select(
-        *measured.columns,
-        (F.least(F.col("candidates"), F.lit(max_actions)) - F.col("kept")).alias("missing"),
+    # Keys may be null on both sides.
+    same = F.lit(True)
+    for key in ("as_of_date", "customer_id"):
+        same = same & F.col(f"e.{key}").eqNullSafe(F.col(f"m.{key}"))
+    found = F.col("m.found")
+    counts = [c for c in measured.columns if c not in ("as_of_date", "customer_id", "newest_at", "oldest_at")]
+    wanted = F.least(F.col("candidates"), F.lit(max_actions))
+    return expected.join(measured.withColumn("found", F.lit(True)).alias("m"), same, "left").select(
+        "e.as_of_date",
+        "e.customer_id",
+        "newest_at",
+        "oldest_at",
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in counts],
+        (wanted - F.coalesce("kept", F.lit(0))).alias("missing"),
+        F.when(found, 0).otherwise(1).alias("absent"),
     )

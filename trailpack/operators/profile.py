@@ -70,8 +70,7 @@ def sample_customers(run: DataFrame, n: int, seed: int = 0) -> DataFrame:
 
 
 def customer_snapshot(run: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    # The picked side has at most n rows by its limit.
-    picked = F.broadcast(sample_customers(run, n, seed))
+    picked = sample_customers(run, n, seed)
     return (
         _row_features(run)
         .drop("pad_zeros")
@@ -108,10 +107,10 @@ def sample_rows(run: DataFrame, n: int, seed: int = 0) -> DataFrame:
 
 
 def sample_items(run: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """One random item from each of ``n`` random records (nested form)."""
+    """One random item from each of ``n`` random records: of normalised impressions, or a nested run."""
     records = run.select(*RECORD_KEYS)
-    # At most n rows by its limit; a semi join keeps records whose key repeats from multiplying.
-    picked = F.broadcast(records.orderBy(_record_hash(seed), *RECORD_KEYS).limit(n))
+    # A semi join keeps records whose key repeats from multiplying.
+    picked = records.orderBy(_record_hash(seed), *RECORD_KEYS).limit(n)
     items = (
         run.select(*RECORD_KEYS, "impressions")
         .join(picked, list(RECORD_KEYS), "left_semi")

@@ -22,13 +22,13 @@ class QualityReport:
     rows: int
     null_customer_ids: int
     future_actions: int
-    # Groups of equal rows, not surplus rows.
-    duplicate_action_rows: int
+    # Groups of equal rows, not surplus rows; None where they were not asked for.
+    duplicate_action_rows: int | None
     # Item id 0 cannot be told from padding; an undated action is in no history.
     zero_item_ids: int = 0
     undated_actions: int = 0
 
-    def as_dict(self) -> dict[str, int]:
+    def as_dict(self) -> dict[str, int | None]:
         return asdict(self)
 
 
@@ -66,10 +66,24 @@ def quality_counters(actions: DataFrame, now: Column | None = None) -> DataFrame
     )
 
 
+def gate_counters(actions: DataFrame, now: Column | None = None) -> DataFrame:
+    """The counters without duplicates: what the gate needs, with one row per task to shuffle."""
+    now = F.current_timestamp() if now is None else now
+    return actions.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col("customer_id").isNull()).alias("null_customer_ids"),
+        F.count_if(F.col("occurred_at") > now).alias("future_actions"),
+        F.count_if(F.col("item_id") == 0).alias("zero_item_ids"),
+        F.count_if(F.col("occurred_at").isNull()).alias("undated_actions"),
+        F.lit(None).cast("bigint").alias("duplicate_action_rows"),
+    )
+
+
 def actions_quality_report(
-    actions_union_df: DataFrame, *, now: Column | None = None
+    actions_union_df: DataFrame, *, now: Column | None = None, duplicates: bool = True
 ) -> QualityReport:
-    return QualityReport(**quality_counters(actions_union_df, now).first().asDict())
+    counters = quality_counters if duplicates else gate_counters
+    return QualityReport(**counters(actions_union_df, now).first().asDict())
 
 
 def assert_quality_or_fail(report: QualityReport, *, allow_future_actions: int = 0) -> None:

@@ -194,13 +194,17 @@ def duplicate_groups(spark, sf_dir):
 
 
 def leak_count(spark, sf_dir):
-    return leaks.same_day_leaks(*_parts(spark, sf_dir), lookback_days=L)
+    return leaks.same_day_leaks(_timed_histories(*_parts(spark, sf_dir)))
 
 
 def history_audit(spark, sf_dir):
     actions, impressions = _parts(spark, sf_dir)
     return leaks.audit_histories(
-        _timed_histories(actions, impressions), actions, max_actions=N, lookback_days=L
+        _timed_histories(actions, impressions),
+        actions,
+        impressions,
+        max_actions=N,
+        lookback_days=L,
     )
 
 
@@ -235,7 +239,9 @@ def reject_split(spark, sf_dir):
 
 
 def write_read_roundtrip(spark, sf_dir):
-    path = new_run_dir(spark, otherwise=tempfile.gettempdir())
+    # Only a local session can read back what it writes to a local folder.
+    local = spark.sparkContext.master.startswith("local[")
+    path = new_run_dir(spark, otherwise=tempfile.gettempdir() if local else None)
     run = training_inputs(spark, sf_dir)
     write_parquet(run, path, partition_by=["as_of_date"], rebalance=True)
     return read_run(spark, path)
@@ -301,7 +307,7 @@ def sample_rows(spark, sf_dir):
 
 
 def sample_items(spark, sf_dir):
-    return profile.sample_items(training_inputs(spark, sf_dir), 10, SEED)
+    return profile.sample_items(normalize_impressions_raw(spark, sf_dir), 10, SEED)
 
 
 # With Spark's own types.

@@ -25,9 +25,9 @@ from ..schemas import (
     DEFAULT_TRAIN_DAYS,
     FEED_SCHEMAS,
 )
-from ..sinks.writers import new_run_dir, write_parquet, write_quarantine
+from ..sinks.writers import new_run_dir, publish, remove, write_parquet, write_quarantine
 from ..sources.demo import demo_inputs
-from ..sources.readers import BAD_FIELDS, read_feed, read_flagged, rejected_rows
+from ..sources.readers import BAD_FIELDS, FEED_TIMES, LAYOUTS, flag_times, good_rows, read_feed, read_flagged, rejected_rows
 from .training import finish_inputs, unpadded_inputs
 
 FEEDS = tuple(FEED_SCHEMAS)
@@ -40,7 +40,11 @@ _TYPED = {
 
 
 class LeakError(RuntimeError):
-    """Same-day actions passed the filters, or were found in written histories."""
+    """The histories keep actions of the day itself, or others outside their window."""
+
+
+class RejectError(ValueError):
+    """Records were rejected in a strict run."""
 
 
 @dataclass(frozen=True)
@@ -48,7 +52,8 @@ class JobConfig:
     out: str
     demo: bool = False
     paths: dict[str, str] = field(default_factory=dict)
-    layout: str = "array"
+    layout: str = "lines"
+    strict: bool = False
     max_actions: int = DEFAULT_MAX_ACTIONS
     lookback_days: int = DEFAULT_LOOKBACK_DAYS
     train_days: int = DEFAULT_TRAIN_DAYS
@@ -56,9 +61,11 @@ class JobConfig:
     fail_on_same_day_leak: bool = False
     upstream_scan: bool = False
     check_quality: bool = True
+    count_duplicates: bool = False
     allow_future_actions: int = 0
     on_check_error: str = "raise"
     staging: str | None = None
+    keep_staging: bool = False
     shuffle_partitions: int = 0
     demo_day: date | None = None
 
@@ -79,7 +86,7 @@ class JobReport:
     leaks: int | None = None
     kept_outside_window: int = 0
     upstream_same_day: bool | None = None
-    quality: dict[str, int] | None = None
+    quality: dict[str, int | None] | None = None
     rejects: dict[str, int] = field(default_factory=dict)
     warnings: list[str] = field(default_factory=list)
 
@@ -100,67 +107,80 @@ def configure(spark: SparkSession, config: JobConfig) -> None:
         conf.set("spark.sql.shuffle.partitions", str(config.shuffle_partitions))
 
 
-def _staging_dir(spark: SparkSession, config: JobConfig) -> str:
-    if config.staging:
-        return config.staging.rstrip("/")
-    return new_run_dir(spark, otherwise=f"{config.out.rstrip('/')}_staging")
+# The column by which each typed feed is pruned later.
+_PRUNED_BY = {"impressions": "as_of_date", "clicks": "occurred_at", "atc": "occurred_at", "orders": "occurred_at"}
 
 
-def _load_json(spark: SparkSession, config: JobConfig, report: JobReport) -> dict[str, DataFrame]:
+def _load_json(
+    spark: SparkSession, config: JobConfig, report: JobReport, staging: str
+) -> dict[str, DataFrame]:
     """Parse each JSON feed once, into typed Parquet with its rejects in a partition of their own.
 
-    Later passes read columns of the good partition with pushed-down filters. The stage is a written
-    table in shared storage, so a lost executor costs no second parse.
+    Later passes read columns of the good partition with pushed-down filters; a task's rows are sorted by
+    time, so that the bounds skip row groups. The stage is a written table in shared storage, so a
+    lost executor costs no second parse.
     """
-    staging = _staging_dir(spark, config)
     loaded = {}
     for name in FEEDS:
-        flagged = read_flagged(spark, config.paths[name], FEED_SCHEMAS[name], layout=config.layout)
+        flagged = read_flagged(
+            spark, config.paths[name], FEED_SCHEMAS[name], layout=config.layout, times=FEED_TIMES[name]
+        )
         typed = _TYPED[name](flagged, keep=("_raw", BAD_FIELDS))
         counts = Observation(f"{name}-{uuid.uuid4().hex}")
         staged = typed.withColumn("rejected", F.size(BAD_FIELDS) > 0).observe(
             counts, F.count_if("rejected").alias("rejected")
         )
+        staged = staged.sortWithinPartitions("rejected", _PRUNED_BY[name])
         write_parquet(staged, f"{staging}/{name}", partition_by=["rejected"])
         back = spark.read.schema(staged.schema).parquet(f"{staging}/{name}")
         report.rejects[name] = counts.get.get("rejected", 0)
-        if report.rejects[name]:
-            write_quarantine(rejected_rows(back.where("rejected")), config.out, name)
+        write_quarantine(rejected_rows(back.where("rejected")), config.out, name)
         loaded[name] = back.where("NOT rejected").drop("rejected", "_raw", BAD_FIELDS)
     return loaded
 
 
-def _load(spark: SparkSession, config: JobConfig, report: JobReport) -> dict[str, DataFrame]:
+def _load_parquet(spark: SparkSession, config: JobConfig, report: JobReport) -> dict[str, DataFrame]:
+    """Typed feeds where they are; only days and times are checked, in one narrow pass."""
+    loaded = {}
+    for name, schema in FEED_SCHEMAS.items():
+        feed, _ = read_feed(spark, config.paths[name], schema, layout="parquet")
+        flagged = flag_times(feed, FEED_TIMES[name])
+        rejected = rejected_rows(flagged)
+        report.rejects[name] = rejected.count()
+        write_quarantine(rejected, config.out, name)
+        loaded[name] = _TYPED[name](good_rows(flagged))
+    return loaded
+
+
+def _load(
+    spark: SparkSession, config: JobConfig, report: JobReport, staging: str
+) -> dict[str, DataFrame]:
     if config.demo:
-        raw = demo_inputs(spark, config.demo_day)
-    elif config.layout == "parquet":
-        raw = {n: read_feed(spark, config.paths[n], s, layout="parquet")[0] for n, s in FEED_SCHEMAS.items()}
-    else:
-        return _load_json(spark, config, report)
-    return {name: _TYPED[name](feed) for name, feed in raw.items()}
+        return {n: _TYPED[n](feed) for n, feed in demo_inputs(spark, config.demo_day).items()}
+    load = _load_parquet(spark, config, report) if config.layout == "parquet" else _load_json(spark, config, report, staging)
+    if config.strict and any(report.rejects.values()):
+        raise RejectError(f"rejected records: {report.rejects}")
+    return load
 
 
 def _check(config: JobConfig, report: JobReport, actions: DataFrame, impressions: DataFrame) -> None:
-    """Quality gate and leak checks on the inputs, before anything is written."""
+    """Quality gate and upstream scan on the inputs, before anything is built."""
     try:
-        report.leaks = leaks.check_no_same_day_leak_strict(
-            actions, impressions, lookback_days=config.lookback_days
-        )
-        if config.upstream_scan and report.leaks == 0:
+        if config.upstream_scan and not config.demo:
             report.upstream_same_day = leaks.has_upstream_same_day(actions, impressions)
         if config.check_quality:
-            counted = quality.actions_quality_report(actions)
+            counted = quality.actions_quality_report(actions, duplicates=config.count_duplicates)
             report.quality = counted.as_dict()
             quality.assert_quality_or_fail(counted, allow_future_actions=config.allow_future_actions)
     except Exception as error:
         if config.on_check_error == "raise":
             raise
         report.warnings.append(str(error))
-    if report.leaks and config.fail_on_same_day_leak:
-        raise LeakError(f"{report.leaks} same-day actions inside the window")
 
 
-def _write(config: JobConfig, report: JobReport, impressions: DataFrame, actions: DataFrame) -> None:
+def _write(
+    config: JobConfig, report: JobReport, impressions: DataFrame, actions: DataFrame, path: str
+) -> None:
     """One pass: the rows are written and, on the way, counted and audited.
 
     The rebalance by day moves unpadded, unexploded rows; padding and exploding follow in the writing
@@ -174,8 +194,9 @@ def _write(config: JobConfig, report: JobReport, impressions: DataFrame, actions
         keep_days=True,
     )
     day, longest = F.col("as_of_date"), F.greatest(F.size("actions"), F.size("action_types"))
+    leaks_day = F.col("newest_day") >= day
     outside = (
-        (F.col("newest_day") >= day)
+        leaks_day
         | (F.col("oldest_day") < F.date_sub(day, config.lookback_days))
         | (longest > config.max_actions)
     )
@@ -187,37 +208,50 @@ def _write(config: JobConfig, report: JobReport, impressions: DataFrame, actions
         F.sum(rows).alias("rows"),
         F.min("as_of_date").alias("first_day"),
         F.max("as_of_date").alias("last_day"),
+        F.count_if(leaks_day).alias("leaks"),
         F.count_if(outside).alias("kept_outside_window"),
     )
     finished = finish_inputs(
         observed.drop("newest_day", "oldest_day"), config.max_actions, config.explode
     )
-    write_parquet(finished, config.out, partition_by=["as_of_date"])
+    write_parquet(finished, path, partition_by=["as_of_date"])
     for name, value in seen.get.items():
         setattr(report, name, value if value is not None else getattr(report, name))
     if report.kept_outside_window and config.fail_on_same_day_leak:
-        raise LeakError(f"{report.kept_outside_window} written histories reach outside their window")
+        raise LeakError(f"{report.kept_outside_window} histories reach outside their window, {report.leaks} into the day itself")
 
 
 def run_job(spark: SparkSession, config: JobConfig) -> JobReport:
+    """The run is written next to ``out`` and takes its place only when all checks have passed."""
     configure(spark, config)
     report = JobReport()
-    feeds = _load(spark, config, report)
-    impressions = slice_impressions_last_n_days(feeds["impressions"], config.train_days)
-    actions = feeds["clicks"].unionByName(feeds["atc"]).unionByName(feeds["orders"])
-    _check(config, report, actions, impressions)
-    _write(config, report, impressions, actions)
+    out = config.out.rstrip("/")
+    staging = config.staging.rstrip("/") if config.staging else new_run_dir(spark, otherwise=f"{out}_staging")
+    unpublished = f"{out}_unpublished-{uuid.uuid4().hex}"
+    try:
+        feeds = _load(spark, config, report, staging)
+        impressions = slice_impressions_last_n_days(feeds["impressions"], config.train_days)
+        actions = feeds["clicks"].unionByName(feeds["atc"]).unionByName(feeds["orders"])
+        _check(config, report, actions, impressions)
+        _write(config, report, impressions, actions, unpublished)
+        publish(spark, unpublished, out)
+    finally:
+        remove(spark, unpublished)
+        if not config.staging and not config.keep_staging:
+            remove(spark, staging)
     return report
 
 
 def parse_args(argv: list[str] | None = None) -> JobConfig:
     p = argparse.ArgumentParser(description="Build training inputs from impressions and actions")
+    # The names of the flags.
     p.add_argument("--out", required=True)
     p.add_argument("--demo", action="store_true")
     p.add_argument("--data", help="folder with one subfolder per feed")
     for name in FEEDS:
         p.add_argument(f"--{name}-path")
-    p.add_argument("--layout", default="array", choices=("array", "lines", "parquet"))
+    p.add_argument("--layout", default="lines", choices=LAYOUTS)
+    p.add_argument("--strict", action="store_true", help="fail if any record is rejected")
     p.add_argument("--max-actions", type=int, default=DEFAULT_MAX_ACTIONS)
     p.add_argument("--lookback-days", type=int, default=DEFAULT_LOOKBACK_DAYS)
     p.add_argument("--train-days", type=int, default=DEFAULT_TRAIN_DAYS)
@@ -227,7 +261,9 @@ def parse_args(argv: list[str] | None = None) -> JobConfig:
     p.add_argument("--skip-quality", action="store_true")
     p.add_argument("--allow-future-actions", type=int, default=0)
     p.add_argument("--on-check-error", default="raise", choices=("raise", "warn"))
-    p.add_argument("--staging")
+    p.add_argument("--staging", help="folder of the typed feeds; it is kept")
+    p.add_argument("--keep-staging", action="store_true")
+    p.add_argument("--count-duplicates", action="store_true")
     p.add_argument("--shuffle-partitions", type=int, default=0)
     a = p.parse_args(argv)
     paths = {n: getattr(a, f"{n}_path") or (f"{a.data}/{n}" if a.data else None) for n in FEEDS}
@@ -237,6 +273,7 @@ def parse_args(argv: list[str] | None = None) -> JobConfig:
             demo=a.demo,
             paths=paths,
             layout=a.layout,
+            strict=a.strict,
             max_actions=a.max_actions,
             lookback_days=a.lookback_days,
             train_days=a.train_days,
@@ -247,6 +284,8 @@ def parse_args(argv: list[str] | None = None) -> JobConfig:
             allow_future_actions=a.allow_future_actions,
             on_check_error=a.on_check_error,
             staging=a.staging,
+            keep_staging=a.keep_staging,
+            count_duplicates=a.count_duplicates,
             shuffle_partitions=a.shuffle_partitions,
         )
     except ValueError as error:

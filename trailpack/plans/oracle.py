@@ -148,7 +148,8 @@ SELECT c.as_of_date, c.customer_id, CAST(count(k.rn) AS INTEGER) AS kept,
        CAST(coalesce(count_if(CAST(k.occurred_at AS DATE) < c.as_of_date - {l}), 0) AS INTEGER) AS too_old,
        CAST(greatest(count(k.rn) - {n}, 0) AS INTEGER) AS over_limit,
        CAST(coalesce(count_if(k.newer < k.e), 0) AS INTEGER) AS out_of_order,
-       CAST(least(coalesce(any_value(t.candidates), 0), {n}) - count(k.rn) AS BIGINT) AS missing
+       CAST(least(coalesce(any_value(t.candidates), 0), {n}) - count(k.rn) AS BIGINT) AS missing,
+       CAST(0 AS INTEGER) AS absent
 FROM ctx c
 LEFT JOIN kept k ON k.as_of_date = c.as_of_date AND k.customer_id = c.customer_id
 LEFT JOIN totals t ON t.as_of_date = c.as_of_date AND t.customer_id = c.customer_id
@@ -281,7 +282,9 @@ FROM acts"""
        source, count(*) AS copies
 FROM acts GROUP BY ALL HAVING count(*) > 1"""
     ),
-    "leak_count": _run("SELECT count(*) AS leaks FROM seen WHERE CAST(occurred_at AS DATE) = as_of_date"),
+    "leak_count": _run(
+        f"SELECT count(*) AS leaks FROM seen WHERE rn <= {N} AND CAST(occurred_at AS DATE) = as_of_date"
+    ),
     "history_audit": _run("").rstrip() + _AUDIT.format(n=N, l=L),
     "upstream_same_day": _run(
         """SELECT count(*) AS same_day_actions,

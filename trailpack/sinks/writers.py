@@ -43,11 +43,35 @@ def quarantine_path(out_dir: str, name: str) -> str:
 
 
 def write_quarantine(df: DataFrame | None, out_dir: str, name: str) -> None:
+    """Replaces what an earlier run has left there, also with nothing."""
     if df is not None:
         df.write.mode("overwrite").json(quarantine_path(out_dir, name))
 
 
-def new_run_dir(spark: SparkSession, otherwise: str) -> str:
+def new_run_dir(spark: SparkSession, otherwise: str | None) -> str:
     """A new folder for intermediate tables, in the shared folder of ``spark.checkpoint.dir`` if set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or otherwise
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{base.rstrip('/')}/run-{uuid.uuid4().hex}"
+
+
+def _file_system(spark: SparkSession, path: str):
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm_path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, at = _file_system(spark, path)
+    files.delete(at, True)
+
+
+def publish(spark: SparkSession, written: str, out_dir: str) -> None:
+    """Put a run that was written elsewhere on the same file system in the place of ``out_dir``."""
+    files, source = _file_system(spark, written)
+    _, target = _file_system(spark, out_dir)
+    files.delete(target, True)
+    if target.getParent():
+        files.mkdirs(target.getParent())
+    if not files.rename(source, target):
+        raise OSError(f"could not move {written} to {out_dir}")

@@ -6,30 +6,38 @@ from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..schemas import atc_schema, clicks_schema, impressions_schema, orders_schema
+from ..schemas import FEED_SCHEMAS
 
 
 def demo_inputs(spark: SparkSession, today: date | None = None) -> dict[str, DataFrame]:
-    """One customer, two impression days; the click on ``today - 1`` is only seen from ``today``."""
+    """Three customers over four days, each with a case of its own.
+
+    Customer 7 has more actions than a history of four holds, two of them at one time. Customer 8 is shown an empty
+    list and acted on the day itself only, which no history of that day may have. Customer 9 never acted.
+    """
     today = today or date.today()
-    ago = [str(today - timedelta(days=n)) for n in range(4)]
+
+    def day(back: int) -> str:
+        return str(today - timedelta(days=back))
+
+    def click(customer: int, item: int, back: int, hour: int) -> tuple:
+        return day(back), customer, item, f"{day(back)} {hour:02d}:30:00"
+
     rows = {
-        "impressions": (
-            [
-                (ago[1], "r1", 101, [(10, False), (11, True)]),
-                (ago[0], "r2", 101, [(12, False)]),
-            ],
-            impressions_schema,
-        ),
-        "clicks": (
-            [
-                (f"dt={ago[2]}", 101, 10, f"{ago[2]} 12:00:00"),
-                (f"dt={ago[1]}", 101, 99, f"{ago[1]} 08:00:00"),
-                (f"dt={ago[3]}", 101, 11, f"{ago[3]} 10:00:00"),
-            ],
-            clicks_schema,
-        ),
-        "atc": ([(f"dt={ago[3]}", 101, 12, None, f"{ago[3]} 09:00:00")], atc_schema),
-        "orders": ([(ago[3], 101, 10)], orders_schema),
+        "impressions": [
+            (f"dt={day(0)}", "home-7", 7, [(501, False), (502, True), (503, False)]),
+            (f"dt={day(1)}", "search-7", 7, [(504, True)]),
+            (day(0), "home-8", 8, []),
+            (day(0), "home-9", 9, [(505, False), (506, False)]),
+        ],
+        "clicks": [
+            click(7, 601, 1, 9),
+            click(7, 602, 1, 9),
+            click(7, 603, 2, 20),
+            click(7, 604, 3, 7),
+            click(8, 605, 0, 10),
+        ],
+        "atc": [(day(2), 7, 611, "size-m", f"{day(2)} 21:00:00")],
+        "orders": [(day(3), 7, 621)],
     }
-    return {name: spark.createDataFrame(data, schema) for name, (data, schema) in rows.items()}
+    return {name: spark.createDataFrame(rows[name], schema) for name, schema in FEED_SCHEMAS.items()}

@@ -1,7 +1,9 @@
 """Feed readers with a row-level split into good and rejected records.
 
 JSON is read as text and cast column by column. A value that does not fit rejects its own record;
-with typed JSON columns it would be nulled silently, or take a whole JSON array down with it.
+with typed JSON columns it would be nulled silently, or take a whole JSON array down with it. Days and
+times stay text in the raw schemas; one that does not parse rejects its record too, in every layout. A
+missing or null one does not: it is counted as undated.
 """
 
 from __future__ import annotations
@@ -10,13 +12,34 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.casts import day_of_text, lenient_cast
 from ..schemas import atc_schema, clicks_schema, impressions_schema, orders_schema
 
-LAYOUTS = ("array", "lines", "parquet")
+LAYOUTS = ("lines", "array", "parquet")
 CORRUPT = "_corrupt_record"
 BAD_FIELDS = "_bad_fields"
 
 
+# The day or time columns that the operators read, with how they read them.
+TIMES = {
+    "as_of_date": lambda c: lenient_cast(c, "date"),
+    "dt": day_of_text,
+    "order_date": lambda c: lenient_cast(c, "date"),
+    "click_time": lambda c: lenient_cast(c, "timestamp"),
+    "occurred_at": lambda c: lenient_cast(c, "timestamp"),
+}
+FEED_TIMES = {
+    "impressions": ("dt",),
+    "clicks": ("click_time",),
+    "atc": ("occurred_at",),
+    "orders": ("order_date",),
+}
+
+# Two values side by side without a comma: a bracket closes and another opens. Text in quotes is cut out first.
+_QUOTED = r'"(?:[^"\\]++|\\.)*+"'
+_SIDE_BY_SIDE = r"[}\]]\s*[{\[]"
+
+
 def _as_text(dtype: T.DataType) -> T.DataType:
     """The same nesting with every leaf a string."""
     if isinstance(dtype, T.StructType):
@@ -56,10 +79,15 @@ def _misfit(text: Column, dtype: T.DataType) -> Column:
     return text.isNotNull() & _typed(text, dtype).isNull()
 
 
-def flag_rejects(raw: DataFrame, schema: T.StructType, corrupt_col: str | None = None) -> DataFrame:
+def flag_rejects(
+    raw: DataFrame,
+    schema: T.StructType,
+    corrupt_col: str | None = None,
+    times: tuple[str, ...] = (),
+) -> DataFrame:
     """Type a table of text columns, naming in ``_bad_fields`` what did not fit.
 
-    Nested columns arrive as JSON text. Adds the raw record as ``_raw`` (null for good rows, so it
+    ``times`` names the text columns that must parse as a day or time where they are not null. Nested columns arrive as JSON text. Adds the raw record as ``_raw`` (null for good rows, so it
     costs nothing at rest).
     """
     parsed, bad = {}, []
@@ -73,6 +101,8 @@ def flag_rejects(raw: DataFrame, schema: T.StructType, corrupt_col: str | None =
         else:
             parsed[f.name] = text
             wrong = _misfit(F.col(f"text.{f.name}"), f.dataType)
+            if f.name in times:
+                wrong = wrong | unparseable(text, f.name)
         bad.append(F.when(wrong, F.lit(f.name)))
     if corrupt_col:
         bad.append(F.when(F.col(f"raw.{corrupt_col}").isNotNull(), F.lit(corrupt_col)))
@@ -90,6 +120,23 @@ def flag_rejects(raw: DataFrame, schema: T.StructType, corrupt_col: str | None =
     )
 
 
+def unparseable(value: Column, name: str) -> Column:
+    return value.isNotNull() & TIMES[name](value).isNull()
+
+
+def flag_times(typed: DataFrame, times: tuple[str, ...]) -> DataFrame:
+    """For feeds that are typed already: ``_raw`` and ``_bad_fields`` as in ``flag_rejects``.
+
+    A feed with an ``as_of_date`` is dated by that, not by ``dt``.
+    """
+    names = ["as_of_date" if n == "dt" and "as_of_date" in typed.columns else n for n in times]
+    bad = [F.when(unparseable(F.col(n), n), F.lit(n)) for n in names if n in typed.columns]
+    fields = F.array_compact(F.array(*bad)) if bad else F.array().cast("array<string>")
+    row = F.struct(*(F.col(f"`{c}`") for c in typed.columns))
+    flagged = typed.withColumn(BAD_FIELDS, fields)
+    return flagged.withColumn("_raw", F.when(F.size(BAD_FIELDS) > 0, row))
+
+
 def good_rows(flagged: DataFrame) -> DataFrame:
     return flagged.where(F.size(BAD_FIELDS) == 0).drop("_raw", BAD_FIELDS)
 
@@ -111,10 +158,13 @@ def read_flagged(
     path: str | list[str],
     schema: T.StructType,
     *,
-    layout: str = "array",
+    layout: str = "lines",
     corrupt_col: str = CORRUPT,
+    times: tuple[str, ...] = (),
 ) -> DataFrame:
     """A JSON feed with its rejects still in place: one pass for whoever stages both."""
+    if layout == "array":
+        check_array_files(spark, path)
     text_schema = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
     raw = (
         spark.read.schema(text_schema.add(corrupt_col, T.StringType()))
@@ -123,7 +173,16 @@ def read_flagged(
         .option("columnNameOfCorruptRecord", corrupt_col)
         .json(path)
     )
-    return flag_rejects(raw, schema, corrupt_col)
+    return flag_rejects(raw, schema, corrupt_col, times)
+
+
+def check_array_files(spark: SparkSession, path: str | list[str]) -> None:
+    """Raise if a file holds more than one JSON value: read as one document, it would give its first value only."""
+    files = spark.read.text(path, wholetext=True)
+    bare = F.regexp_replace("value", _QUOTED, "")
+    several = files.where(F.regexp_like(bare, F.lit(_SIDE_BY_SIDE))).select("_metadata.file_path").first()
+    if several:
+        raise ValueError(f"{several[0]} holds several JSON values; read it with layout='lines'")
 
 
 def read_feed(
@@ -131,37 +190,45 @@ def read_feed(
     path: str | list[str],
     schema: T.StructType,
     *,
-    layout: str = "array",
+    layout: str = "lines",
     corrupt_col: str | None = CORRUPT,
+    times: tuple[str, ...] = (),
 ) -> tuple[DataFrame, DataFrame | None]:
     """(good, rejected) of a feed; ``rejected`` is None where no split is made.
 
-    ``array``: files holding one JSON array (or object) each; a file is one task. ``lines``: one
-    record per line, splittable, the layout for large feeds. ``parquet``: typed already.
+    ``lines``: one record per line, splittable; a line that is no record is rejected. ``array``: files
+    holding one JSON array (or object) each; a file is one task, and one with more values raises.
+    ``parquet``: typed already; rejected are rows whose ``times`` do not parse.
     """
     if layout not in LAYOUTS:
         raise ValueError(f"layout must be one of {LAYOUTS}, not {layout!r}")
     if layout == "parquet":
         # The files' own schema: the operators cast, so wider or narrower types are fine.
-        return spark.read.parquet(*([path] if isinstance(path, str) else path)), None
+        typed = spark.read.parquet(*([path] if isinstance(path, str) else path))
+        if corrupt_col is None or not times:
+            return typed, None
+        flagged = flag_times(typed, times)
+        return good_rows(flagged), rejected_rows(flagged)
     if corrupt_col is None:
+        if layout == "array":
+            check_array_files(spark, path)
         reader = spark.read.schema(schema).option("mode", "PERMISSIVE")
         return reader.option("multiLine", layout == "array").json(path), None
-    flagged = read_flagged(spark, path, schema, layout=layout, corrupt_col=corrupt_col)
+    flagged = read_flagged(spark, path, schema, layout=layout, corrupt_col=corrupt_col, times=times)
     return good_rows(flagged), rejected_rows(flagged)
 
 
 def read_impressions(spark: SparkSession, path, **options):
-    return read_feed(spark, path, impressions_schema, **options)
+    return read_feed(spark, path, impressions_schema, times=FEED_TIMES["impressions"], **options)
 
 
 def read_clicks(spark: SparkSession, path, **options):
-    return read_feed(spark, path, clicks_schema, **options)
+    return read_feed(spark, path, clicks_schema, times=FEED_TIMES["clicks"], **options)
 
 
 def read_atc(spark: SparkSession, path, **options):
-    return read_feed(spark, path, atc_schema, **options)
+    return read_feed(spark, path, atc_schema, times=FEED_TIMES["atc"], **options)
 
 
 def read_orders(spark: SparkSession, path, **options):
-    return read_feed(spark, path, orders_schema, **options)
+    return read_feed(spark, path, orders_schema, times=FEED_TIMES["orders"], **options)

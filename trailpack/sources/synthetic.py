@@ -96,8 +96,29 @@ def synthetic_feeds(
     return {"impressions": impressions, "clicks": clicks, "atc": atc, "orders": orders}
 
 
-def write_feeds(feeds: dict[str, DataFrame], base: str, rows_per_file: int = 1000) -> None:
-    """Each feed as JSON lines under ``base/<feed>``, at most ``rows_per_file`` rows per file."""
+def write_feeds(
+    feeds: dict[str, DataFrame], base: str, rows_per_file: int | None = None, layout: str = "lines"
+) -> None:
+    """Each feed as JSON under ``base/<feed>``.
+
+    ``lines``: Spark sizes the files, unless ``rows_per_file`` bounds them. ``array``: one JSON array per file, of about
+    ``rows_per_file`` rows (1000 if not given).
+    """
+    if layout not in ("lines", "array"):
+        raise ValueError(f"layout must be 'lines' or 'array', not {layout!r}")
     for name, feed in feeds.items():
-        writer = feed.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file)
-        writer.option("ignoreNullFields", "false").json(f"{base.rstrip('/')}/{name}")
+        path = f"{base.rstrip('/')}/{name}"
+        if layout == "array":
+            size = rows_per_file or 1000
+            files = max(1, -(-feed.count() // size))
+            record = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
+            part = F.pmod(F.xxhash64(record), F.lit(files))
+            arrays = feed.select(part.alias("part"), record.alias("record")).groupBy("part")
+            text = F.concat(F.lit("[\n"), F.array_join(F.collect_list("record"), ",\n"), F.lit("\n]"))
+            rows = arrays.agg(text.alias("value")).drop("part")
+            rows.write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+            continue
+        writer = feed.write.mode("overwrite").option("ignoreNullFields", "false")
+        if rows_per_file:
+            writer = writer.option("maxRecordsPerFile", rows_per_file)
+        writer.json(path)
