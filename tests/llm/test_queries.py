@@ -1,0 +1,66 @@
+"""The registered queries: against their SQL where there is one, and the pipeline stage by stage."""
+
+from __future__ import annotations
+
+import os
+
+import pytest
+from hard_cases import SCHEMA, frame, rows
+from oracle_check import connect, differences
+
+import __spark_entry__ as driver
+import corpus_pipeline
+from trailpack.llm import packing, toxicity
+from trailpack.llm.oracle import ORACLE
+from trailpack.llm.queries import QUERIES
+from trailpack.plans.testbed import table
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
+
+
+def test_all_are_registered():
+    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in QUERIES}
+    assert {*QUERIES, "pipeline"} <= driver.queries().keys() and ORACLE.items() <= driver.oracle_sql().items()
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_query(spark, name):
+    assert differences(QUERIES[name](spark, SF), connect(SF), ORACLE[name]) == []
+
+
+def test_pipeline(spark):
+    """Each stage's decisions take effect on what the one before kept."""
+    docs = table(spark, SF, "documents")
+    kept = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = corpus_pipeline.stored(stage(spark, docs, SF))
+        assert after.columns == docs.columns and dict(after.dtypes) == dict(docs.dtypes), name
+        ids = {r.doc_id for r in after.select("doc_id").collect()}
+        assert ids <= {r.doc_id for r in docs.select("doc_id").collect()}
+        kept.append(len(ids))
+        docs = after
+    assert kept == sorted(kept, reverse=True) and 700 < kept[-1] < 1000
+    assert kept[0] == kept[1]  # lines go, documents stay
+    packed = corpus_pipeline.run(spark, SF)
+    assert packed.columns == packing.pack(docs).columns
+    found, wanted = packed.drop("sequence_id", "offset"), packing.pack(docs).drop("sequence_id", "offset")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted.collect()))
+
+
+def test_pipeline_on_hard_rows(spark, tmp_path):
+    docs = frame(spark)
+    spark.createDataFrame([(0, 1, 0), (3, 1, 1), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(rows()[10][1].split()[:20])), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for data in (docs, frame(spark, [])):
+        for name, stage in corpus_pipeline.STAGES:
+            data = corpus_pipeline.stored(stage(spark, data, str(tmp_path)))
+            if name != "packing":
+                assert data.schema.simpleString() == spark.createDataFrame([], SCHEMA).schema.simpleString(), name
+
+
+def test_toxicity_query_holds_out(spark):
+    scored = QUERIES["op9_toxicity"](spark, SF).join(table(spark, SF, "labels").select("doc_id", "toxic"), "doc_id")
+    held = scored.where("held_out").collect()
+    assert sum(r.predicted == r.toxic for r in held) >= 0.93 * len(held)
+    assert sum(r.predicted == 1 for r in held if not r.toxic) <= 0.03 * len(held)
+    assert toxicity.REJECT == 0.7
