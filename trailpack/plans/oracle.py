@@ -13,8 +13,11 @@ ev AS (
 
 _ACTIONS = """
 clicks AS (
-  SELECT customer_id, k + 1 AS item_id, ts AS occurred_at, 1 AS action_type, 'clicks' AS source
-  FROM ev WHERE event_type = 'click'
+  SELECT CASE WHEN bad = 0 THEN NULL ELSE customer_id END AS customer_id,
+         CASE WHEN bad = 1 THEN 0 WHEN bad = 2 THEN NULL ELSE k + 1 END AS item_id,
+         CASE WHEN bad = 3 THEN NULL ELSE ts END AS occurred_at, 1 AS action_type, 'clicks' AS source
+  FROM (SELECT *, CASE WHEN event_type = 'error' THEN event_id % 4 ELSE 9 END AS bad FROM ev)
+  WHERE event_type IN ('click', 'error')
 ),
 atc AS (
   SELECT customer_id, k + 1 AS item_id, date_trunc('hour', ts) AS occurred_at, 2 AS action_type,
@@ -161,7 +164,7 @@ def _candidates(window: str) -> str:
         _EVENTS,
         _ACTIONS,
         _IMPRESSIONS,
-        select=f"""SELECT c.as_of_date, c.customer_id, count(a.item_id) AS candidates
+        select=f"""SELECT c.as_of_date, c.customer_id, count(a.action_date) AS candidates
 FROM (SELECT DISTINCT as_of_date, customer_id FROM impr) c
 LEFT JOIN acts a ON a.customer_id = c.customer_id AND a.action_date < c.as_of_date{window}
 GROUP BY 1, 2""",

@@ -32,15 +32,15 @@ def _shown(count: Column, item, is_order) -> Column:
     )
 
 
-def _of_type(events: DataFrame, event_type: str) -> DataFrame:
+def _of_type(events: DataFrame, *event_types: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
-    return events.where(F.col("event_type") == event_type).select(
-        "event_id", "ts", F.col("user_id").alias("customer_id"), k.alias("k")
+    return events.where(F.col("event_type").isin(*event_types)).select(
+        "event_id", "event_type", "ts", F.col("user_id").alias("customer_id"), k.alias("k")
     )
 
 
 def event_feeds(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Family A: clicks, sign-ups as add-to-carts (to the hour) and purchases; views as impressions."""
+    """Family A: clicks, sign-ups as add-to-carts (to the hour) and purchases; views as impressions; errors as bad clicks."""
     day = F.to_date("ts").cast("string")
     item = (F.col("k") + 1).alias
     events = table(spark, sf_dir, "events")
@@ -57,8 +57,13 @@ def event_feeds(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
             lambda j: (event_id + j) % 7 == 0,
         ).alias("impressions"),
     )
-    clicks = _of_type(events, "click").select(
-        day.alias("dt"), "customer_id", item("item_id"), F.col("ts").alias("click_time")
+    # Errors are bad clicks, a quarter each: no customer, item 0, no item, no time.
+    bad = {n: (F.col("event_type") == "error") & (event_id % 4 == n) for n in range(4)}
+    clicks = _of_type(events, "click", "error").select(
+        day.alias("dt"),
+        F.when(~bad[0], F.col("customer_id")).alias("customer_id"),
+        F.when(bad[1], 0).when(~bad[2], F.col("k") + 1).alias("item_id"),
+        F.when(~bad[3], F.col("ts")).alias("click_time"),
     )
     atc = _of_type(events, "signup").select(
         day.alias("dt"),
