@@ -34,6 +34,9 @@ def size_preview(run: DataFrame) -> DataFrame:
     )
 
 
+# The names of the columns that the reports below give.
+
+
 def _row_features(run: DataFrame) -> DataFrame:
     # Numbers only: the arrays stay in the scan stage.
     return run.select(
