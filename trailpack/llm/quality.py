@@ -31,6 +31,8 @@ MIN_WORDS, MAX_REPEATED = 20, 30
 FLOOR = {"log_words": 0.5, "word_length": 0.5, "symbols": 0.1, "dup_lines": 0.05, "repeated": 0.05}
 NAMES = tuple(FLOOR)
 SHARE, STEPS, LEAST = 0.75, 8, 50
+#: A group's rows meet its estimate in so many parts, so that a large group is not one task's.
+PARTS = 64
 #: Squared distances above this are outliers: the 1 - 1e-6 quantile of chi-square with five degrees of freedom.
 CUTOFF = 36.8
 #: Makes the scatter of the nearest three quarters consistent for normal data: SHARE / P(chi2_7 <= the SHARE quantile of chi2_5).
@@ -141,19 +143,25 @@ def moments(rows: DataFrame) -> DataFrame:
     return rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), *sums, *products)
 
 
+def in_parts(rows: DataFrame) -> DataFrame:
+    """One row per group, once for each part."""
+    return rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+
+
 def mcd(rows: DataFrame) -> DataFrame:
-    """ESTIMATE per group of ``rows`` (grp and the transformed statistics)."""
+    """ESTIMATE per group of ``rows`` (grp, part and the transformed statistics)."""
+    keys = ["grp", "part"]
     median = lambda c: F.percentile_approx(c, 0.5, 1000)
     medians = rows.groupBy("grp").agg(F.array(*(median(n) for n in NAMES)).alias("centre"))
-    away = rows.join(medians, "grp").select("grp", "centre", *(F.abs(F.col(n) - F.element_at("centre", i + 1)).alias(n) for i, n in enumerate(NAMES)))
+    away = rows.join(in_parts(medians), keys).select("grp", "centre", *(F.abs(F.col(n) - F.element_at("centre", i + 1)).alias(n) for i, n in enumerate(NAMES)))
     p = len(NAMES)
     spread = away.groupBy("grp").agg(F.first("centre").alias("centre"), *(F.greatest(1.4826 * median(n), F.lit(FLOOR[n])).alias(f"d_{n}") for n in NAMES))
     diagonal = [1 / F.pow(f"d_{NAMES[i]}", F.lit(2)) if i == j else F.lit(0.0) for i in range(p) for j in range(p)]
     now = stored(spread.select("grp", "centre", F.array(*diagonal).alias("inverse")))
-    for step in range(STEPS):
-        near = rows.join(now, "grp").withColumn("d", distance())
+    for _ in range(STEPS):
+        near = rows.join(in_parts(now), keys).withColumn("d", distance())
         limit = near.groupBy("grp").agg(F.percentile_approx("d", SHARE, 1000).alias("limit"))
-        inner = near.join(limit, "grp").where("d <= limit")
+        inner = near.join(in_parts(limit), keys).where("d <= limit")
         now = stored(estimates(moments(inner), CONSISTENCY))
     return now
 
@@ -163,13 +171,14 @@ def judge_quality(documents: DataFrame) -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     group = F.concat_ws("\u0001", F.coalesce("lang", F.lit("\u0002")), F.coalesce("source", F.lit("\u0002")))
     rows = stored(with_statistics(documents).select("*", *transformed(), failed.alias("base_failed"), group.alias("own_grp")))
-    passed = rows.where("not base_failed").select("own_grp", *NAMES)
+    part = F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("int")
+    passed = rows.where("not base_failed").select("own_grp", part.alias("part"), *NAMES)
     counts = passed.groupBy("own_grp").count()
     large = counts.where(F.col("count") >= LEAST).select("own_grp", F.col("own_grp").alias("grp"))
-    grouped = stored(passed.join(large, "own_grp").select("grp", *NAMES))
+    grouped = passed.join(large, "own_grp").select("grp", "part", *NAMES)
     # Small groups share one estimate, over all documents. Its sums, too, are partial before the shuffle.
     everything = F.lit("\u0003all")
-    fits = mcd(grouped.unionByName(passed.select(everything.alias("grp"), *NAMES)))
+    fits = mcd(stored(grouped.unionByName(passed.select(everything.alias("grp"), "part", *NAMES))))
     known = stored(rows.join(large, "own_grp", "left").withColumn("grp", F.coalesce("grp", everything)))
     judged = known.join(fits, "grp", "left").withColumn("d", F.when(~F.col("base_failed"), distance()))
     names = [c.split()[0] for c in STATS.split(", ")]
