@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailpack.llm.common import stored
+from trailpack.llm.common import stored, with_package
 from trailpack.llm.decontamination import without_contained
 from trailpack.llm.line_dedup import dedup_lines
 from trailpack.llm.packing import pack
@@ -45,11 +45,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("toxicity", toxicity),
-    ("line_dedup", line_dedup),
-    ("near_dedup", near_dedup),
-    ("decontamination", decontamination),
-    ("packing", packing),
+    (stage.__name__, with_package(stage)) for stage in (toxicity, line_dedup, near_dedup, decontamination, packing)
 ]
 
 #: SQL can express neither the toxicity scores nor the tokenizer; the stages are tested against plain versions.

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +20,25 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def with_package(query: Callable) -> Callable:
+    """``query``, with this package on the path of the Python workers of its session (its first argument).
+
+    Their functions are found by name. A session that was started elsewhere would look in its own folder only; on a cluster,
+    ``--py-files`` brings the package and this path is of no use and no harm.
+    """
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, *args):
+        environment = spark.sparkContext.environment
+        paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+        root = str(Path(__file__).resolve().parents[2])
+        if root not in paths:
+            environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+        return query(spark, *args)
+
+    return run
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, removed when the driver ends.
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.testbed import table
 from .chat import format_chats
+from .common import with_package
 from .decontamination import find_contained
 from .line_dedup import line_report
 from .packing import pack
@@ -61,7 +62,7 @@ def op10_best_fit_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {
+_QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontamination": op2_decontamination,
     "op3_substring_dedup": op3_substring_dedup,
@@ -73,3 +74,5 @@ QUERIES: dict[str, Query] = {
     "op9_toxicity": op9_toxicity,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
+
+QUERIES: dict[str, Query] = {name: with_package(query) for name, query in _QUERIES.items()}
