@@ -240,6 +240,8 @@ def repeated_passages(documents: DataFrame) -> DataFrame:
     first = F.min(F.struct("doc_id", "place", "start"))
     in_docs = spots.groupBy("component", "doc_id").agg(first.alias("first")).groupBy("component")
     classes = in_docs.agg(F.count(F.lit(1)).alias("n_docs"), F.min("first").alias("first")).where("n_docs > 1")
+    # Stored, so that both sides of the join are plain and Spark can split a large class.
+    classes = stored(classes)
     judged = spots.join(classes, "component").withColumn("removed", F.struct("doc_id", "place", "start") != F.col("first"))
     order = Window.partitionBy("doc_id").orderBy("place", "start")
     breaks = (F.col("place") != F.lag("place").over(order) + 1) | (F.col("removed") != F.lag("removed").over(order))
