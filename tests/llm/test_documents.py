@@ -289,6 +289,26 @@ def test_pasted_passages(spark):
         assert sum(w in passages[p] for w in inside) >= len(inside) - 4
 
 
+@pytest.mark.parametrize("middle", [True, False])
+def test_passages_with_one_changed_word_are_found(spark, middle):
+    import random
+
+    rng = random.Random(51)
+    extra, data, change = rows()[0][5:], [], {}
+    for i in range(0, 120, 2):
+        passage = text_of(rng, 51, 10**6).split()
+        change[i + 1] = 25 if middle else rng.randrange(51)
+        near = [*passage[: change[i + 1]], "changed", *passage[change[i + 1] + 1 :]]
+        for d, own in ((i, passage), (i + 1, near)):
+            data.append((d, " ".join([text_of(rng, 30, 10**6), *own, text_of(rng, 30, 10**6)]), "en", "s", 1, *extra))
+    found = [r for r in substring_dedup.repeated_passages(frame(spark, data)).collect() if r.removed]
+    assert all(r.kept_doc_id == r.doc_id - 1 for r in found) and {r.doc_id for r in found} == change.keys()
+    for r in found:
+        # Sides of the change of LEAST_WORDS words or more, and the changed word between two of them.
+        sides = [n for n in (change[r.doc_id], 50 - change[r.doc_id]) if n >= substring_dedup.LEAST_WORDS]
+        assert r.n_words == (51 if len(sides) == 2 else sides[0])
+
+
 def test_near_equal_paragraphs_are_linked(spark):
     sets = [set(range(100)), set(range(5, 100)), set(range(11, 100)), set(range(50))]
     assert set(substring_dedup.jaccard_forest([7, 8, 9, 10], sets)) == {(7, 8), (7, 9)}

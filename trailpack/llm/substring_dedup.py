@@ -1,21 +1,23 @@
-"""Substring de-duplication by paragraph MinHash banding.
-
-Passages are pasted into the middle of other text, where line breaks say nothing. A paragraph here ends where the text itself says
-so: after a word whose hash (with the word before it) is the least within ``REACH`` words on both sides, or after ``LONGEST``
-words. Equal passages are cut equally, whatever surrounds them. Words are those of ``[^\\x20\\x09-\\x0D]+``, with A-Z in lower case; shingles
-are five words.
-
-1. Every paragraph of at least five words emits ``BANDS`` keys of ``ROWS`` MinHash values each; two paragraphs at a Jaccard
-   similarity of 0.8 share one with a probability of 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.983, equal ones always.
-2. Keys that several paragraphs have are found in sorted runs. A bit map of fixed size marks their paragraphs, and a second
-   scan brings out those with places and shingles.
-3. In a run, pairs of different paragraphs are verified by the exact Jaccard similarity of their shingles. A spanning forest of the
-   links is passed on, never all pairs; its components are the classes.
-4. Of a class in at least two documents the first place (least doc_id, then place) stays and the others are removed. Neighbouring
-   paragraphs of a document with one verdict make a span; spans of at least ``LEAST_WORDS`` words are reported.
-
-Defined results: null and empty texts have no paragraphs. Rows with a null doc_id are left out. Rows that repeat a doc_id and text count
-once. Columns other than doc_id and text are ignored.
+"""Substring de-duplication by MinHash of all windows of ``LEAST_WORDS`` words.
+
+Passages are pasted into the middle of other text, where line breaks say nothing. So every run of ``LEAST_WORDS`` words is a
+paragraph of its own. Words are those of ``[^\\x20\\x09-\\x0D]+``, with A-Z in lower case.
+
+1. A window's key is the least hash of its shingles of ``SEED`` words. Neighbouring windows mostly share it, so a text has about a key
+   for each six words. Equal windows have equal keys, whatever surrounds them.
+2. Keys of several documents are marked in a bit map of fixed size. A second scan brings out the windows of marked keys, with a
+   hash of all their words. No repeated window is missed.
+3. Of a window in at least two documents the first place (least doc_id, then place) stays and the others are removed. The removed
+   windows of a text are joined word by word, so that a repeated passage of ``LEAST_WORDS`` or more is reported whole.
+4. Near copies: equal runs of a text and one kept text, in one order, are joined with what lies between them, where the five-word
+   shingles of the runs are at a Jaccard similarity of ``SIMILARITY`` in the whole region. Of any two passages of 40 words or more at
+   that similarity some run of ``LEAST_WORDS`` words is equal, so that none is missed altogether.
+
+Removed and kept spans of a text may share words, where a kept passage overlaps with one that is removed; those words are removed. A
+window that overlaps with its own first place is kept with it.
+
+Defined results: null and empty texts have no windows. Rows with a null doc_id are left out. Rows that repeat a doc_id and text count
+once; texts of one doc_id are told apart. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -25,134 +27,64 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stored
+from .common import stored
 from .decontamination import Hasher, mixed
 
 SHINGLE, SIMILARITY = 5, 0.8
-REACH, LONGEST = 4, 64
-BANDS, ROWS = 4, 2
+#: Words of the shingles whose least hash is a window's key.
+SEED = 10
 LEAST_WORDS = 20
-#: Most bits of the map that marks paragraphs for the second scan; a fuller map lets more through, which costs time only.
+#: Most bits of the map that marks keys for the second scan; a fuller map lets more through, which costs time only.
 MAP_BITS = 26
-
-PLACE = "class long, doc_id long, place int, start long, finish long, n_words int, shingles array<long>"
-
-
-def paragraph_ends(words: np.ndarray) -> np.ndarray:
-    """Word numbers at which paragraphs end (exclusive)."""
-    n = len(words)
-    pairs = mixed(words + np.concatenate([[np.uint64(0)], words[:-1]]) * np.uint64(3))
-    most = np.full(REACH, np.iinfo(np.uint64).max)
-    padded = np.concatenate([most, pairs, most])
-    least = np.ones(n, bool)
-    for j in range(REACH):
-        least &= (pairs < padded[j : j + n]) & (pairs <= padded[2 * REACH - j : 2 * REACH - j + n])
-    cuts = np.unique(np.append(np.flatnonzero(least) + 1, n))
-    lengths = np.diff(cuts, prepend=0)
-    if lengths.max() > LONGEST:
-        starts = cuts - lengths
-        cuts = np.concatenate([np.append(np.arange(s + LONGEST, e, LONGEST), e) for s, e in zip(starts.tolist(), cuts.tolist(), strict=True)])
-    return cuts
-
-
-class Paragraphs:
-    """The paragraphs of a text: first and last words, classes (a hash of all words), and shingle hashes."""
-
-    def __init__(self, hasher: Hasher, text: str):
-        self.data = text.encode().lower()
-        words, self.starts, self.ends = hasher.words(self.data)
-        self.count = 0
-        if len(words) < SHINGLE:
-            return
-        ends = paragraph_ends(words)
-        firsts = np.concatenate([[0], ends[:-1]])
-        places = np.arange(len(ends))
-        lengths = ends - firsts
-        within = np.arange(len(words)) - np.repeat(firsts, lengths)
-        classes = np.add.reduceat(mixed(words + within.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), firsts)
-        shingles = words.copy()
-        for j in range(1, SHINGLE):
-            shingles = mixed(shingles + np.append(words[j:], np.zeros(j, np.uint64)))
-        # A shingle belongs to the paragraph that holds it whole.
-        self.whole = within + SHINGLE <= np.repeat(lengths, lengths)
-        self.shingles = shingles
-        long = lengths >= SHINGLE
-        self.first, self.last, self.place = firsts[long], ends[long], places[long]
-        self.classes = (classes ^ lengths.astype(np.uint64))[long]
-        self.bounds = firsts
-        self.long = long
-        self.count = int(long.sum())
-
-    def keys(self) -> np.ndarray:
-        """BANDS keys per paragraph, as columns; the band is in the lowest bits."""
-        most = np.iinfo(np.uint64).max
-        columns = []
-        for band in range(BANDS):
-            key = np.uint64(band)
-            for row in range(ROWS):
-                values = mixed(self.shingles ^ np.uint64((band * ROWS + row + 1) * 0xA24BAED4963EE407 % (1 << 64)))
-                values = np.minimum.reduceat(np.where(self.whole, values, most), self.bounds)[self.long]
-                key = mixed(values + key * np.uint64(5))
-            columns.append((key & np.uint64(~7 % (1 << 64))) | np.uint64(band))
-        return np.stack(columns, axis=1)
-
-    def shingle_set(self, i: int) -> np.ndarray:
-        return np.unique(self.shingles[self.first[i] : self.last[i] - SHINGLE + 1])
-
-
-def band_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+#: Rows that a task passes on at once.
+ROWS = 100_000
+
+WINDOW = "window long, doc_id long, copy int, place int, start int, finish int"
+JUDGED = [*(c.split()[0] for c in WINDOW.split(", ")[1:]), "n_docs", "kept_doc_id", "kept_copy", "kept_place"]
+SPAN = "doc_id long, start long, n_chars long, n_words long, removed boolean, n_docs long, kept_doc_id long"
+
+
+def window_keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, hash) of each window of LEAST_WORDS words."""
+    n = len(words) - LEAST_WORDS + 1
+    if n < 1:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    half = words[: 1 - SHINGLE].copy()
+    for j in range(1, SHINGLE):
+        half = mixed(half + words[j : len(half) + j])
+    seeds = mixed(half[: SHINGLE - SEED] + half[SEED - SHINGLE :] * np.uint64(3))
+    hashes = mixed(seeds[:n] + seeds[LEAST_WORDS - SEED :] * np.uint64(5))
+    # The least of the first 1, 2, 4 and more of each window's shingles.
+    least, reach, shingles = seeds, 1, LEAST_WORDS - SEED + 1
+    while reach < shingles:
+        step = min(reach, shingles - reach)
+        least = np.minimum(least[:-step], least[step:])
+        reach += step
+    return least, hashes
+
+
+def key_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(key, n_texts) of the texts' distinct keys."""
     hasher = Hasher()
     for batch in batches:
-        keys, classes = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-        for text in batch["text"]:
-            found = Paragraphs(hasher, text)
-            if found.count:
-                keys.append(found.keys().ravel())
-                classes.append(np.repeat(found.classes, BANDS))
-        yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "class": np.concatenate(classes).view(np.int64)})
-
-
-def colliding(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(key, class) of the classes that meet others at a key; of a class that meets itself alone, one row, with a null key.
-
-    From rows sorted by key and class; the last run of a batch waits for the next.
-    """
-    key_rest, class_rest = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def runs(key: np.ndarray, own: np.ndarray) -> pd.DataFrame:
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
-        at = np.flatnonzero(new)
-        copies = np.diff(np.append(at, len(key)))
-        key, own = key[at], own[at]
-        _, which, classes = np.unique(key, return_inverse=True, return_counts=True)
-        several = classes[which] > 1
-        alone = ~several & (copies > 1) & (key & 7 == 0)
-        keys = pd.array(np.concatenate([key[several], np.zeros(int(alone.sum()), np.int64)]), dtype="Int64")
-        keys[int(several.sum()) :] = pd.NA
-        return pd.DataFrame({"key": keys, "class": np.concatenate([own[several], own[alone]])})
-
-    for batch in batches:
-        key = np.concatenate([key_rest, batch["key"].to_numpy(np.int64)])
-        own = np.concatenate([class_rest, batch["class"].to_numpy(np.int64)])
-        cut = np.searchsorted(key, key[-1]) if len(key) else 0
-        yield runs(key[:cut], own[:cut])
-        # Copies of a (key, class) beyond two say nothing more; a hot run stays short.
-        key_rest, class_rest = key[cut:], own[cut:]
-        keep = np.ones(len(key_rest), bool)
-        keep[2:] = (class_rest[2:] != class_rest[1:-1]) | (class_rest[2:] != class_rest[:-2])
-        key_rest, class_rest = key_rest[keep], class_rest[keep]
-    yield runs(key_rest, class_rest)
-
-
-def bit_map(classes: DataFrame) -> tuple[np.ndarray, int]:
-    """A map of at most 2 ** MAP_BITS bits with those of ``classes`` set, and the shift that leads from a class to its bit."""
-    n = classes.count()
+        keys, held = [], 0
+        for i, text in enumerate(batch["text"], 1):
+            keys.append(np.unique(window_keys(hasher.words(text.encode().lower())[0])[0]))
+            held += len(keys[-1])
+            if held >= ROWS or i == len(batch):
+                key, n = np.unique(np.concatenate(keys), return_counts=True)
+                yield pd.DataFrame({"key": key.view(np.int64), "n_texts": n})
+                keys, held = [], 0
+
+
+def bit_map(keys: DataFrame) -> tuple[np.ndarray, int]:
+    """A map of at most 2 ** MAP_BITS bits with those of ``keys`` set, and the shift that leads from a key to its bit."""
+    n = keys.count()
     bits = min(MAP_BITS, max(10, math.ceil(math.log2(16 * n + 1))))
-    at = classes.select(F.shiftrightunsigned("class", 64 - bits).alias("at"))
+    at = keys.select(F.shiftrightunsigned("key", 64 - bits).alias("at"))
     own = at.select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63 AS int))").alias("bit"))
     # At most 2 ** (MAP_BITS - 6) rows.
     words = own.groupBy("word").agg(F.bit_or("bit").alias("bits"))
@@ -180,82 +112,129 @@ def jaccard_forest(classes: list[int], sets: list[set[int]]) -> Iterator[tuple[i
             left = rest
 
 
-def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Links (a, b) in the runs of equal keys, from rows (key, class, shingles) sorted by key and class."""
-    key, held = None, {}
-    for batch in batches:
-        found = []
-        for k, c, s in zip(batch["key"].tolist(), batch["class"].tolist(), batch["shingles"], strict=True):
-            if k != key:
-                found += jaccard_forest(list(held), list(held.values()))
-                key, held = k, {}
-            held[c] = set(s.tolist())
-        yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-    yield pd.DataFrame(list(jaccard_forest(list(held), list(held.values()))), columns=["a", "b"], dtype="int64")
-
-
-def places(documents: DataFrame, marks: np.ndarray, shift: int) -> DataFrame:
-    """PLACE for the paragraphs whose class is marked; start and finish in characters."""
+def windows(documents: DataFrame, marks: np.ndarray, shift: int) -> DataFrame:
+    """WINDOW for the windows whose key is marked; start and finish in characters."""
     shared = documents.sparkSession.sparkContext.broadcast(marks)  # 2 ** MAP_BITS at most
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher, marked = Hasher(), shared.value
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"], strict=True):
-                found = Paragraphs(hasher, text)
-                if not found.count:
-                    continue
-                at = np.flatnonzero(marked[found.classes >> np.uint64(shift)])
-                if not len(at):
-                    continue
-                raw = np.frombuffer(found.data, np.uint8)
-                chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-                for i in at.tolist():
-                    first, last = found.first[i], found.last[i]
-                    span = int(chars[found.starts[first]]), int(chars[found.ends[last - 1]])
-                    own = found.shingle_set(i).view(np.int64)
-                    rows.append((int(found.classes[i].view(np.int64)), doc_id, int(found.place[i]), *span, int(last - first), own))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PLACE.split(", ")])
-
-    return documents.mapInPandas(scan, PLACE)
+            parts, held = [], 0
+            for i, (doc_id, copy, text) in enumerate(zip(batch["doc_id"].tolist(), batch["copy"].tolist(), batch["text"], strict=True), 1):
+                data = text.encode().lower()
+                words, starts, ends = hasher.words(data)
+                keys, hashes = window_keys(words)
+                at = np.flatnonzero(marked[keys >> np.uint64(shift)])
+                if len(at):
+                    chars = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])
+                    own = np.full(len(at), doc_id), np.full(len(at), copy, np.int32), at, chars[starts[at]], chars[ends[at + LEAST_WORDS - 1]]
+                    parts.append((hashes[at].view(np.int64), *own))
+                    held += len(at)
+                if parts and (held >= ROWS or i == len(batch)):
+                    columns = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    yield pd.DataFrame(dict(zip((c.split()[0] for c in WINDOW.split(", ")), columns, strict=True)))
+                    parts, held = [], 0
+
+    return documents.mapInPandas(scan, WINDOW)
+
+
+def bridges(first: np.ndarray, after: np.ndarray, kept: np.ndarray) -> list[tuple[int, int]]:
+    """Regions (first word, word after) that join runs of a text with equal ones of a kept text, from ``kept`` on, in the order of
+    both: the largest ones in which the runs' shingles are at SIMILARITY."""
+    found = []
+    order = np.argsort(first, kind="stable")
+    first, after, kept = first[order], after[order], kept[order]
+    end = kept + after - first
+    # Shingles of a run that the one before it has not; runs that go back in the kept text begin a new chain.
+    shared = after - first - SHINGLE + 1
+    again = np.maximum(after[:-1] - first[1:], end[:-1] - kept[1:]) - SHINGLE + 1
+    shared[1:] -= np.clip(again, 0, shared[1:])
+    total = np.concatenate([[0], np.cumsum(shared)])
+    chains = np.concatenate([[0], np.flatnonzero((kept[1:] <= kept[:-1]) | (end[1:] <= end[:-1])) + 1, [len(first)]])
+    for low, high in zip(chains[:-1].tolist(), chains[1:].tolist(), strict=True):
+        for i in range(low, high - 1):
+            both = total[i + 2 : high + 1] - total[i]
+            sizes = after[i + 1 : high] - first[i] + end[i + 1 : high] - kept[i] - 2 * (SHINGLE - 1)
+            fit = np.flatnonzero(both >= SIMILARITY * (sizes - both))
+            if len(fit):
+                found.append((int(first[i]), int(after[i + 1 + fit[-1]])))
+    return found
+
+
+def spans_of(rows: dict[str, np.ndarray]) -> Iterator[tuple]:
+    """The spans of one text, from its windows in order."""
+    doc_id, copy, place = rows["doc_id"][0], rows["copy"][0], rows["place"]
+    own = (rows["kept_doc_id"] == doc_id) & (rows["kept_copy"] == copy)
+    stays = own & (place - rows["kept_place"] < LEAST_WORDS)
+    for removed in (False, True):
+        at = np.flatnonzero(stays != removed)
+        if not len(at):
+            continue
+        first, after = place[at], place[at] + LEAST_WORDS
+        kept, kept_copy, kept_place = (rows[c][at] for c in ("kept_doc_id", "kept_copy", "kept_place"))
+        low = np.concatenate([[True], first[1:] > after[:-1]])
+        if removed:
+            new = np.ones(len(at), bool)
+            new[1:] = (first[1:] != first[:-1] + 1) | (kept[1:] != kept[:-1]) | (kept_copy[1:] != kept_copy[:-1]) | (kept_place[1:] != kept_place[:-1] + 1)
+            begin = np.flatnonzero(new)
+            last = np.append(begin[1:], len(at)) - 1
+            _, which = np.unique(np.stack([kept[begin], kept_copy[begin]]), axis=1, return_inverse=True)
+            for group in np.flatnonzero(np.bincount(which.ravel()) > 1):
+                b = begin[which.ravel() == group]
+                e = last[which.ravel() == group]
+                for x, y in bridges(first[b], after[e], kept_place[b]):
+                    low &= (first <= x) | (first >= y)
+        begin = np.flatnonzero(low)
+        last = np.append(begin[1:], len(at)) - 1
+        n_docs, least = np.maximum.reduceat(rows["n_docs"][at], begin), np.minimum.reduceat(kept, begin)
+        start, finish = rows["start"][at][begin].astype(np.int64), rows["finish"][at][last]
+        for x in zip(start.tolist(), (finish - start).tolist(), (after[last] - first[begin]).tolist(), n_docs.tolist(), least.tolist(), strict=True):
+            yield int(doc_id), *x[:3], removed, *x[3:]
+
+
+def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """SPAN, from rows JUDGED sorted by doc_id, copy and place; the last text of a batch waits for the next."""
+    names = [c.split()[0] for c in SPAN.split(", ")]
+    rest: list[dict[str, np.ndarray]] = []
+
+    def text(parts: list[dict[str, np.ndarray]]) -> Iterator[tuple]:
+        rows = {c: np.concatenate([p[c] for p in parts]) for c in JUDGED}
+        # Rows that repeat a doc_id and text.
+        once = np.concatenate([[True], np.diff(rows["place"]) != 0])
+        return spans_of({c: x[once] for c, x in rows.items()})
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        rows = {c: batch[c].to_numpy() for c in JUDGED}
+        cuts = np.flatnonzero((np.diff(rows["doc_id"]) != 0) | (np.diff(rows["copy"]) != 0)) + 1
+        bounds = [0, *cuts.tolist(), len(batch)]
+        found = []
+        for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+            part = {c: x[low:high] for c, x in rows.items()}
+            if rest and (rest[0]["doc_id"][0], rest[0]["copy"][0]) != (part["doc_id"][0], part["copy"][0]):
+                found += text(rest)
+                rest = []
+            rest.append(part)
+        yield pd.DataFrame(found, columns=names)
+    if rest:
+        yield pd.DataFrame(list(text(rest)), columns=names)
 
 
 def repeated_passages(documents: DataFrame) -> DataFrame:
-    """One row per span of repeated paragraphs: doc_id, start, n_chars, n_words, removed, n_docs and kept_doc_id.
+    """One row per span of repeated words: doc_id, start, n_chars, n_words, removed, n_docs and kept_doc_id.
 
-    n_docs: the most documents that have one of its paragraphs. kept_doc_id: the least document in which one of them stays.
+    n_docs: the most documents that have one of its windows. kept_doc_id: the least document in which one of them stays.
     """
-    texts = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    bands = texts.select("text").mapInPandas(band_rows, "key long, class long")
-    met = stored(bands.repartition(F.col("key")).sortWithinPartitions("key", "class").mapInPandas(colliding, "key long, class long"))
-    marks, shift = bit_map(met.select("class").distinct())
-    found = stored(places(texts, marks, shift))
-    own = found.groupBy("class").agg(F.first("shingles").alias("shingles"))
-    near = met.where("key is not null").join(own, "class").select("key", "class", "shingles")
-    links = near.repartition(F.col("key")).sortWithinPartitions("key", "class").mapInPandas(verified, "a long, b long")
-    labels = components(links).select(F.col("node").alias("class"), "component")
-    spots = found.select("class", "doc_id", "place", "start", "finish", "n_words").distinct().join(labels, "class", "left")
-    spots = stored(spots.withColumn("component", F.coalesce("component", "class")).drop("class"))
-    first = F.min(F.struct("doc_id", "place", "start"))
-    in_docs = spots.groupBy("component", "doc_id").agg(first.alias("first")).groupBy("component")
-    classes = in_docs.agg(F.count(F.lit(1)).alias("n_docs"), F.min("first").alias("first")).where("n_docs > 1")
+    texts = documents.where("doc_id is not null and text is not null")
+    texts = texts.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("copy"), "text")
+    keys = texts.select("text").mapInPandas(key_rows, "key long, n_texts long").groupBy("key").agg(F.sum("n_texts").alias("n"))
+    marks, shift = bit_map(stored(keys.where("n > 1").select("key")))
+    found = stored(windows(texts, marks, shift))
+    first = F.min(F.struct("doc_id", "place", "copy"))
+    in_docs = found.groupBy("window", "doc_id").agg(F.min(F.struct("place", "copy")).alias("at")).select("window", "doc_id", "at.*")
+    classes = in_docs.groupBy("window").agg(F.count(F.lit(1)).alias("n_docs"), first.alias("first")).where("n_docs > 1")
     # Stored, so that both sides of the join are plain and Spark can split a large class.
-    classes = stored(classes)
-    judged = spots.join(classes, "component").withColumn("removed", F.struct("doc_id", "place", "start") != F.col("first"))
-    order = Window.partitionBy("doc_id").orderBy("place", "start")
-    breaks = (F.col("place") != F.lag("place").over(order) + 1) | (F.col("removed") != F.lag("removed").over(order))
-    spans = judged.withColumn("new", F.coalesce(breaks, F.lit(True)).cast("int")).withColumn("span", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return (
-        spans.groupBy("doc_id", "span")
-        .agg(
-            F.min("start").alias("start"),
-            (F.max("finish") - F.min("start")).alias("n_chars"),
-            F.sum("n_words").alias("n_words"),
-            F.first("removed").alias("removed"),
-            F.max("n_docs").alias("n_docs"),
-            F.min("first.doc_id").alias("kept_doc_id"),
-        )
-        .where(F.col("n_words") >= LEAST_WORDS)
-        .drop("span")
-    )
+    classes = stored(classes.select("window", "n_docs", *(F.col(f"first.{c}").alias(f"kept_{c}") for c in ("doc_id", "copy", "place"))))
+    judged = found.join(classes, "window").select(*JUDGED)
+    return judged.repartition("doc_id", "copy").sortWithinPartitions("doc_id", "copy", "place").mapInPandas(joined, SPAN)
