@@ -289,6 +289,23 @@ def test_pasted_passages(spark):
         assert sum(w in passages[p] for w in inside) >= len(inside) - 4
 
 
+@pytest.mark.parametrize("n", [20, 25, 30, 40])
+def test_short_equal_passages_are_reported_whole(spark, n):
+    import random
+
+    rng = random.Random(n)
+    extra, data, at = rows()[0][5:], [], {}
+    for i in range(0, 60, 2):
+        passage = text_of(rng, n, 10**6).split()
+        for d in (i, i + 1):
+            own, at[d] = text_of(rng, 60, 10**6).split(), rng.randrange(61)
+            data.append((d, " ".join(own[: at[d]] + passage + own[at[d] :]), "en", "s", 1, *extra))
+    found = substring_dedup.repeated_passages(frame(spark, data)).collect()
+    assert sorted((r.doc_id, r.removed, r.n_words, r.kept_doc_id) for r in found) == [(d, d % 2 == 1, n, d - d % 2) for d in range(60)]
+    texts = {r[0]: r[1] for r in data}
+    assert all(texts[r.doc_id][: r.start].split() == texts[r.doc_id].split()[: at[r.doc_id]] for r in found)
+
+
 @pytest.mark.parametrize("middle", [True, False])
 def test_passages_with_one_changed_word_are_found(spark, middle):
     import random
