@@ -397,6 +397,14 @@ def test_nearest_are_exact(spark):
             assert np.allclose([c for c, _ in index.nearest(at, weights)], best)
 
 
+def test_every_example_is_in_the_index(spark):
+    data, labels = toxic_data()
+    index = toxicity.learn(frame(spark, data), labels_of(spark, labels))
+    assert set(index.ids.tolist()) == {d for d, *_ in labels}
+    assert index.vocabulary.terms.keys() == {t for _, text, *_ in data for t in toxicity.terms_of(text)}
+    assert all(index.score(text)[2][0] == 1 for _, text, *_ in data)
+
+
 @pytest.mark.parametrize("labels", [[], [(0, 1, 0), (3, 1, 0)], [(None, 1, 1), (3, 1, None)], [(0, 0, 1), (0, 0, 0), (3, 1, 0), (27, 1, 1)]])
 def test_toxicity_on_hard_rows(spark, labels):
     found = toxicity.toxicity_report(frame(spark), labels_of(spark, labels)).collect()

@@ -2,10 +2,10 @@
 
 1. At most ``EXAMPLES`` labelled documents (the first by a hash of their id) are the examples; that bound makes everything below fit
    in a task. A term is a word, or the beginning of a longer one (``STEMS`` letters), together with a level: a count of 5 gives
-   the levels 1, 2 and 4. The ``TERMS`` terms that tell the classes apart best are the vocabulary.
+   the levels 1, 2 and 4. All terms of the examples are the vocabulary.
 2. Document frequencies of these terms are counted over all documents. A document is a TF-IDF vector over the vocabulary, at length
    1: each of its levels of a term weighs idf = ln(1 + documents / frequency), so that a vector grows with the logarithm
-   of a count.
+   of a count. The ``TERMS`` terms that tell the classes apart best weigh ``TELLING`` times that.
 3. The examples' vectors are inverted: a term's postings lie in blocks of ``BLOCK`` examples, each with its largest weight. A document
    bounds each block by the sum of its weights times the block's largest ones, opens the best blocks, and then all those whose bound
    exceeds the K-th best cosine found: the K nearest examples by exact cosine.
@@ -31,12 +31,14 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Bound on the labelled rows that are learned from; vocabulary; neighbours that vote; examples in a block.
+#: Bound on the labelled rows that are learned from; telling terms; neighbours that vote; examples in a block.
 EXAMPLES, TERMS, K, BLOCK = 5000, 512, 15, 64
+#: Weight of a term that tells the classes apart against that of another one.
+TELLING = 8.0
 STEMS, LEVELS = (5, 7), (1, 2, 4, 8)
 #: Words whose stems a task remembers.
 CACHED_WORDS = 300_000
-#: What a term of the vocabulary needs: labelled documents that hold it, their share of one class, how many times the
+#: What a telling term needs: labelled documents that hold it, their share of one class, how many times the
 #: share of the other class that is, and the chi-square of both.
 LEAST_DOCUMENTS, LEAST_SHARE, LEAST_LIFT, LEAST_CHI = 3, 0.02, 8.0, 30.0
 REJECT = 0.7
@@ -69,11 +71,18 @@ class Vocabulary:
 
     def __init__(self, terms: list[str]):
         self.terms = {t: i for i, t in enumerate(terms)}
-        self.stems = {t.rpartition(" ")[0] for t in terms}
+        #: (level, number) of a stem's terms.
+        self.stems: dict[str, list[tuple[int, int]]] = {}
+        for i, t in enumerate(terms):
+            stem, _, level = t.rpartition(" ")
+            self.stems.setdefault(stem, []).append((int(level), i))
         self.known: dict[str, list[str]] = {}
 
+    def __reduce__(self):
+        return Vocabulary, (list(self.terms),)
+
     def of(self, text: str | None) -> list[int]:
-        counts: Counter[str] = Counter()
+        counts: dict[str, int] = {}
         known = self.known
         for word, n in Counter(words(text)).items():
             own = known.get(word)
@@ -82,9 +91,8 @@ class Vocabulary:
                 if len(known) < CACHED_WORDS:
                     known[word] = own
             for stem in own:
-                counts[stem] += n
-        levels = (f"{stem} {level}" for stem, n in counts.items() for level in LEVELS if n >= level)
-        return sorted(self.terms[t] for t in levels if t in self.terms)
+                counts[stem] = counts.get(stem, 0) + n
+        return sorted([i for stem, n in counts.items() for level, i in self.stems[stem] if n >= level])
 
 
 def labelled_examples(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -102,12 +110,12 @@ def labelled_examples(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return texts.mapInPandas(run, "id long, toxic int, terms array<string>")
 
 
-def vocabulary(examples: DataFrame) -> tuple[list[str], float]:
-    """The terms that tell the classes apart best, and the share of toxic examples."""
+def telling_terms(examples: DataFrame) -> tuple[list[str] | None, float]:
+    """None without examples of both classes, else the terms that tell the classes apart best, and the share of toxic examples."""
     totals = examples.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("toxic")).first()
     n, toxic = totals["n"], totals["toxic"] or 0
     if not toxic or toxic == n:
-        return [], toxic / max(n, 1)
+        return None, toxic / max(n, 1)
     per_term = examples.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("all"), F.sum("toxic").alias("bad"))
     # Chi-square of the term's presence against the label.
     bad, good = F.col("bad"), F.col("all") - F.col("bad")
@@ -129,9 +137,10 @@ def document_frequencies(documents: DataFrame, terms: list[str]) -> tuple[np.nda
             for text in batch["text"]:
                 found[known.of(text)] += 1
                 n += 1
-        yield pd.DataFrame({"term": np.arange(len(terms) + 1), "n": np.append(found, n)})
+        at = np.append(np.flatnonzero(found), len(terms))
+        yield pd.DataFrame({"term": at, "n": np.append(found, n)[at]})
 
-    # A task gives at most TERMS + 1 rows.
+    # A task gives at most one row for each term of the examples.
     rows = documents.select("text").mapInPandas(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     found = {r["term"]: r["n"] for r in rows}
     return np.array([found.get(i, 0) for i in range(len(terms))], float), found.get(len(terms), 0)
@@ -161,38 +170,53 @@ class Index:
         term = np.concatenate([at for at, _ in self.vectors] or [np.zeros(0, np.int64)])
         weight = np.concatenate([w for _, w in self.vectors] or [np.zeros(0)])
         by_term = np.lexsort((example, term))
-        self.example, self.weight = example[by_term], weight[by_term]
-        term = term[by_term]
-        # The postings of (term, block) are self.start[term, block] to self.start[term, block + 1].
-        cells = term * (blocks + 1) + self.example // BLOCK
-        self.start = np.searchsorted(cells, np.arange(len(self.idf) * (blocks + 1))).reshape(len(self.idf), blocks + 1)
-        self.most = np.zeros((len(self.idf), max(blocks, 1)))
-        np.maximum.at(self.most, (term, self.example // BLOCK), self.weight)
-        self.blocks = blocks
-
-    def cosines(self, at: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-        """Exact cosines of all examples in ``blocks``, as one row per block."""
-        first, after = self.start[at][:, blocks].ravel(), self.start[at][:, blocks + 1].ravel()
-        n = after - first
-        postings = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        slot = np.repeat(np.tile(np.arange(len(blocks)), len(at)), n) * BLOCK + self.example[postings] % BLOCK
-        q = np.repeat(np.repeat(weights, len(blocks)), n)
-        return np.bincount(slot, q * self.weight[postings], minlength=len(blocks) * BLOCK).reshape(-1, BLOCK)
+        self.example, weight, term = example[by_term].astype(np.int32), weight[by_term], term[by_term]
+        # A posting's weight is idf / norm; the norm is divided by once for each example.
+        self.norm = np.maximum([np.linalg.norm(self.idf[at]) for at, _ in self.vectors], 1e-12)
+        blocks = max(blocks, 1)
+        # The postings of (term, block) cell i are self.start[i] to self.start[i + 1]; those cells of a term with any lie side by side.
+        cells, start = np.unique(term * blocks + self.example // BLOCK, return_index=True)
+        self.start = np.append(start, len(term)).astype(np.int32)
+        self.most = np.maximum.reduceat(weight, start) if len(start) else np.zeros(0)
+        self.block = (cells % blocks).astype(np.int16)
+        self.first_cell = np.searchsorted(cells, np.arange(len(self.idf) + 1) * blocks).astype(np.int32)
+        self.blocks = -(-len(order) // BLOCK)
+
+    @staticmethod
+    def ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The numbers of all ranges of n from first on."""
+        return np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+
+    def cosines(self, cells: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Exact cosines of all examples in ``blocks``, as one row per block; from a document's cells and its weights times idf."""
+        slot = np.full(self.blocks, -1)
+        slot[blocks] = np.arange(len(blocks))
+        inside = slot[self.block[cells]] >= 0
+        cells, weights = cells[inside], weights[inside]
+        n = self.start[cells + 1] - self.start[cells]
+        postings = self.ranges(self.start[cells], n)
+        at = np.repeat(slot[self.block[cells]] * BLOCK, n) + self.example[postings] % BLOCK
+        found = np.bincount(at, np.repeat(weights, n), minlength=len(blocks) * BLOCK).reshape(-1, BLOCK)
+        example = blocks[:, None] * BLOCK + np.arange(BLOCK)
+        return found / self.norm[np.minimum(example, len(self.norm) - 1)]
 
     def nearest(self, at: np.ndarray, weights: np.ndarray, k: int = K) -> list[tuple[float, int]]:
         """(cosine, example) of the k nearest with a cosine above 0; ties to the smaller id."""
         if not len(at) or not self.blocks:
             return []
-        bound = weights @ self.most[at]
+        n = self.first_cell[at + 1] - self.first_cell[at]
+        cells = self.ranges(self.first_cell[at], n)
+        bound = np.bincount(self.block[cells], np.repeat(weights, n) * self.most[cells], minlength=self.blocks)
+        weights = np.repeat(weights * self.idf[at], n)
         order = np.argsort(-bound, kind="stable")
         opened = order[: max(1, -(-2 * k // BLOCK))]
-        found = [self._positive(self.cosines(at, weights, opened), opened)]
+        found = [self._positive(self.cosines(cells, weights, opened), opened)]
         least = np.sort(found[0][0])[-k] if len(found[0][0]) >= k else 0.0
         rest = order[len(opened) :]
         rest = rest[bound[rest] >= least - 1e-9]
         rest = rest[bound[rest] > 0]
         if len(rest):
-            found.append(self._positive(self.cosines(at, weights, rest), rest))
+            found.append(self._positive(self.cosines(cells, weights, rest), rest))
         cosine, example = (np.concatenate(x) for x in zip(*found, strict=True))
         best = np.lexsort((self.ids[example], -np.round(cosine, 9)))[:k]
         return [(float(cosine[i]), int(example[i])) for i in best]
@@ -231,7 +255,7 @@ class Index:
         """The calibrated vote, and the neighbours' ids and cosines."""
         key = tuple(self.vocabulary.of(text))
         if key not in self.cache:
-            if len(self.cache) > 20_000:
+            if len(self.cache) > 2000:
                 self.cache.clear()
             near = self.nearest(*self.vector(list(key))) if key else []
             p = 1 / (1 + np.exp(-(self.slope * (self.vote(self.toxic, near) - 0.5) + self.shift))) if near else self.none
@@ -241,17 +265,21 @@ class Index:
 
 def learn(documents: DataFrame, labels: DataFrame) -> Index:
     examples = stored(labelled_examples(documents, labels))
-    terms, base = vocabulary(examples)
+    telling, base = telling_terms(examples)
+    numbers: dict[str, int] = {}
+    # At most EXAMPLES rows, one at a time. A doc_id that rows repeat gives one example.
+    rows: dict[int, tuple[int, list[int]]] = {}
+    if telling is not None:
+        for r in examples.orderBy("id", "toxic", F.to_json("terms")).toLocalIterator():
+            rows[r["id"]] = r["toxic"], sorted(numbers.setdefault(t, len(numbers)) for t in r["terms"])
+    terms = list(numbers)
     found, n = document_frequencies(documents, terms)
-    index = Index(terms, np.log1p(n / np.maximum(found, 1)))
+    idf = np.log1p(n / np.maximum(found, 1))
+    idf[[numbers[t] for t in telling or []]] *= TELLING
+    index = Index(terms, idf)
     index.none = base
-    known = F.array(*(F.lit(t) for t in terms)).cast("array<string>")
-    # At most EXAMPLES rows, cut to the vocabulary. A doc_id that rows repeat gives one example.
-    rows = {r["id"]: r for r in examples.select("id", "toxic", F.array_intersect("terms", known).alias("terms")).collect()}
-    rows = [rows[i] for i in sorted(rows)]
-    number = index.vocabulary.terms
-    with_terms = [(r["id"], r["toxic"], index.vector(sorted(number[t] for t in r["terms"]))) for r in rows if r["terms"]]
-    lone = [r["toxic"] for r in rows if not r["terms"]]
+    with_terms = [(i, toxic, index.vector(own)) for i, (toxic, own) in sorted(rows.items()) if own]
+    lone = [toxic for toxic, own in rows.values() if not own]
     index.fill(with_terms)
     if terms:
         index.calibrate()
@@ -261,7 +289,9 @@ def learn(documents: DataFrame, labels: DataFrame) -> Index:
 
 def scorer(documents: DataFrame, labels: DataFrame):
     """A column function of the text: struct of score, near_ids and near_cosines (the evidence), by all ``labels`` given."""
-    shared = documents.sparkSession.sparkContext.broadcast(learn(documents, labels))  # bounded by EXAMPLES and TERMS
+    index = learn(documents, labels)
+    index.vectors = []  # for the calibration only
+    shared = documents.sparkSession.sparkContext.broadcast(index)  # bounded by EXAMPLES and their terms
 
     @F.pandas_udf("score double, near_ids array<bigint>, near_cosines array<double>")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
