@@ -10,8 +10,10 @@ import numpy as np
 import pytest
 import xxhash
 from hard_cases import frame, rows, text_of, words
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from trailpack.llm import decontamination, line_dedup, packing, quality, simhash, substring_dedup, toxicity
+from trailpack.llm import decontamination, line_dedup, packing, quality, simhash, substring_dedup, tokens, toxicity
 
 STRIP = " \t\n\x0b\x0c\r"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -108,13 +110,21 @@ def test_cut():
 
 
 @pytest.mark.parametrize("segment", [10**6, 40])
-def test_words_encode_like_whole_texts(monkeypatch, segment):
-    monkeypatch.setattr(packing, "SEGMENT", segment)
-    monkeypatch.setattr(packing, "CACHED_WORDS", 100)
+def test_ids_are_the_tokenizers(monkeypatch, segment):
+    monkeypatch.setattr(tokens, "SEGMENT", segment)
     texts = [r[1] or "" for r in rows()[:30]]
-    texts += ["  a  b\n\n c ", "x\ty \tz", "\na", "a\n", " a", "a ", "it's 12 don't  x", "a  b  c", "<|endoftext|> x"]
-    encoder = packing.Encoder(packing.tokenizer_path())
-    assert encoder.encode(texts) == encoder.whole(texts) == encoder.encode(texts)
+    texts += ["  a  b\n\n c ", "x\ty \tz", "\na", "a\n", " a", "a ", "it's 12 don't  x", "a  b  c", "<|endoftext|> x"]
+    texts += ["naïve café ½ ‘a’ – b… €", "日本 語", "a\u00a0b\u2003c", "\u0000x\u0085y", "Ωμέγα 12٣", "🙂 ok", "é" * 200 + " " * 200 + "x", "a\r\n\r\nb\x1c"]
+    encoder = tokens.Encoder(packing.tokenizer_path())
+    for text in texts:
+        assert encoder.encode(text) == np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text[:50]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("ab'stÀ ı\n\t  1,—²é½_\u00a0\u1e9e"), max_size=40))
+def test_ids_of_random_texts(text):
+    encoder = tokens.encoder(packing.tokenizer_path())
+    assert encoder.encode(text) == np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 # Quality rules -----------------------------------------------------------------------------------

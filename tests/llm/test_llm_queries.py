@@ -19,7 +19,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 
 
 def test_all_are_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in QUERIES}
     assert {*QUERIES, "pipeline"} <= driver.queries().keys() and ORACLE.items() <= driver.oracle_sql().items()
 
 

@@ -76,3 +76,27 @@ shared AS (SELECT doc_id, item_id, count(*) AS n_shared FROM docs JOIN items USI
 SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment
 FROM shared JOIN sizes USING (item_id) WHERE 5 * n_shared >= 4 * n_item
 """
+
+# Anchors with their rows by score: the first five of the label, then the first ten of other labels in each one's window.
+ORACLE["op11_hard_negatives"] = """
+WITH base AS (
+    SELECT DISTINCT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+           list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0
+), scored AS (
+    SELECT a.vec_id AS anchor_id, a.label AS own, r.vec_id, r.label,
+           CAST(list_sum(list_transform(list_zip(a.x, r.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM base a JOIN base r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id
+), positives AS (
+    SELECT anchor_id, own, vec_id AS positive_id, score AS positive_score FROM scored WHERE label = own
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), ranked AS (
+    SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+           CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+    FROM positives JOIN scored USING (anchor_id)
+    WHERE scored.label <> positives.own AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 10
+"""

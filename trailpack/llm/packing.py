@@ -11,9 +11,7 @@ doc_id are packed like others. Other columns are ignored. Without documents ther
 
 from __future__ import annotations
 
-import functools
 import math
-import os
 import zlib
 from collections.abc import Iterator
 
@@ -22,113 +20,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
+from .tokens import encoder, tokenizer_path
 
 END_ID = 2
-#: So many words a task remembers; frequent ones come early, and later ones are kept for their batch only.
-CACHED_WORDS = 300_000
-#: Characters that a task splits into words at a time.
-SEGMENT = 1_000_000
 #: Pieces of one length that one task ranks, on average.
 RANKED_TOGETHER = 100_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
-def segments(text: str) -> Iterator[str]:
-    """Parts of a text, cut before single spaces between other characters."""
-    start = 0
-    while len(text) - start > SEGMENT:
-        at = text.find(" ", start + SEGMENT)
-        while 0 < at < len(text) - 1 and (text[at - 1].isspace() or text[at + 1].isspace()):
-            at = text.find(" ", at + 1)
-        if not 0 < at < len(text) - 1:
-            break
-        yield text[start:at]
-        start = at
-    yield text[start:]
-
-
-class Encoder:
-    """Token ids of texts, as little-endian 32-bit bytes, with the ids of words remembered.
-
-    The tokenizer's pre-tokens never cross a single space or line break between two other characters, so such a text is the
-    sum of its words (each with the space before it) and breaks. Texts with other runs of white space are encoded whole.
-    """
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.first: dict[str, bytes | None] = {}  # a word at the start of a line
-        self.rest: dict[str, bytes | None] = {}  # a word after a space
-        self.line_break = self.whole(["\n"])[0]
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [b"".join(i.to_bytes(4, "little") for i in e.ids) for e in found]
-
-    def learn(self, known: dict, before: str, words: set[str]) -> list[str]:
-        """The words that are new."""
-        new = list(words - known.keys())
-        for word, ids in zip(new, self.whole([before + w for w in new]), strict=True):
-            # White space at an edge could belong to a run that reaches into the next word.
-            known[word] = None if word and (word[0].isspace() or word[-1].isspace()) else ids
-        return new
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text; long texts in segments, and not more than about two segments' worth at a time."""
-        out: list[list[bytes]] = [[] for _ in texts]
-        held: list[tuple[int, str]] = []
-        size = 0
-        for i, text in enumerate(texts):
-            for part in segments(text):
-                held.append((i, part))
-                size += len(part)
-                if size >= SEGMENT:
-                    self._encode(held, out)
-                    held, size = [], 0
-        self._encode(held, out)
-        return [b"".join(x) for x in out]
-
-    def _encode(self, held: list[tuple[int, str]], out: list[list[bytes]]) -> None:
-        for (i, _), ids in zip(held, self._ids([t for _, t in held]), strict=True):
-            out[i].append(ids)
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        lines = [None if any(x in t for x in ("  ", " \n", "\n ", "\n\n")) else [x.split(" ") for x in t.split("\n")] for t in texts]
-        first, rest = set(), set()
-        for words in (w for text in lines if text for w in text):
-            first.add(words[0])
-            rest.update(words[1:])
-        new = [(self.first, self.learn(self.first, "", first)), (self.rest, self.learn(self.rest, " ", rest))]
-        out = []
-        for text, own in zip(texts, lines, strict=True):
-            try:
-                if own is None:
-                    raise TypeError
-                out.append(self.line_break.join(b"".join([self.first[w[0]], *map(self.rest.__getitem__, w[1:])]) for w in own))
-            except TypeError:
-                out.append(self.whole([text])[0])
-        for known, words in new:
-            if len(known) > CACHED_WORDS:
-                for word in words:
-                    del known[word]
-        return out
-
-
-@functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    return Encoder(path)
-
-
 def cut(n: int, length: int) -> list[tuple[int, int]]:
     """(start, length) of each piece of n ids: all but the first are full."""
     first = n if n <= length else n % length or length
@@ -140,8 +40,8 @@ def pieces_of(documents: DataFrame, path: str, length: int) -> DataFrame:
         encode, end = encoder(path).encode, END_ID.to_bytes(4, "little")
         for batch in batches:
             rows = []
-            for doc_id, ids in zip(batch["doc_id"], encode(batch["text"].tolist()), strict=True):
-                ids += end
+            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+                ids = encode(text) + end
                 for k, (start, n) in enumerate(cut(len(ids) // 4, length)):
                     rows.append((doc_id, k, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)])))
             made = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])

@@ -10,7 +10,9 @@ from ..plans.testbed import table
 from .chat import format_chats
 from .common import with_package
 from .decontamination import find_contained
+from .hard_negatives import mined
 from .line_dedup import line_report
+from .online_packing import packing_report
 from .packing import pack
 from .quality import judge_quality
 from .simhash import near_duplicates
@@ -18,6 +20,7 @@ from .substring_dedup import repeated_passages
 from .toxicity import toxicity_report
 from .url_filter import judge_urls
 from .warc import archive_report
+from .whitening import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,6 +65,18 @@ def op10_best_fit_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark, sf_dir):
+    return mined(table(spark, sf_dir, "embeddings"))
+
+
+def op12_embedding_whitening(spark, sf_dir):
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_online_packing(spark, sf_dir):
+    return packing_report(table(spark, sf_dir, "documents"))
+
+
 _QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontamination": op2_decontamination,
@@ -73,6 +88,9 @@ _QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_toxicity": op9_toxicity,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_online_packing": op13_online_packing,
 }
 
 QUERIES: dict[str, Query] = {name: with_package(query) for name, query in _QUERIES.items()}
