@@ -3,8 +3,8 @@
 A look-back window holds whole days, so no context can need more than the newest N actions of any
 one day. That bounds exactly what has to be gathered per customer, however many actions there are:
 
-0. actions of customers that no context asks for are dropped in the scan's own stage, by a bit map of the asked
-   customers. It has a fixed size: with very many asked customers it lets more through, never less.
+0. actions of customers that no context asks for are dropped in the scan's own stage, by a filter over the asked
+   customers that grows with their number (``asked.py``).
 1. newest N per (customer, day, salt): limited once inside each map task, before the shuffle, and
    once after it. The salt is the number of the map task modulo ``salts``: what one task holds of a
    day stays together, and a day with a third of all actions spreads over ``salts`` reducers.
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import pad_array
 from ..schemas import ACTION_MISSING, DEFAULT_LOOKBACK_DAYS, DEFAULT_MAX_ACTIONS
+from .asked import of_asked_customers
+from .item_index import with_item_index
 
 # A day with rows in M map tasks gives its first reducers about N*M/salts rows each and its last one
 # at most N*salts. 32 keeps both in the tens of millions for N = 1000 and M = 800 000.
@@ -35,10 +37,6 @@ DEFAULT_SALTS = 32
 # Spark limits rows per window group ahead of a shuffle up to this limit only.
 EARLY_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
-# Bits of the map of asked customers, an eighth of a megabyte. Raise it where more than some 100 000 customers of many
-# more are asked for.
-ASKED_BITS = 20
-
 # Newest first; nulls last within ties, which DESC and sort_array(asc=False) both do.
 RECENCY = ("occurred_at", "action_type", "item_id")
 
@@ -66,31 +64,6 @@ def actions_in_reach(
     )
 
 
-def _asked_bit(bits: int) -> Column:
-    return F.pmod(F.xxhash64(F.col("customer_id").cast("bigint")), F.lit(1 << bits))
-
-
-def asked_map(contexts: DataFrame, bits: int = ASKED_BITS) -> DataFrame:
-    """One row, one array of 2 ** (bits - 6) words: the bits of all customers asked for."""
-    at = contexts.where("customer_id IS NOT NULL").select(_asked_bit(bits).alias("at"))
-    one = F.expr("shiftleft(1L, cast(at & 63 AS int))")
-    words = at.select(F.shiftright("at", 6).alias("word"), one.alias("set"))
-    every = contexts.sparkSession.range(1 << (bits - 6)).select(F.col("id").alias("word"), F.lit(0).cast("bigint").alias("set"))
-    dense = words.unionByName(every).groupBy("word").agg(F.bit_or("set").alias("set"))
-    return dense.agg(F.sort_array(F.collect_list(F.struct("word", "set")))["set"].alias("words"))
-
-
-def of_asked_customers(actions: DataFrame, contexts: DataFrame, bits: int = ASKED_BITS) -> DataFrame:
-    """The actions of customers with a context, and few others, without a join or a shuffle of actions.
-
-    A semi join would either need a broadcast or leave the rows clustered by customer, a hot one in one task.
-    """
-    at = _asked_bit(bits)
-    word = F.get(asked_map(contexts, bits).scalar(), F.shiftright(at, 6).cast("int"))
-    # A null bit number (no customer) is no match.
-    return actions.where(F.getbit(word, at.bitwiseAND(F.lit(63)).cast("int")) == 1)
-
-
 def newest_per_day(actions: DataFrame, max_actions: int, salts: int = DEFAULT_SALTS) -> DataFrame:
     """At most ``max_actions`` rows per (customer, day, salt), the newest ones."""
     if max_actions > int(actions.sparkSession.conf.get(EARLY_LIMIT)):
@@ -115,31 +88,31 @@ def newest_per_day(actions: DataFrame, max_actions: int, salts: int = DEFAULT_SA
     )
 
 
-def _age(day: Column) -> Column:
+def age_of(day: Column) -> Column:
     """Ascending from the newest day to the oldest."""
     return -F.unix_date(day)
 
 
 def customer_timelines(
-    newest: DataFrame, contexts: DataFrame, max_actions: int, lookback_days: int
+    newest: DataFrame, contexts: DataFrame, max_actions: int, lookback_days: int, carry: tuple[str, ...] = ()
 ) -> DataFrame:
-    """One row per customer asked for: ``entries``, newest first, and ``asked``.
+    """One row per customer asked for: ``entries``, newest first, and ``asked``. ``carry`` names further columns of an entry.
 
     ``asked`` holds the days with ``skip``, the entries on or after the day, and ``length``, how many
     of the following ones belong to its history. ``entries`` has at most ``max_actions`` per day asked for.
     """
-    recency = [newest.schema[c] for c in RECENCY]
+    columns = (*RECENCY, *carry)
     acted = newest.select(
         "customer_id",
-        _age(F.col("day")).alias("age"),
-        *RECENCY,
+        age_of(F.col("day")).alias("age"),
+        *columns,
         F.lit(None).cast("date").alias("as_of_date"),
         F.lit(1).alias("acted"),
     )
     markers = contexts.distinct().select(
         "customer_id",
-        _age(F.col("as_of_date")).alias("age"),
-        *[F.lit(None).cast(f.dataType).alias(f.name) for f in recency],
+        age_of(F.col("as_of_date")).alias("age"),
+        *[F.lit(None).cast(newest.schema[c].dataType).alias(c) for c in columns],
         "as_of_date",
         F.lit(0).alias("acted"),
     )
@@ -169,7 +142,7 @@ def customer_timelines(
     return (
         counted.groupBy("customer_id")
         .agg(
-            F.collect_list(F.when(is_action, F.struct(*RECENCY))).alias("entries"),
+            F.collect_list(F.when(is_action, F.struct(*columns))).alias("entries"),
             F.collect_list(F.when(~is_action, F.struct("as_of_date", "skip", length))).alias("asked"),
         )
         .where(F.size("asked") > 0)
@@ -187,26 +160,47 @@ def packed_histories(
     as_of_range: tuple[date, date] | None = None,
     keep_times: bool = False,
     keep_days: bool = False,
+    drop_repeats: bool = False,
+    item_index: DataFrame | None = None,
 ) -> DataFrame:
     """Histories before padding: (as_of_date, customer_id, actions, action_types).
 
     One row per distinct context, with empty arrays where nothing is in reach. This is the form to
     shuffle; padding belongs after the last exchange. For audits, ``keep_times`` adds the times of
-    the kept actions and ``keep_days`` the days of the newest and the oldest of them.
+    the kept actions and ``keep_days`` the days of the newest and the oldest of them. ``drop_repeats`` keeps the newest of
+    consecutive actions with the same item and type. ``item_index`` (item_id, item_index) puts its numbers in the place of item
+    ids, in the same order.
     """
+    from .runs import cut_runs, newest_heads, stitched_timelines  # built on this module
+
     contexts = contexts_df.select("as_of_date", "customer_id")
     reach = actions_in_reach(actions_union_df, contexts, lookback_days, as_of_range)
     reach = of_asked_customers(reach, contexts)
-    timelines = customer_timelines(
-        newest_per_day(reach, max_actions, salts), contexts, max_actions, lookback_days
-    )
-    opened = timelines.select(
-        "customer_id",
-        F.col("entries.item_id").alias("items"),
-        F.col("entries.action_type").alias("codes"),
-        F.col("entries.occurred_at").alias("times"),
-        F.inline("asked"),
-    )
+    limited = newest_heads(reach, max_actions, salts) if drop_repeats else newest_per_day(reach, max_actions, salts)
+    carry = ()
+    if item_index is not None:
+        # After the limit: no more than N rows of a day and salt are looked up.
+        limited, carry = with_item_index(limited, item_index), ("item_index",)
+    item = carry[0] if carry else "item_id"
+    if drop_repeats:
+        opened = cut_runs(stitched_timelines(limited, contexts, max_actions, lookback_days, carry), max_actions)
+        opened = opened.select(
+            "as_of_date",
+            "customer_id",
+            F.col(f"kept.{item}").alias("items"),
+            F.col("kept.action_type").alias("codes"),
+            F.col("kept.occurred_at").alias("times"),
+            F.lit(0).alias("skip"),
+            F.size("kept").alias("length"),
+        )
+    else:
+        opened = customer_timelines(limited, contexts, max_actions, lookback_days, carry).select(
+            "customer_id",
+            F.col(f"entries.{item}").alias("items"),
+            F.col("entries.action_type").alias("codes"),
+            F.col("entries.occurred_at").alias("times"),
+            F.inline("asked"),
+        )
     skip, length = F.col("skip"), F.col("length")
 
     def cut(column: str, name: str) -> Column:
@@ -244,6 +238,8 @@ def build_histories_for_impressions(
     lookback_days: int = DEFAULT_LOOKBACK_DAYS,
     salts: int = DEFAULT_SALTS,
     as_of_range: tuple[date, date] | None = None,
+    drop_repeats: bool = False,
+    item_index: DataFrame | None = None,
 ) -> DataFrame:
     """Fixed-length histories, one row per distinct (as_of_date, customer_id)."""
     packed = packed_histories(
@@ -253,6 +249,8 @@ def build_histories_for_impressions(
         lookback_days=lookback_days,
         salts=salts,
         as_of_range=as_of_range,
+        drop_repeats=drop_repeats,
+        item_index=item_index,
     )
     return pad_histories(packed, max_actions)
 

@@ -14,9 +14,10 @@ from pyspark.sql import types as T
 from ..functions.arrays import action_type_name, pad_array
 from ..operators import histories as H
 from ..operators import impressions as I
-from ..operators import leaks, profile, quality
+from ..operators import consistency, item_index, leaks, profile, quality, time_order
 from ..operators.actions import atc_actions, build_actions_union, click_actions, order_actions
 from ..operators.examples import build_training_examples
+from ..operators.sampling import sample_per_day
 from ..sinks.writers import new_run_dir, read_run, write_parquet
 from ..sources.readers import BAD_FIELDS, flag_rejects
 from ..sources.synthetic import synthetic_feeds
@@ -136,6 +137,29 @@ def histories_orders(spark, sf_dir):
     )
 
 
+def _item_index(actions, impressions):
+    shown = I.explode_items(impressions).withColumnRenamed("impression_item_id", "item_id")
+    return item_index.build_item_index(item_index.item_frequencies(actions, shown))
+
+
+def item_indices(spark, sf_dir):
+    """All items acted on or shown."""
+    return _item_index(*_parts(spark, sf_dir))
+
+
+def histories_indexed(spark, sf_dir):
+    actions, impressions = _parts(spark, sf_dir)
+    index = _item_index(actions, impressions)
+    return H.build_histories_for_impressions(actions, impressions, max_actions=N, lookback_days=L, item_index=index)
+
+
+def histories_deduped(spark, sf_dir, items=3):
+    """Items of one of few groups, so that there are runs of them."""
+    actions, impressions = _parts(spark, sf_dir)
+    grouped = actions.withColumn("item_id", F.col("item_id") % F.lit(items))
+    return H.build_histories_for_impressions(grouped, impressions, max_actions=N, lookback_days=L, drop_repeats=True)
+
+
 def _timed_histories(actions, impressions):
     return H.packed_histories(
         actions, impressions, max_actions=N, lookback_days=L, keep_times=True
@@ -212,6 +236,21 @@ def upstream_same_day(spark, sf_dir):
     return leaks.upstream_same_day(*_parts(spark, sf_dir))
 
 
+def time_order_report(spark, sf_dir):
+    """Orders as they stand in their file, by their days."""
+    return time_order.time_order_report(
+        table(spark, sf_dir, "orders"), customer="o_custkey", time="o_orderdate", piece_rows=1000
+    )
+
+
+def signs_before_orders(spark, sf_dir):
+    return consistency.signs_before_orders(*_parts(spark, sf_dir))
+
+
+def orders_without_prior_action(spark, sf_dir):
+    return consistency.orders_without_prior_action(*_parts(spark, sf_dir))
+
+
 # Sources and sinks -------------------------------------------------------------------------------
 
 
@@ -238,6 +277,23 @@ def reject_split(spark, sf_dir):
     )
 
 
+def reject_times(spark, sf_dir):
+    """Events as a text feed, with days and times that do not parse in two of five rows."""
+    at, nth = F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.col("event_id") % 5
+    day = F.substring(at, 1, 10)
+    raw = table(spark, sf_dir, "events").select(
+        F.col("event_id").cast("string").alias("event_id"),
+        F.when(nth == 1, F.lit("2024-13-45")).when(nth == 2, F.lit(None)).when(nth == 3, F.concat(F.lit("dt="), day)).otherwise(day).alias("dt"),
+        F.when(nth == 4, F.concat(at, F.lit(" or so"))).when(nth == 2, F.lit(None)).otherwise(at).alias("click_time"),
+    )
+    schema = T.StructType(
+        [T.StructField("event_id", T.LongType()), T.StructField("dt", T.StringType()), T.StructField("click_time", T.StringType())]
+    )
+    return flag_rejects(raw, schema, times=("dt", "click_time")).select(
+        "event_id", "dt", "click_time", F.col("_raw.dt").alias("rejected_dt"), F.col("_raw.click_time").alias("rejected_time"), BAD_FIELDS
+    ).withColumnRenamed(BAD_FIELDS, "bad_fields")
+
+
 def write_read_roundtrip(spark, sf_dir):
     # Only a local session can read back what it writes to a local folder.
     local = spark.sparkContext.master.startswith("local[")
@@ -270,6 +326,12 @@ def synthetic(spark, sf_dir):
     )
 
 
+def daily_sample(spark, sf_dir):
+    """Twenty shown items of every day."""
+    shown = impression_items(spark, sf_dir)
+    return sample_per_day(shown, 20, SEED, key=("ranking_id", "customer_id", "impression_item_id"))
+
+
 # Run profile -------------------------------------------------------------------------------------
 
 
@@ -324,6 +386,9 @@ NATIVE: dict[str, Query] = {
     "pad_array": pad_arrays,
     "histories": histories,
     "histories_orders": histories_orders,
+    "item_index": item_indices,
+    "histories_indexed": histories_indexed,
+    "histories_deduped": histories_deduped,
     "topn_actions": topn_actions,
     "candidates_before": candidates_before,
     "candidates_window": candidates_window,
@@ -339,7 +404,12 @@ NATIVE: dict[str, Query] = {
     "leak_count": leak_count,
     "history_audit": history_audit,
     "upstream_same_day": upstream_same_day,
+    "time_order_report": time_order_report,
+    "signs_before_orders": signs_before_orders,
+    "orders_without_prior_action": orders_without_prior_action,
     "reject_split": reject_split,
+    "reject_times": reject_times,
+    "sample_per_day": daily_sample,
     "write_read_roundtrip": write_read_roundtrip,
     "synthetic_feeds": synthetic,
     "size_preview": size_preview,

@@ -231,6 +231,84 @@ SELECT 'orders', customer_id, {_back(2, 7, 'order day')}, {_item('order item')},
 FROM base WHERE {_draw('order')} % 1000 < 400"""
 
 
+_ITEM_INDEX = """,
+counted AS (
+  SELECT item_id, count(*) AS frequency
+  FROM (SELECT item_id FROM acts UNION ALL SELECT unnest(items) FROM impr) WHERE item_id <> 0 GROUP BY item_id
+),
+idx AS (
+  SELECT CAST(item_id AS BIGINT) AS item_id, frequency,
+         CAST(1 + row_number() OVER (ORDER BY frequency DESC, item_id) AS INTEGER) AS item_index
+  FROM counted
+)"""
+
+# Ranked by the items themselves; their numbers are looked up last.
+_INDEXED = f""",
+numbered AS (
+  SELECT s.as_of_date, s.customer_id, s.rn, s.action_type, coalesce(idx.item_index, 1) AS item_index
+  FROM seen s LEFT JOIN idx ON idx.item_id = s.item_id WHERE s.rn <= {N}
+)
+SELECT c.as_of_date, c.customer_id,
+       array_to_string(list_resize(coalesce(list(n.item_index ORDER BY n.rn) FILTER (n.rn IS NOT NULL), []::INT[]), {N}, 0), ',') AS actions,
+       array_to_string(list_resize(coalesce(list(n.action_type ORDER BY n.rn) FILTER (n.rn IS NOT NULL), []::INT[]), {N}, 0), ',') AS action_types
+FROM ctx c LEFT JOIN numbered n ON n.as_of_date = c.as_of_date AND n.customer_id = c.customer_id
+GROUP BY c.as_of_date, c.customer_id"""
+
+_DEDUPED = f"""WITH {_EVENTS},{_ACTIONS},{_IMPRESSIONS},
+ctx AS (SELECT DISTINCT as_of_date, customer_id FROM impr),
+every AS (
+  SELECT c.as_of_date, c.customer_id, a.item_id % 3 AS item_id, a.action_type, a.occurred_at,
+         row_number() OVER (PARTITION BY c.as_of_date, c.customer_id
+                            ORDER BY a.occurred_at DESC, a.action_type DESC, a.item_id % 3 DESC NULLS LAST) AS rn
+  FROM ctx c JOIN acts a ON a.customer_id = c.customer_id
+   AND a.action_date < c.as_of_date AND a.action_date >= c.as_of_date - {L}
+),
+marked AS (
+  SELECT *, lag(rn) OVER w IS NOT NULL AND item_id IS NOT DISTINCT FROM lag(item_id) OVER w AND action_type = lag(action_type) OVER w AS repeats
+  FROM every WINDOW w AS (PARTITION BY as_of_date, customer_id ORDER BY rn)
+),
+heads AS (
+  SELECT *, row_number() OVER (PARTITION BY as_of_date, customer_id ORDER BY rn) AS nth FROM marked WHERE NOT repeats
+)
+SELECT c.as_of_date, c.customer_id,
+       array_to_string(list_resize(coalesce(list(h.item_id ORDER BY h.nth) FILTER (h.nth IS NOT NULL), []::INT[]), {N}, 0), ',') AS actions,
+       array_to_string(list_resize(coalesce(list(h.action_type ORDER BY h.nth) FILTER (h.nth IS NOT NULL), []::INT[]), {N}, 0), ',') AS action_types
+FROM ctx c LEFT JOIN heads h ON h.as_of_date = c.as_of_date AND h.customer_id = c.customer_id AND h.nth <= {N}
+GROUP BY c.as_of_date, c.customer_id"""
+
+# The file's order is that of its keys.
+_TIME_ORDER = """WITH judged AS (
+  SELECT o_custkey AS customer_id, o_orderdate AS t,
+         max(o_orderdate) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached,
+         lag(o_orderdate) OVER w AS before
+  FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)
+)
+SELECT customer_id, count(*) AS rows, count(*) FILTER (t IS NULL) AS untimed,
+       count(*) FILTER (t < reached) AS out_of_order, count(*) FILTER (t < before) AS steps_back,
+       CAST(coalesce(max(epoch_us(reached) - epoch_us(t)) FILTER (t < reached), 0) AS BIGINT) AS worst_micros
+FROM judged GROUP BY customer_id HAVING count(*) FILTER (t < reached) > 0 OR count(*) FILTER (t IS NULL) > 0"""
+
+_SIGNS = """,
+ordered AS (
+  SELECT customer_id, item_id, action_date AS day, count(*) AS orders FROM acts WHERE action_type = 3 GROUP BY 1, 2, 3
+),
+signs AS (
+  SELECT customer_id, item_id, action_date AS day, CASE action_type WHEN 1 THEN 'click' ELSE 'atc' END AS kind
+  FROM acts WHERE action_type IN (1, 2)
+  UNION ALL
+  SELECT customer_id, unnest(items), as_of_date, 'impression' FROM impr
+),
+lagged AS (
+  SELECT o.customer_id, o.item_id, o.day, any_value(o.orders) AS orders,
+         CAST(min(o.day - s.day) FILTER (s.kind = 'click') AS INTEGER) AS click_lag,
+         CAST(min(o.day - s.day) FILTER (s.kind = 'atc') AS INTEGER) AS atc_lag,
+         CAST(min(o.day - s.day) FILTER (s.kind = 'impression') AS INTEGER) AS impression_lag,
+         CAST(min(o.day - s.day) AS INTEGER) AS lag_days
+  FROM ordered o LEFT JOIN signs s ON s.customer_id = o.customer_id AND s.item_id = o.item_id AND s.day <= o.day
+  GROUP BY o.customer_id, o.item_id, o.day
+)"""
+
+
 ORACLE: dict[str, str] = {
     "clicks_norm": _action_rows("clicks"),
     "atc_norm": _action_rows("atc"),
@@ -248,6 +326,42 @@ ORACLE: dict[str, str] = {
     ),
     "histories": _run(_HISTORY_ROWS),
     "histories_orders": _orders_run(_HISTORY_ROWS),
+    "item_index": _impressions("").replace(_IMPRESSIONS, _ACTIONS + "," + _IMPRESSIONS).rstrip()
+    + _ITEM_INDEX
+    + " SELECT item_id, item_index, frequency FROM idx",
+    "histories_indexed": _run("").rstrip() + _ITEM_INDEX + _INDEXED,
+    "histories_deduped": _DEDUPED,
+    "time_order_report": _TIME_ORDER,
+    "signs_before_orders": _run("").rstrip()
+    + _SIGNS
+    + " SELECT customer_id, item_id, day, orders, click_lag, atc_lag, impression_lag, lag_days FROM lagged",
+    "orders_without_prior_action": _run("").rstrip()
+    + _SIGNS
+    + """ SELECT day, CAST(sum(orders) AS BIGINT) AS orders,
+       CAST(coalesce(sum(orders) FILTER (lag_days IS NULL), 0) AS BIGINT) AS without_prior,
+       CAST(coalesce(sum(orders) FILTER (click_lag IS NULL), 0) AS BIGINT) AS without_click,
+       CAST(coalesce(sum(orders) FILTER (atc_lag IS NULL), 0) AS BIGINT) AS without_atc,
+       CAST(coalesce(sum(orders) FILTER (impression_lag IS NULL), 0) AS BIGINT) AS without_impression,
+       CAST(coalesce(sum(orders) FILTER (lag_days = 0), 0) AS BIGINT) AS same_day, max(lag_days) AS longest_lag
+FROM lagged GROUP BY day""",
+    "sample_per_day": _impressions(
+        f"""SELECT as_of_date, ranking_id, customer_id, impression_item_id, is_order
+FROM (SELECT as_of_date, ranking_id, customer_id, unnest(items) AS impression_item_id, unnest(flags) AS is_order FROM impr)
+QUALIFY row_number() OVER (PARTITION BY as_of_date ORDER BY md5('{SEED}|' || CAST(as_of_date AS VARCHAR) || '|' || ranking_id
+  || '|' || CAST(customer_id AS VARCHAR) || '|' || CAST(impression_item_id AS VARCHAR)), ranking_id, customer_id, impression_item_id) <= 20"""
+    ),
+    "reject_times": """WITH raw AS (
+  SELECT event_id, event_id % 5 AS nth, strftime(ts, '%Y-%m-%d %H:%M:%S') AS t FROM events
+), text AS (
+  SELECT event_id, nth,
+         CASE nth WHEN 1 THEN '2024-13-45' WHEN 2 THEN NULL WHEN 3 THEN 'dt=' || t[1:10] ELSE t[1:10] END AS dt,
+         CASE nth WHEN 4 THEN t || ' or so' WHEN 2 THEN NULL ELSE t END AS click_time
+  FROM raw
+)
+SELECT event_id, dt, click_time,
+       CASE WHEN nth IN (1, 4) THEN dt END AS rejected_dt, CASE WHEN nth IN (1, 4) THEN click_time END AS rejected_time,
+       CASE nth WHEN 1 THEN 'dt' WHEN 4 THEN 'click_time' ELSE '' END AS bad_fields
+FROM text""",
     "topn_actions": _run(
         "SELECT as_of_date, customer_id, CAST(rn AS INTEGER) AS action_rank, item_id, action_type, "
         f"epoch_us(occurred_at) AS occurred_at FROM seen WHERE rn <= {N}"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,6 +57,21 @@ def new_run_dir(spark: SparkSession, otherwise: str | None) -> str:
     return f"{base.rstrip('/')}/run-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder and read from there, until the driver ends.
+
+    What has been computed once is neither computed again differently nor lost with an executor. Only a local session may do
+    without ``spark.checkpoint.dir``.
+    """
+    spark = df.sparkSession
+    local = spark.sparkContext.master.split("[")[0] == "local"
+    path = new_run_dir(spark, otherwise=tempfile.gettempdir() if local else None)
+    files, at = _file_system(spark, path)
+    files.deleteOnExit(at)
+    write_parquet(df, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _file_system(spark: SparkSession, path: str):
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm_path
