@@ -391,28 +391,74 @@ def test_toxicity_held_out(spark):
     assert clean.columns == frame(spark).columns and 310 <= clean.count() <= 325
 
 
-def test_nearest_are_exact(spark):
-    data, labels = toxic_data()
-    index = toxicity.learn(frame(spark, data), labels_of(spark, labels))
+def dense_vectors(index):
     dense = np.zeros((len(index.ids), len(index.idf)))
-    for i, (at, weights) in enumerate(index.vectors):
+    for i, at, weights in index.example_vectors():
         dense[i, at] = weights
-    for _, text, *_ in data:
-        terms = index.vocabulary.of(text)
-        assert terms == sorted(index.vocabulary.terms[t] for t in set(toxicity.terms_of(text)) & index.vocabulary.terms.keys())
-        if terms:
-            at, weights = index.vector(terms)
-            cosines = dense[:, at] @ weights
-            best = np.sort(cosines[cosines > 0])[::-1][: toxicity.K]
-            assert np.allclose([c for c, _ in index.nearest(at, weights)], best)
+    return dense
+
+
+def check_nearest(index, texts):
+    dense = dense_vectors(index)
+    for text in texts:
+        at, weights = index.vector(text)
+        if len(at):
+            assert np.linalg.norm(weights) == pytest.approx(1)
+            cosines = np.round(dense[:, at] @ weights, 9)
+            best = [e for e in np.lexsort((index.ids, -cosines)) if cosines[e] > 0][: toxicity.K]
+            found = index.nearest(at, weights)
+            assert np.allclose([c for c, _ in found], cosines[best]) and [e for _, e in found] == best
+        else:
+            assert index.nearest(at, weights) == []
+
+
+@pytest.mark.parametrize("share", [0.05, 0.25, 2.0])
+def test_nearest_are_exact(spark, monkeypatch, share):
+    """Against all cosines, with many, some and no common terms."""
+    monkeypatch.setattr(toxicity, "COMMON_SHARE", share)
+    data, labels = toxic_data()
+    index = toxicity.learn(frame(spark, data), labels_of(spark, labels))
+    check_nearest(index, [text for _, text, *_ in data] + [r[1] for r in rows()])
+
+
+def test_few_blocks_are_opened():
+    """On the driver's documents: exact neighbours from less than a third of the blocks."""
+    import pyarrow.parquet as pq
+
+    sf = "/root/testdata/sf0.1"
+    documents = pq.read_table(f"{sf}/documents.parquet").to_pandas()
+    known = documents.merge(pq.read_table(f"{sf}/labels.parquet").to_pandas(), on="doc_id")
+    known = known[known["toxic"].notna()].drop_duplicates("text").iloc[:1500]
+    terms = [toxicity.terms_of(t) for t in known["text"]]
+    first = np.concatenate([[0], np.cumsum([len(h) for h, _ in terms])])
+    index = toxicity.Index(
+        known["doc_id"].to_numpy(), known["toxic"].to_numpy().astype(int), first, *(np.concatenate(x) for x in zip(*terms, strict=True))
+    )
+    texts = documents["text"].iloc[5000:5200].tolist()
+    check_nearest(index, texts[:40])
+    index.opened = index.searched = 0
+    for text in texts:
+        index.score(text)
+    assert index.opened < index.searched * index.blocks / 3
 
 
 def test_every_example_is_in_the_index(spark):
+    import pickle
+
     data, labels = toxic_data()
     index = toxicity.learn(frame(spark, data), labels_of(spark, labels))
     assert set(index.ids.tolist()) == {d for d, *_ in labels}
-    assert index.vocabulary.terms.keys() == {t for _, text, *_ in data for t in toxicity.terms_of(text)}
+    assert set(index.hashes.tolist()) == {h for _, text, *_ in data for h in toxicity.terms_of(text)[0].tolist()}
     assert all(index.score(text)[2][0] == 1 for _, text, *_ in data)
+    again = pickle.loads(pickle.dumps(index))
+    assert [again.score(text) for _, text, *_ in data[:50]] == [index.score(text) for _, text, *_ in data[:50]]
+
+
+def test_examples_are_bounded_by_their_terms(spark, monkeypatch):
+    data, labels = toxic_data()
+    monkeypatch.setattr(toxicity, "POSTINGS", 300)
+    index = toxicity.learn(frame(spark, data), labels_of(spark, labels))
+    assert 30 < len(index.ids) < 250 and len(index.given[3]) <= 300
 
 
 @pytest.mark.parametrize("labels", [[], [(0, 1, 0), (3, 1, 0)], [(None, 1, 1), (3, 1, None)], [(0, 0, 1), (0, 0, 0), (3, 1, 0), (27, 1, 1)]])

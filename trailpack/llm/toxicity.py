@@ -1,21 +1,22 @@
 """Toxicity by the nearest labelled examples, found with a block-max inverted index.
 
-1. At most ``EXAMPLES`` labelled documents (the first by a hash of their id) are the examples; that bound makes everything below fit
-   in a task. A term is a word, or the beginning of a longer one (``STEMS`` letters), together with a level: a count of 5 gives
-   the levels 1, 2 and 4. All terms of the examples are the vocabulary.
-2. Document frequencies of these terms are counted over all documents. A document is a TF-IDF vector over the vocabulary, at length
-   1: each of its levels of a term weighs idf = ln(1 + documents / frequency), so that a vector grows with the logarithm
-   of a count. The ``TERMS`` terms that tell the classes apart best weigh ``TELLING`` times that.
-3. The examples' vectors are inverted: a term's postings lie in blocks of ``BLOCK`` examples, each with its largest weight. A document
-   bounds each block by the sum of its weights times the block's largest ones, opens the best blocks, and then all those whose bound
-   exceeds the K-th best cosine found: the K nearest examples by exact cosine.
+1. At most ``EXAMPLES`` labelled documents (the first by a hash of their id) with ``POSTINGS`` distinct terms in all are the examples: all
+   that is learned comes from them, so those two numbers bound the index, in the driver and in the tasks. A term is a word, or
+   the first ``STEM`` letters of a longer one, as a 64-bit hash.
+2. An example is a TF-IDF vector at length 1: each term weighs idf = ln(1 + examples / frequency). The ``TELLING_TERMS`` terms that tell
+   the classes apart best weigh ``TELLING`` times that, and their counts matter: each of ``LEVELS`` that a count reaches is a term of its own.
+3. The examples' vectors are inverted. Postings of rare and of telling terms are walked through and give every example the
+   exact first part of its cosine. For the rest, the common terms, each block of ``BLOCK`` examples has the largest weight of each term:
+   that bounds the second part. Blocks are opened in the order of their bounds, a few at a time, and the K-th best cosine
+   found so far closes all blocks that cannot reach it. What comes out are the K nearest examples by exact cosine.
 4. The vote is the cosine-weighted share of toxic examples among the K. Votes of the examples themselves (each
    left out of its own neighbours) calibrate it by a logistic fit; an example with no neighbour counts for the score of documents without any.
 
-Only words enter a score. Defined results: a null or empty text, or one without a term of the vocabulary, has no
-neighbours and takes the share of toxic examples among those without neighbours. Rows that repeat a doc_id are scored each; labels
-that repeat it count as toxic if any of them is. Null labels are not used. Without labels of both classes the score is
-the share of toxic labels, 0 without labels. A null doc_id is not held out.
+Only words enter a score. Whole texts are read, however long. Defined results: a null or empty text, or one without a term of the index,
+has no neighbours and takes the share of toxic examples among those without neighbours. Rows that repeat a doc_id are scored each; as
+an example it counts once, with the least of its texts. Copies of a text are one example, toxic if any is. Labels that
+repeat a doc_id count as toxic if any of them is. Null labels are not used. Without labels of both classes the score is
+the share of toxic labels, 0 without labels. A null doc_id is not held out. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,18 +27,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Bound on the labelled rows that are learned from; telling terms; neighbours that vote; examples in a block.
-EXAMPLES, TERMS, K, BLOCK = 5000, 512, 15, 64
+#: Bounds on what is learned from: labelled rows, and distinct terms summed over them.
+EXAMPLES, POSTINGS = 5000, 4_000_000
+#: Telling terms, neighbours that vote, examples in a block.
+TELLING_TERMS, K, BLOCK = 512, 15, 32
 #: Weight of a term that tells the classes apart against that of another one.
 TELLING = 8.0
-STEMS, LEVELS = (5, 7), (1, 2, 4, 8)
-#: Words whose stems a task remembers.
-CACHED_WORDS = 300_000
+STEM, LEVELS = 7, (2, 3, 4, 6, 8)
+#: A term is common if so large a part of the examples have it; at most so many terms are.
+COMMON_SHARE, COMMON_TERMS = 0.25, 1024
+#: Blocks that are opened first; each further time twice as many.
+OPENED_FIRST = 2
+#: Words whose terms a task remembers.
+CACHED_WORDS = 200_000
 #: What a telling term needs: labelled documents that hold it, their share of one class, how many times the
 #: share of the other class that is, and the chi-square of both.
 LEAST_DOCUMENTS, LEAST_SHARE, LEAST_LIFT, LEAST_CHI = 3, 0.02, 8.0, 30.0
@@ -49,196 +58,233 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def words(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+def word_counts(text: str | None) -> Counter[str]:
+    return Counter(WORD.findall((text or "").lower()))
 
 
-def stems(word: str) -> list[str]:
-    return [word] + [word[:k] + "~" for k in STEMS if len(word) > k]
+def hashes_of(word: str) -> list[int]:
+    """The word's terms: itself, and its beginning if it is longer."""
+    import xxhash
 
+    terms = [word, word[:STEM] + "~"] if len(word) > STEM else [word]
+    return [xxhash.xxh64_intdigest(t.encode()) for t in terms]
 
-def terms_of(text: str | None) -> list[str]:
-    """The terms of a text, each once."""
-    counts: Counter[str] = Counter()
-    for word, n in Counter(words(text)).items():
-        for stem in stems(word):
-            counts[stem] += n
-    return [f"{stem} {level}" for stem, n in counts.items() for level in LEVELS if n >= level]
 
-
-class Vocabulary:
-    """Numbers of the terms, found without making those that are not in it."""
-
-    def __init__(self, terms: list[str]):
-        self.terms = {t: i for i, t in enumerate(terms)}
-        #: (level, number) of a stem's terms.
-        self.stems: dict[str, list[tuple[int, int]]] = {}
-        for i, t in enumerate(terms):
-            stem, _, level = t.rpartition(" ")
-            self.stems.setdefault(stem, []).append((int(level), i))
-        self.known: dict[str, list[str]] = {}
-
-    def __reduce__(self):
-        return Vocabulary, (list(self.terms),)
-
-    def of(self, text: str | None) -> list[int]:
-        counts: dict[str, int] = {}
-        known = self.known
-        for word, n in Counter(words(text)).items():
-            own = known.get(word)
-            if own is None:
-                own = [x for x in stems(word) if x in self.stems]
-                if len(known) < CACHED_WORDS:
-                    known[word] = own
-            for stem in own:
-                counts[stem] = counts.get(stem, 0) + n
-        return sorted([i for stem, n in counts.items() for level, i in self.stems[stem] if n >= level])
+def terms_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, count) of each term of a text, by hash."""
+    pairs = [(h, n) for word, n in word_counts(text).items() for h in hashes_of(word)]
+    if not pairs:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    hashes, place = np.unique(np.array([h for h, _ in pairs], np.uint64), return_inverse=True)
+    return hashes, np.bincount(place, [n for _, n in pairs]).astype(np.int64)
 
 
 def labelled_examples(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """id, toxic, terms of at most EXAMPLES labelled documents."""
+    """id, toxic, draw, hashes, counts of at most EXAMPLES labelled documents."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("id"))
     chosen = known.agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(EXAMPLES)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "toxic": batch["toxic"].astype("int32"), "terms": [terms_of(t) for t in batch["text"]]})
+            found = [terms_of(t) for t in batch["text"]]
+            made = batch[["id", "toxic", "draw"]].assign(hashes=[h.view(np.int64) for h, _ in found], counts=[c for _, c in found])
+            yield made
 
-    # At most EXAMPLES rows of two numbers are sent to all tasks. Copies of a text are one example.
+    # At most EXAMPLES rows of two numbers are sent to all tasks.
     texts = documents.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(chosen), "id")
-    texts = texts.groupBy("text").agg(F.min("id").alias("id"), F.max("toxic").alias("toxic"))
-    return texts.mapInPandas(run, "id long, toxic int, terms array<string>")
-
-
-def telling_terms(examples: DataFrame) -> tuple[list[str] | None, float]:
-    """None without examples of both classes, else the terms that tell the classes apart best, and the share of toxic examples."""
-    totals = examples.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("toxic")).first()
-    n, toxic = totals["n"], totals["toxic"] or 0
-    if not toxic or toxic == n:
-        return None, toxic / max(n, 1)
-    per_term = examples.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("all"), F.sum("toxic").alias("bad"))
-    # Chi-square of the term's presence against the label.
-    bad, good = F.col("bad"), F.col("all") - F.col("bad")
-    rest_bad, rest_good = toxic - bad, n - toxic - good
-    odds = (bad * rest_good - good * rest_bad).cast("double")
-    chi = n * odds * odds / (F.col("all").cast("double") * (n - F.col("all") + 1e-9) * toxic * (n - toxic))
-    bads, goods = bad / toxic, good / (n - toxic)
-    common = (F.greatest(bads, goods) >= LEAST_SHARE) & (F.greatest(bads, goods) >= LEAST_LIFT * F.least(bads, goods))
-    best = per_term.where((F.col("all") >= LEAST_DOCUMENTS) & common).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI)
-    return sorted(r["term"] for r in best.orderBy(F.desc("chi"), "term").limit(TERMS).collect()), toxic / n
-
-
-def document_frequencies(documents: DataFrame, terms: list[str]) -> tuple[np.ndarray, int]:
-    """In how many of all documents each term is, and how many documents there are."""
+    texts = texts.groupBy("id").agg(F.max("toxic").cast("int").alias("toxic"), F.min("text").alias("text"))
+    texts = texts.groupBy("text").agg(F.min("id").alias("id"), F.max("toxic").alias("toxic")).withColumn("draw", F.xxhash64("id"))
+    return texts.mapInPandas(run, "id long, toxic int, draw long, hashes array<long>, counts array<long>")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, found, n = Vocabulary(terms), np.zeros(len(terms), np.int64), 0
-        for batch in batches:
-            for text in batch["text"]:
-                found[known.of(text)] += 1
-                n += 1
-        at = np.append(np.flatnonzero(found), len(terms))
-        yield pd.DataFrame({"term": at, "n": np.append(found, n)[at]})
 
-    # A task gives at most one row for each term of the examples.
-    rows = documents.select("text").mapInPandas(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    found = {r["term"]: r["n"] for r in rows}
-    return np.array([found.get(i, 0) for i in range(len(terms))], float), found.get(len(terms), 0)
+def ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges of n from first on."""
+    return np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
 
 
 class Index:
-    """Block-max inverted index of the examples, with the calibration of its votes."""
-
-    def __init__(self, terms: list[str], idf: np.ndarray):
-        self.vocabulary, self.idf = Vocabulary(terms), idf
-        self.slope, self.shift = 1.0, 0.0
-        self.cache: dict = {}
-
-    def vector(self, terms: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """(terms, weights) at length 1."""
-        at = np.array(terms, np.int64)
-        return at, self.idf[at] / max(np.linalg.norm(self.idf[at]), 1e-12)
-
-    def fill(self, examples: list[tuple[int, int, tuple[np.ndarray, np.ndarray]]]) -> None:
-        """``examples``: (id, toxic, vector)."""
-        # Like examples side by side, so that a block's largest weights bound it well.
-        order = sorted(examples, key=lambda e: (e[2][0][np.argmax(e[2][1])], tuple(e[2][0][:4]), e[0]))
-        self.vectors = [v for _, _, v in order]
-        self.ids, self.toxic = np.array([i for i, _, _ in order], np.int64), np.array([t for _, t, _ in order], float)
-        blocks = -(-len(order) // BLOCK)
-        example = np.repeat(np.arange(len(order)), [len(at) for at, _ in self.vectors])
-        term = np.concatenate([at for at, _ in self.vectors] or [np.zeros(0, np.int64)])
-        weight = np.concatenate([w for _, w in self.vectors] or [np.zeros(0)])
-        by_term = np.lexsort((example, term))
-        self.example, weight, term = example[by_term].astype(np.int32), weight[by_term], term[by_term]
-        # A posting's weight is idf / norm; the norm is divided by once for each example.
-        self.norm = np.maximum([np.linalg.norm(self.idf[at]) for at, _ in self.vectors], 1e-12)
-        blocks = max(blocks, 1)
-        # The postings of (term, block) cell i are self.start[i] to self.start[i + 1]; those cells of a term with any lie side by side.
-        cells, start = np.unique(term * blocks + self.example // BLOCK, return_index=True)
-        self.start = np.append(start, len(term)).astype(np.int32)
-        self.most = np.maximum.reduceat(weight, start) if len(start) else np.zeros(0)
-        self.block = (cells % blocks).astype(np.int16)
-        self.first_cell = np.searchsorted(cells, np.arange(len(self.idf) + 1) * blocks).astype(np.int32)
-        self.blocks = -(-len(order) // BLOCK)
+    """Block-max inverted index of the examples, with the calibration of its votes.
+
+    Made from the examples' ids, labels and terms alone; what searching needs is derived from them where it is used.
+    """
+
+    def __init__(self, ids: np.ndarray, toxic: np.ndarray, first: np.ndarray, hashes: np.ndarray, counts: np.ndarray):
+        """Example i has the terms ``hashes[first[i]:first[i + 1]]`` with their ``counts``."""
+        self.given = ids, toxic, first, hashes, counts
+        self.slope, self.shift, self.none = 1.0, 0.0, 0.0
+        self.opened = self.searched = 0
+        self._derive()
+
+    def __reduce__(self):
+        return _restored, (self.given, self.slope, self.shift, self.none)
+
+    def _derive(self) -> None:
+        ids, toxic, first, hashes, counts = self.given
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.hashes, term = np.unique(hashes, return_inverse=True)
+        n, example = len(ids), np.repeat(np.arange(len(ids)), np.diff(first))
+        telling = self._telling(term, example, toxic, n)
+        # Levels of the telling terms are further terms behind the others.
+        self.level = {t: [len(self.hashes) + i * len(LEVELS) + j for j in range(len(LEVELS))] for i, t in enumerate(telling.tolist())}
+        extra = [(example[at], np.array([self.level[t][j] for t in term[at].tolist()], np.int64))
+                 for j, least in enumerate(LEVELS) for at in [np.flatnonzero(np.isin(term, telling) & (counts >= least))]]
+        terms = len(self.hashes) + len(telling) * len(LEVELS)
+        example = np.concatenate([example, *[e for e, _ in extra]])
+        term = np.concatenate([term, *[t for _, t in extra]]).astype(np.int64)
+        frequency = np.bincount(term, minlength=terms)
+        self.idf = np.log1p(n / np.maximum(frequency, 1))
+        special = np.zeros(terms, bool)
+        special[telling] = special[len(self.hashes) :] = True
+        self.idf[special] *= TELLING
+        # The common terms, by frequency; a term's column among them, or -1.
+        wide = np.flatnonzero((frequency >= max(COMMON_SHARE * n, 2)) & ~special)
+        wide = wide[np.argsort(-frequency[wide], kind="stable")][:COMMON_TERMS]
+        self.column = np.full(terms, -1)
+        self.column[wide] = np.arange(len(wide))
+
+        weight = self.idf[term]
+        norm = np.sqrt(np.bincount(example, weight * weight, minlength=n))
+        weight = weight / np.maximum(norm, 1e-12)[example]
+        # Like examples side by side, so that a block's largest weights bound it well: by their heaviest common terms.
+        dense = np.zeros((n, len(wide)))
+        is_wide = self.column[term] >= 0
+        dense[example[is_wide], self.column[term[is_wide]]] = weight[is_wide]
+        order = self._alike(dense, ids)
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        self.ids, self.toxic = ids[order], toxic[order].astype(float)
+        self.blocks = -(-n // BLOCK)
+        padded = np.zeros((self.blocks * BLOCK, len(wide)))
+        padded[:n] = dense[order]
+        self.rows = padded.reshape(self.blocks, BLOCK, len(wide))
+        self.most = self.rows.max(axis=1) if n else np.zeros((0, len(wide)))
+        example, term, weight = place[example[~is_wide]], term[~is_wide], weight[~is_wide]
+        by_term = np.argsort(term, kind="stable")
+        self.example, self.weight = example[by_term].astype(np.int32), weight[by_term]
+        self.start = np.searchsorted(term[by_term], np.arange(terms + 1))
+
+    @staticmethod
+    def _alike(dense: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """An order in which each example is followed by like ones: split again and again along the direction of largest spread."""
+        parts, out = [np.argsort(ids, kind="stable")], []
+        while parts:
+            own = parts.pop()
+            if len(own) <= BLOCK or not dense.shape[1]:
+                out.append(own)
+                continue
+            c = dense[own] - dense[own].mean(axis=0)
+            axis = c[int(np.argmax(np.sum(c * c, axis=1)))]
+            for _ in range(5):  # power steps towards the largest spread
+                axis = c.T @ (c @ axis)
+                axis /= max(np.linalg.norm(axis), 1e-300)
+            own = own[np.argsort(c @ axis, kind="stable")]
+            half = -(-len(own) // (2 * BLOCK)) * BLOCK
+            parts += [own[half:], own[:half]]
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
 
     @staticmethod
-    def ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """The numbers of all ranges of n from first on."""
-        return np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-
-    def cosines(self, cells: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-        """Exact cosines of all examples in ``blocks``, as one row per block; from a document's cells and its weights times idf."""
-        slot = np.full(self.blocks, -1)
-        slot[blocks] = np.arange(len(blocks))
-        inside = slot[self.block[cells]] >= 0
-        cells, weights = cells[inside], weights[inside]
-        n = self.start[cells + 1] - self.start[cells]
-        postings = self.ranges(self.start[cells], n)
-        at = np.repeat(slot[self.block[cells]] * BLOCK, n) + self.example[postings] % BLOCK
-        found = np.bincount(at, np.repeat(weights, n), minlength=len(blocks) * BLOCK).reshape(-1, BLOCK)
-        example = blocks[:, None] * BLOCK + np.arange(BLOCK)
-        return found / self.norm[np.minimum(example, len(self.norm) - 1)]
+    def _telling(term: np.ndarray, example: np.ndarray, toxic: np.ndarray, n: int) -> np.ndarray:
+        """The terms that tell the classes apart best, by the chi-square of their presence against the label."""
+        bads = float(toxic.sum())
+        goods = n - bads
+        if not bads or not goods:
+            return np.zeros(0, np.int64)
+        every = np.bincount(term).astype(float)
+        bad = np.bincount(term, toxic[example].astype(float), minlength=len(every))
+        good = every - bad
+        chi = n * (bad * (goods - good) - good * (bads - bad)) ** 2 / (every * (n - every + 1e-9) * bads * goods)
+        a, b = bad / bads, good / goods
+        fit = (every >= LEAST_DOCUMENTS) & (chi >= LEAST_CHI) & (np.maximum(a, b) >= LEAST_SHARE) & (np.maximum(a, b) >= LEAST_LIFT * np.minimum(a, b))
+        found = np.flatnonzero(fit)
+        return np.sort(found[np.argsort(-chi[found], kind="stable")][:TELLING_TERMS])
+
+    def _numbers(self, word: str) -> tuple[int, ...]:
+        """The numbers of a word's terms that are in the index."""
+        found = self.known.get(word)
+        if found is None:
+            own = np.array(hashes_of(word), np.uint64)
+            at = np.minimum(np.searchsorted(self.hashes, own), max(len(self.hashes) - 1, 0))
+            found = tuple(at[self.hashes[at] == own].tolist()) if len(self.hashes) else ()
+            if len(self.known) < CACHED_WORDS:
+                self.known[word] = found
+        return found
+
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """(terms, weights) of a text at length 1, over the terms of the index."""
+        counts: dict[int, int] = {}
+        for word, n in word_counts(text).items():
+            for t in self._numbers(word):
+                counts[t] = counts.get(t, 0) + n
+        levels = [level for t in counts.keys() & self.level.keys() for level, least in zip(self.level[t], LEVELS, strict=True) if counts[t] >= least]
+        at = np.array([*counts, *levels], np.int64)
+        if not len(at):
+            return at, np.zeros(0)
+        weights = self.idf[at]
+        return at, weights / np.linalg.norm(weights)
 
     def nearest(self, at: np.ndarray, weights: np.ndarray, k: int = K) -> list[tuple[float, int]]:
         """(cosine, example) of the k nearest with a cosine above 0; ties to the smaller id."""
         if not len(at) or not self.blocks:
             return []
-        n = self.first_cell[at + 1] - self.first_cell[at]
-        cells = self.ranges(self.first_cell[at], n)
-        bound = np.bincount(self.block[cells], np.repeat(weights, n) * self.most[cells], minlength=self.blocks)
-        weights = np.repeat(weights * self.idf[at], n)
+        column = self.column[at]
+        rare = column < 0
+        first = self.start[at[rare]]
+        n = self.start[at[rare] + 1] - first
+        postings = ranges(first, n)
+        part = np.bincount(self.example[postings], np.repeat(weights[rare], n) * self.weight[postings], minlength=self.blocks * BLOCK)
+        part = part.reshape(self.blocks, BLOCK)
+        common = np.zeros(self.most.shape[1])
+        common[column[~rare]] = weights[~rare]
+        bound = part.max(axis=1) + self.most @ common
         order = np.argsort(-bound, kind="stable")
-        opened = order[: max(1, -(-2 * k // BLOCK))]
-        found = [self._positive(self.cosines(cells, weights, opened), opened)]
-        least = np.sort(found[0][0])[-k] if len(found[0][0]) >= k else 0.0
-        rest = order[len(opened) :]
-        rest = rest[bound[rest] >= least - 1e-9]
-        rest = rest[bound[rest] > 0]
-        if len(rest):
-            found.append(self._positive(self.cosines(cells, weights, rest), rest))
-        cosine, example = (np.concatenate(x) for x in zip(*found, strict=True))
-        best = np.lexsort((self.ids[example], -np.round(cosine, 9)))[:k]
-        return [(float(cosine[i]), int(example[i])) for i in best]
-
-    @staticmethod
-    def _positive(cosines: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        row, column = np.nonzero(cosines > 0)
-        return cosines[row, column], blocks[row] * BLOCK + column
+        self.searched += 1
+        found, numbers, at_block, step = np.zeros(0), np.zeros(0, np.int64), 0, OPENED_FIRST
+        while at_block < len(order):
+            least = np.partition(found, -k)[-k] if len(found) >= k else 0.0
+            opened = order[at_block : at_block + step]
+            # A hair of room, so that equal cosines that are summed in another order are seen.
+            opened = opened[(bound[opened] >= least - 1e-9) & (bound[opened] > 0)]
+            if not len(opened):
+                break
+            cosine = (part[opened] + self.rows[opened] @ common).ravel()
+            number = (opened[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            good = (cosine > 0) & (cosine >= least - 1e-9) & (number < len(self.ids))
+            found, numbers = np.concatenate([found, cosine[good]]), np.concatenate([numbers, number[good]])
+            self.opened += len(opened)
+            at_block += step
+            step *= 2
+        best = np.lexsort((self.ids[numbers], -np.round(found, 9)))[:k]
+        return [(float(found[i]), int(numbers[i])) for i in best]
 
     @staticmethod
     def vote(toxic: np.ndarray, near: list[tuple[float, int]]) -> float:
         cosine = np.array([c for c, _ in near])
         return float(cosine @ toxic[[i for _, i in near]] / cosine.sum())
 
+    def example_vectors(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(example, terms, weights) of the examples, as a text with their terms would have them."""
+        ids, _, first, hashes, counts = self.given
+        place = {int(i): at for at, i in enumerate(self.ids.tolist())}
+        for i, example in enumerate(ids.tolist()):
+            own = np.searchsorted(self.hashes, hashes[first[i] : first[i + 1]])
+            n = counts[first[i] : first[i + 1]]
+            levels = [level for t, c in zip(own.tolist(), n.tolist(), strict=True) if t in self.level for level, least in zip(self.level[t], LEVELS, strict=True) if c >= least]
+            at = np.concatenate([own, np.array(levels, np.int64)]).astype(np.int64)
+            weights = self.idf[at]
+            yield place[example], at, weights / max(np.linalg.norm(weights), 1e-12)
+
     def calibrate(self) -> None:
         """A logistic fit from the examples' own votes to their labels."""
-        votes, labels = [], []
-        for i, (at, weights) in enumerate(self.vectors):
+        votes, labels, lone = [], [], []
+        for i, at, weights in self.example_vectors():
             near = [(c, e) for c, e in self.nearest(at, weights, K + 1) if e != i][:K]
             if near:
                 votes.append(self.vote(self.toxic, near))
                 labels.append(self.toxic[i])
+            else:
+                lone.append(self.toxic[i])
+        base = float(self.toxic.mean()) if len(self.toxic) else 0.0
+        self.none = (sum(lone) + base) / (len(lone) + 1)
         x, y = np.array(votes) - 0.5, np.array(labels, float)
         a, b = 4.0, 0.0
         for _ in range(50 if len(set(labels)) == 2 else 0):
@@ -253,45 +299,48 @@ class Index:
 
     def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
         """The calibrated vote, and the neighbours' ids and cosines."""
-        key = tuple(self.vocabulary.of(text))
-        if key not in self.cache:
-            if len(self.cache) > 2000:
-                self.cache.clear()
-            near = self.nearest(*self.vector(list(key))) if key else []
-            p = 1 / (1 + np.exp(-(self.slope * (self.vote(self.toxic, near) - 0.5) + self.shift))) if near else self.none
-            self.cache[key] = float(p), [int(self.ids[i]) for _, i in near], [round(c, 6) for c, _ in near]
-        return self.cache[key]
+        near = self.nearest(*self.vector(text))
+        p = 1 / (1 + np.exp(-(self.slope * (self.vote(self.toxic, near) - 0.5) + self.shift))) if near else self.none
+        return float(p), [int(self.ids[i]) for _, i in near], [round(c, 6) for c, _ in near]
+
+
+def _restored(given, slope, shift, none) -> Index:
+    index = Index(*given)
+    index.slope, index.shift, index.none = slope, shift, none
+    return index
 
 
 def learn(documents: DataFrame, labels: DataFrame) -> Index:
     examples = stored(labelled_examples(documents, labels))
-    telling, base = telling_terms(examples)
-    numbers: dict[str, int] = {}
-    # At most EXAMPLES rows, one at a time. A doc_id that rows repeat gives one example.
-    rows: dict[int, tuple[int, list[int]]] = {}
-    if telling is not None:
-        for r in examples.orderBy("id", "toxic", F.to_json("terms")).toLocalIterator():
-            rows[r["id"]] = r["toxic"], sorted(numbers.setdefault(t, len(numbers)) for t in r["terms"])
-    terms = list(numbers)
-    found, n = document_frequencies(documents, terms)
-    idf = np.log1p(n / np.maximum(found, 1))
-    idf[[numbers[t] for t in telling or []]] *= TELLING
-    index = Index(terms, idf)
-    index.none = base
-    with_terms = [(i, toxic, index.vector(own)) for i, (toxic, own) in sorted(rows.items()) if own]
-    lone = [toxic for toxic, own in rows.values() if not own]
-    index.fill(with_terms)
-    if terms:
-        index.calibrate()
-        index.none = (sum(lone) + base) / (len(lone) + 1)
+    # At most EXAMPLES rows of four numbers, and then no more than POSTINGS terms of the first of them.
+    sizes = sorted((r["draw"], r["id"], r["n"], r["toxic"]) for r in examples.select("draw", "id", F.size("hashes").alias("n"), "toxic").collect())
+    total = np.cumsum([n for _, _, n, _ in sizes])
+    fitting = sizes[: int(np.searchsorted(total, POSTINGS, side="right"))]
+    share = sum(t for *_, t in fitting) / max(len(fitting), 1)
+    empty = np.zeros(0, np.int64)
+    index = Index(empty, empty, np.zeros(1, np.int64), np.zeros(0, np.uint64), empty)
+    index.none = share
+    if not 0 < share < 1:
+        return index
+    draw, last = fitting[-1][:2]
+    within = (F.col("draw") < draw) | ((F.col("draw") == draw) & (F.col("id") <= last))
+    held = examples.where(within).select("id", "toxic", "hashes", "counts").orderBy("id").toArrow().combine_chunks()
+
+    def flat(name: str) -> np.ndarray:
+        chunks = held.column(name).chunks
+        return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in chunks]) if chunks else empty
+
+    lengths = pa.compute.list_value_length(held.column("hashes")).to_numpy()
+    first = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    ids, toxic = (held.column(c).to_numpy().astype(np.int64) for c in ("id", "toxic"))
+    index = Index(ids, toxic, first, flat("hashes").astype(np.int64).view(np.uint64), flat("counts"))
+    index.calibrate()
     return index
 
 
 def scorer(documents: DataFrame, labels: DataFrame):
     """A column function of the text: struct of score, near_ids and near_cosines (the evidence), by all ``labels`` given."""
-    index = learn(documents, labels)
-    index.vectors = []  # for the calibration only
-    shared = documents.sparkSession.sparkContext.broadcast(index)  # bounded by EXAMPLES and their terms
+    shared = documents.sparkSession.sparkContext.broadcast(learn(documents, labels))  # bounded by EXAMPLES and POSTINGS
 
     @F.pandas_udf("score double, near_ids array<bigint>, near_cosines array<double>")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
