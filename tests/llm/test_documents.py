@@ -336,9 +336,71 @@ def test_passages_with_one_changed_word_are_found(spark, middle):
         assert r.n_words == (51 if len(sides) == 2 else sides[0])
 
 
-def test_near_equal_paragraphs_are_linked(spark):
-    sets = [set(range(100)), set(range(5, 100)), set(range(11, 100)), set(range(50))]
-    assert set(substring_dedup.jaccard_forest([7, 8, 9, 10], sets)) == {(7, 8), (7, 9)}
+def left_and_linked(data, found):
+    """Which word occurrences are left, and the classes of occurrences that equal windows link."""
+    texts = {d: t.split(" ") for d, t in data}
+    gone = {d: [False] * len(w) for d, w in texts.items()}
+    for r in found:
+        if r.removed:
+            first = dict(data)[r.doc_id][: r.start].count(" ")
+            for k in range(first, first + r.n_words):
+                gone[r.doc_id][k] = True
+    parent: dict = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    n, first_of = substring_dedup.LEAST_WORDS, {}
+    for d, w in texts.items():
+        for p in range(len(w) - n + 1):
+            e, q = first_of.setdefault(tuple(w[p : p + n]), (d, p))
+            for k in range(n):
+                parent[root((d, p + k))] = root((e, q + k))
+    classes = defaultdict(list)
+    for d, w in texts.items():
+        for k in range(len(w)):
+            if (d, k) in parent:
+                classes[root((d, k))].append(not gone[d][k])
+    # A word that a near copy has for another one has no like.
+    return gone, {root: left for root, left in classes.items() if len(left) > 1}
+
+
+def test_a_passage_between_two_removed_ones_is_not_lost(spark):
+    word = lambda tag, n: [f"{tag}{i}" for i in range(n)]
+    r1, r2, g = word("a", 100), word("b", 100), word("g", 24)
+    data = [(0, " ".join(r1 + r2)), (1, " ".join(r1 + g + r2)), (2, " ".join(word("x", 30) + g + word("y", 30)))]
+    found = substring_dedup.repeated_passages(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    gone, classes = left_and_linked(data, found)
+    assert all(any(left) for left in classes.values())
+    assert sum(gone[1]) == 200 and sum(gone[2]) == 24 and not any(gone[0])
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_no_word_of_a_repeated_passage_is_lost(spark, seed):
+    """Passages pasted whole, nested in one another, with changed, left out and inserted words."""
+    import random
+
+    rng = random.Random(seed)
+    fresh = iter(range(10**6))
+    word = lambda n: [f"u{next(fresh)}" for _ in range(n)]
+    pool = [word(rng.choice([20, 24, 40, 60, 120])) for _ in range(8)]
+    pool += [pool[0] + pool[1], pool[2][:15] + pool[3] + pool[2][15:], pool[4] + word(5) + pool[5]]
+    data = []
+    for d in range(40):
+        own = word(rng.randrange(0, 30))
+        for _ in range(rng.randrange(1, 5)):
+            passage = list(rng.choice(pool))
+            for _ in range(rng.choice([0, 0, 1, 2, 4])):
+                at = rng.randrange(len(passage))
+                passage[at : at + rng.choice([0, 1])] = word(rng.choice([0, 1]))
+            own += passage + word(rng.choice([0, 0, 3, 25]))
+        data.append((d, " ".join(own)))
+    found = substring_dedup.repeated_passages(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()
+    _, classes = left_and_linked(data, found)
+    assert len(classes) > 200 and all(any(left) for left in classes.values())
 
 
 def test_hard_documents_have_passages_where_they_repeat(spark):

@@ -11,12 +11,15 @@ paragraph of its own. Words are those of ``[^\\x20\\x09-\\x0D]+``, with A-Z in l
    windows of a text are joined word by word, so that a repeated passage of ``LEAST_WORDS`` or more is reported whole.
 4. Near copies: equal runs of a text and one kept text, in one order, are joined with what lies between them, where the five-word
    shingles of the runs are at a Jaccard similarity of ``SIMILARITY`` in the whole region. Of any two passages of 40 words or more at
-   that similarity some run of ``LEAST_WORDS`` words is equal, so that none is missed altogether.
+   that similarity some run of ``LEAST_WORDS`` words is equal, so that none is missed altogether. What lies between goes only if it is
+   not itself the kept place of a passage that is removed elsewhere: each word of a repeated passage is left in one text at least.
 
 Removed and kept spans of a text may share words, where a kept passage overlaps with one that is removed; those words are removed. A
 window that overlaps with its own first place is kept with it.
 
-Defined results: null and empty texts have no windows. Rows with a null doc_id are left out. Rows that repeat a doc_id and text count
+A passage that repeats inside one document only is not reported. Very long texts are read whole, and their spans found by one task.
+
+Defined results: null and empty texts have no windows; an empty table has no rows. Rows with a null doc_id are left out. Rows that repeat a doc_id and text count
 once; texts of one doc_id are told apart. Columns other than doc_id and text are ignored.
 """
 
@@ -94,24 +97,6 @@ def bit_map(keys: DataFrame) -> tuple[np.ndarray, int]:
     return np.unpackbits(found.view(np.uint8), bitorder="little").astype(bool), 64 - bits
 
 
-def jaccard_forest(classes: list[int], sets: list[set[int]]) -> Iterator[tuple[int, int]]:
-    """Links of a spanning forest at SIMILARITY or more: each paragraph found looks among those left."""
-    left = list(range(len(classes)))
-    while len(left) > 1:
-        queue = [left.pop(0)]
-        while queue and left:
-            x = queue.pop()
-            rest = []
-            for y in left:
-                a, b = sets[x], sets[y]
-                if min(len(a), len(b)) >= SIMILARITY * max(len(a), len(b)) and (both := len(a & b)) >= SIMILARITY * (len(a) + len(b) - both):
-                    yield classes[x], classes[y]
-                    queue.append(y)
-                else:
-                    rest.append(y)
-            left = rest
-
-
 def windows(documents: DataFrame, marks: np.ndarray, shift: int) -> DataFrame:
     """WINDOW for the windows whose key is marked; start and finish in characters."""
     shared = documents.sparkSession.sparkContext.broadcast(marks)  # 2 ** MAP_BITS at most
@@ -138,9 +123,20 @@ def windows(documents: DataFrame, marks: np.ndarray, shift: int) -> DataFrame:
     return documents.mapInPandas(scan, WINDOW)
 
 
-def bridges(first: np.ndarray, after: np.ndarray, kept: np.ndarray) -> list[tuple[int, int]]:
+def needed_words(stay: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """Running count, by word, of the words that only windows that stay have: of some passage this is the place that is kept."""
+    n = int(max(stay.max(initial=0), gone.max(initial=0))) + LEAST_WORDS
+
+    def covered(at: np.ndarray) -> np.ndarray:
+        steps = np.bincount(at, minlength=n + 1) - np.bincount(at + LEAST_WORDS, minlength=n + 1)
+        return np.cumsum(steps)[:n] > 0
+
+    return np.concatenate([[0], np.cumsum(covered(stay) & ~covered(gone))])
+
+
+def bridges(first: np.ndarray, after: np.ndarray, kept: np.ndarray, needed: np.ndarray) -> list[tuple[int, int]]:
     """Regions (first word, word after) that join runs of a text with equal ones of a kept text, from ``kept`` on, in the order of
-    both: the largest ones in which the runs' shingles are at SIMILARITY."""
+    both: the largest ones in which the runs' shingles are at SIMILARITY and no word is needed."""
     found = []
     order = np.argsort(first, kind="stable")
     first, after, kept = first[order], after[order], kept[order]
@@ -155,7 +151,8 @@ def bridges(first: np.ndarray, after: np.ndarray, kept: np.ndarray) -> list[tupl
         for i in range(low, high - 1):
             both = total[i + 2 : high + 1] - total[i]
             sizes = after[i + 1 : high] - first[i] + end[i + 1 : high] - kept[i] - 2 * (SHINGLE - 1)
-            fit = np.flatnonzero(both >= SIMILARITY * (sizes - both))
+            free = needed[after[i + 1 : high]] == needed[first[i]]
+            fit = np.flatnonzero((both >= SIMILARITY * (sizes - both)) & free)
             if len(fit):
                 found.append((int(first[i]), int(after[i + 1 + fit[-1]])))
     return found
@@ -166,6 +163,7 @@ def spans_of(rows: dict[str, np.ndarray]) -> Iterator[tuple]:
     doc_id, copy, place = rows["doc_id"][0], rows["copy"][0], rows["place"]
     own = (rows["kept_doc_id"] == doc_id) & (rows["kept_copy"] == copy)
     stays = own & (place - rows["kept_place"] < LEAST_WORDS)
+    needed = needed_words(place[stays], place[~stays])
     for removed in (False, True):
         at = np.flatnonzero(stays != removed)
         if not len(at):
@@ -182,7 +180,7 @@ def spans_of(rows: dict[str, np.ndarray]) -> Iterator[tuple]:
             for group in np.flatnonzero(np.bincount(which.ravel()) > 1):
                 b = begin[which.ravel() == group]
                 e = last[which.ravel() == group]
-                for x, y in bridges(first[b], after[e], kept_place[b]):
+                for x, y in bridges(first[b], after[e], kept_place[b], needed):
                     low &= (first <= x) | (first >= y)
         begin = np.flatnonzero(low)
         last = np.append(begin[1:], len(at)) - 1
