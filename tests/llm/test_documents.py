@@ -474,7 +474,7 @@ def check_nearest(index, texts):
             assert index.nearest(at, weights) == []
 
 
-@pytest.mark.parametrize("share", [0.05, 0.25, 2.0])
+@pytest.mark.parametrize("share", [0.05, 0.2, 2.0])
 def test_nearest_are_exact(spark, monkeypatch, share):
     """Against all cosines, with many, some and no common terms."""
     monkeypatch.setattr(toxicity, "COMMON_SHARE", share)
@@ -490,7 +490,7 @@ def test_few_blocks_are_opened():
     sf = "/root/testdata/sf0.1"
     documents = pq.read_table(f"{sf}/documents.parquet").to_pandas()
     known = documents.merge(pq.read_table(f"{sf}/labels.parquet").to_pandas(), on="doc_id")
-    known = known[known["toxic"].notna()].drop_duplicates("text").iloc[:1500]
+    known = known[known["toxic"].notna()].drop_duplicates("text")
     terms = [toxicity.terms_of(t) for t in known["text"]]
     first = np.concatenate([[0], np.cumsum([len(h) for h, _ in terms])])
     index = toxicity.Index(

@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -42,11 +42,11 @@ TELLING_TERMS, K, BLOCK = 512, 15, 32
 TELLING = 8.0
 STEM, LEVELS = 7, (2, 3, 4, 6, 8)
 #: A term is common if so large a part of the examples have it; at most so many terms are.
-COMMON_SHARE, COMMON_TERMS = 0.25, 1024
+COMMON_SHARE, COMMON_TERMS = 0.2, 1024
 #: Blocks that are opened first; each further time twice as many.
-OPENED_FIRST = 2
-#: Words whose terms a task remembers.
-CACHED_WORDS = 200_000
+OPENED_FIRST = 8
+#: Tokens whose terms a task remembers; then it begins anew.
+CACHED_TOKENS = 200_000
 #: What a telling term needs: labelled documents that hold it, their share of one class, how many times the
 #: share of the other class that is, and the chi-square of both.
 LEAST_DOCUMENTS, LEAST_SHARE, LEAST_LIFT, LEAST_CHI = 3, 0.02, 8.0, 30.0
@@ -198,25 +198,38 @@ class Index:
         found = np.flatnonzero(fit)
         return np.sort(found[np.argsort(-chi[found], kind="stable")][:TELLING_TERMS])
 
-    def _numbers(self, word: str) -> tuple[int, ...]:
-        """The numbers of a word's terms that are in the index."""
-        found = self.known.get(word)
-        if found is None:
-            own = np.array(hashes_of(word), np.uint64)
+    def _numbers(self, tokens: Iterable[str]) -> dict[str, tuple[int, ...]]:
+        """The numbers of the tokens' terms that are in the index; all new ones are looked up at once."""
+        new = [t for t in tokens if t not in self.known]
+        if new:
+            if len(self.known) > CACHED_TOKENS:
+                self.known.clear()
+                new = list(tokens)
+            hashes = [[h for word in WORD.findall(t) for h in hashes_of(word)] for t in new]
+            own = np.array([h for hs in hashes for h in hs], np.uint64)
             at = np.minimum(np.searchsorted(self.hashes, own), max(len(self.hashes) - 1, 0))
-            found = tuple(at[self.hashes[at] == own].tolist()) if len(self.hashes) else ()
-            if len(self.known) < CACHED_WORDS:
-                self.known[word] = found
-        return found
+            numbers = np.where(self.hashes[at] == own, at, -1).tolist() if len(self.hashes) else [-1] * len(own)
+            place = 0
+            for token, hs in zip(new, hashes, strict=True):
+                self.known[token] = tuple(n for n in numbers[place : place + len(hs)] if n >= 0)
+                place += len(hs)
+        return self.known
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(terms, weights) of a text at length 1, over the terms of the index."""
-        counts: dict[int, int] = {}
-        for word, n in word_counts(text).items():
-            for t in self._numbers(word):
-                counts[t] = counts.get(t, 0) + n
-        levels = [level for t in counts.keys() & self.level.keys() for level, least in zip(self.level[t], LEVELS, strict=True) if counts[t] >= least]
-        at = np.array([*counts, *levels], np.int64)
+        # What stands between white space, counted; only tokens that are new are taken apart into words.
+        counted = Counter((text or "").lower().split())
+        known = self._numbers(counted)
+        terms = {t for token in counted for t in known[token]}
+        levels: list[int] = []
+        if telling := terms & self.level.keys():
+            counts = Counter()
+            for token, n in counted.items():
+                for t in known[token]:
+                    if t in telling:
+                        counts[t] += n
+            levels = [level for t, n in counts.items() for level, least in zip(self.level[t], LEVELS, strict=True) if n >= least]
+        at = np.array([*terms, *levels], np.int64)
         if not len(at):
             return at, np.zeros(0)
         weights = self.idf[at]
