@@ -41,14 +41,20 @@ def test_columns_and_types(spark):
     assert out.count() == 0
 
 
-def test_window_order_and_padding(spark):
+def test_order_over_days_types_and_missing_items(spark):
+    """Newest first over three days; carts before clicks of one time; a null item counts; the day itself and what is too old do not."""
     actions = [
-        (4, 71, 2, at("2025-08-12 18:45")),
-        (4, 72, 1, at("2025-08-14 06:15")),
-        (4, 73, 3, at("2025-08-15 00:00")),  # same day
-        (4, 74, 1, at("2025-07-30 12:00")),  # too old
+        (8, 310, 1, at("2024-02-29 23:59:59")),
+        (8, 322, 2, at("2024-03-01 07:30")),
+        (8, 305, 1, at("2024-03-01 07:30")),
+        (8, None, 1, at("2024-02-28 12:00")),
+        (8, 377, 2, at("2024-02-26 00:00")),  # the oldest day that counts
+        (8, 378, 3, at("2024-02-25 23:59")),
+        (8, 399, 2, at("2024-03-02 00:00")),
     ]
-    assert built(spark, actions, [(DAY, 4)], 3, 7) == {(DAY, 4): ([72, 71, 0], [1, 2, 0])}
+    assert built(spark, actions, [(date(2024, 3, 2), 8)], 6, 5) == {
+        (date(2024, 3, 2), 8): ([322, 305, 310, None, 377, 0], [2, 1, 1, 1, 2, 0])
+    }
 
 
 @pytest.mark.parametrize(

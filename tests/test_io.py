@@ -156,8 +156,8 @@ def test_day_filter_prunes_partitions(spark, tmp_path):
 def test_quarantine_survives_the_run(spark, tmp_path):
     out = str(tmp_path / "out")
     bad = spark.createDataFrame([("x",)], "raw string")
-    write_quarantine(bad, out, "clicks")
-    write_quarantine(None, out, "orders")
+    write_quarantine(bad, out, "clicks", "r1")
+    write_quarantine(None, out, "orders", "r1")
     write_parquet(run(spark, []), out)
-    assert spark.read.json(quarantine_path(out, "clicks")).first().raw == "x"
-    assert not (tmp_path / "out_quarantine" / "orders").exists()
+    assert spark.read.json(quarantine_path(out, "clicks", "r1")).first().raw == "x"
+    assert not (tmp_path / "out_quarantine" / "r1" / "orders").exists()

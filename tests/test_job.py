@@ -8,6 +8,7 @@ from trailpack.operators.quality import gate_counters, quality_counters
 from trailpack.plans import job
 from trailpack.plans.job import FEEDS, JobConfig, LeakError, parse_args, run_job
 from trailpack.plans.training import build_training_inputs
+from trailpack.sinks import writers
 from trailpack.sinks.writers import new_run_dir, quarantine_path, read_run
 from trailpack.schemas import exploded_output_schema
 from trailpack.sources.demo import demo_inputs
@@ -110,7 +111,7 @@ def test_days_and_times_that_do_not_parse_are_rejected(spark, tmp_path, layout):
     report = run_job(spark, JobConfig(out=str(tmp_path / "out"), paths=paths, layout=layout))
     assert report.rejects == {"impressions": 1, "clicks": 1, "atc": 1, "orders": 1}
     assert (report.rows, report.quality["undated_actions"]) == (1, 1)
-    kept = spark.read.json(quarantine_path(str(tmp_path / "out"), "impressions")).first()
+    kept = spark.read.json(quarantine_path(str(tmp_path / "out"), "impressions", report.run)).first()
     assert (kept["dt"], kept["_bad_fields"]) == ("05/01/2024", ["dt"])
     with pytest.raises(job.RejectError, match="rejected"):
         run_job(spark, JobConfig(out=str(tmp_path / "strict"), paths=paths, layout=layout, strict=True))
@@ -121,8 +122,12 @@ def test_rejects_of_an_earlier_run_do_not_stay(spark, tmp_path):
     config = write_small(tmp_path, [{"customer_id": "x", "item_id": 9, "click_time": "2025-08-15 10:00:00"}])
     assert run_job(spark, config).rejects["clicks"] == 1
     (tmp_path / "in" / "clicks" / "a.json").write_text("")
+    report = run_job(spark, config)
+    assert report.rejects["clicks"] == 0
+    assert spark.read.text(quarantine_path(str(tmp_path / "out"), "clicks", report.run)).count() == 0
     assert run_job(spark, config).rejects["clicks"] == 0
-    assert list((tmp_path / "out_quarantine" / "clicks").glob("part-*")) == [] or spark.read.text(quarantine_path(str(tmp_path / "out"), "clicks")).count() == 0
+    # The current run and the one before it.
+    assert len(list((tmp_path / "out_quarantine").iterdir())) == len(list((tmp_path / "out" / "_runs").iterdir())) == 2
 
 
 def test_feeds_from_files_equal_the_library_call(spark, data, tmp_path):
@@ -136,7 +141,7 @@ def test_feeds_from_files_equal_the_library_call(spark, data, tmp_path):
         feeds["clicks"], feeds["atc"], feeds["orders"], max_actions=6, lookback_days=5,
     )
     assert bag(read_run(spark, str(tmp_path / "out"))) == bag(want)
-    assert len(list((tmp_path / "out").glob("as_of_date=*"))) == 14
+    assert len(list((tmp_path / "out" / "_runs" / report.run).glob("as_of_date=*"))) == 14
 
 
 def test_exploded_parquet_layout(spark, data, tmp_path):
@@ -167,7 +172,7 @@ def test_rejects_are_counted_and_kept(spark, data, tmp_path):
     (tmp_path / "in" / "clicks" / "bad.json").write_text('{"customer_id": "x", "item_id": 1}\n{oops\n')
     report = run_job(spark, external(str(tmp_path / "in"), tmp_path))
     assert report.rejects == {"impressions": 0, "clicks": 2, "atc": 0, "orders": 0}
-    assert spark.read.json(quarantine_path(str(tmp_path / "out"), "clicks")).count() == 2
+    assert spark.read.json(quarantine_path(str(tmp_path / "out"), "clicks", report.run)).count() == 2
     assert report.quality["rows"] == sum(feeds[n].count() for n in ("clicks", "atc", "orders"))
 
 
@@ -247,6 +252,51 @@ def test_a_leak_is_found_before_anything_is_published(spark, tmp_path, monkeypat
     assert (report.leaks, report.kept_outside_window) == (4, 4)
 
 
+@pytest.mark.parametrize("step", ["rename", "_replace_pointer", "_forget"])
+def test_a_run_that_fails_while_it_is_published_loses_none(spark, tmp_path, monkeypatch, step):
+    """Whatever step fails, readers find a whole run: the old one until the pointer has been replaced, the new one from then on."""
+    out = str(tmp_path / "out")
+    first = run_job(spark, demo(tmp_path, train_days=1))
+    before = bag(read_run(spark, out))
+
+    def crash(*_):
+        raise OSError("gone")
+
+    if step == "rename":
+        # The move of the written run fails.
+        monkeypatch.setattr(writers, "run_path", lambda out_dir, run: f"{out_dir}/_runs/{run}/no/such")
+        monkeypatch.setattr(job, "publish", lambda *a: crash())
+    else:
+        monkeypatch.setattr(writers, step, crash)
+    with pytest.raises(OSError, match="gone"):
+        run_job(spark, demo(tmp_path))
+    monkeypatch.undo()
+    current = writers.current_run(spark, out)
+    if step == "_forget":
+        assert current != first.run and len(bag(read_run(spark, out))) == 4
+    else:
+        assert current == first.run and bag(read_run(spark, out)) == before
+    assert run_job(spark, demo(tmp_path)).rows == 4 and len(bag(read_run(spark, out))) == 4
+    assert list(tmp_path.glob("out_unpublished*")) == [] and list((tmp_path / "out").glob("_CURRENT?*")) == []
+
+
+def test_a_reader_that_has_begun_still_reads_the_run_before(spark, tmp_path):
+    run_job(spark, demo(tmp_path, train_days=1))
+    begun = read_run(spark, str(tmp_path / "out"))
+    run_job(spark, demo(tmp_path))
+    assert begun.count() == 3 and read_run(spark, str(tmp_path / "out")).count() == 4
+    assert read_run(spark, str(tmp_path / "nothing" / "..")).schema  # a plain folder is read as it is
+
+
+def test_impressions_without_a_day_are_counted(spark, tmp_path):
+    config = write_small(tmp_path, [])
+    more = [{"dt": None, "ranking_id": "n", "customer_id": 1, "impressions": []}, {"ranking_id": "m", "customer_id": None, "impressions": None}]
+    with (tmp_path / "in" / "impressions" / "a.json").open("a") as file:
+        file.write("\n" + "\n".join(map(json.dumps, more)))
+    report = run_job(spark, config)
+    assert (report.rows, report.undated_impressions, report.rejects["impressions"]) == (1, 2, 0)
+
+
 def test_default_gate_shuffles_no_actions(spark):
     actions = build_actions_union(*(demo_inputs(spark, TODAY)[n] for n in FEEDS[1:]))
     plan = gate_counters(actions)._jdf.queryExecution().executedPlan().toString()

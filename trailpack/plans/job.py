@@ -25,7 +25,7 @@ from ..schemas import (
     DEFAULT_TRAIN_DAYS,
     FEED_SCHEMAS,
 )
-from ..sinks.writers import new_run_dir, publish, remove, write_parquet, write_quarantine
+from ..sinks.writers import new_run_dir, publish, quarantine_path, remove, write_parquet, write_quarantine
 from ..sources.demo import demo_inputs
 from ..sources.readers import BAD_FIELDS, FEED_TIMES, LAYOUTS, flag_times, good_rows, read_feed, read_flagged, rejected_rows
 from .training import finish_inputs, unpadded_inputs
@@ -79,6 +79,7 @@ class JobConfig:
 
 @dataclass
 class JobReport:
+    run: str = ""
     rows: int = 0
     records: int = 0
     first_day: date | None = None
@@ -88,6 +89,8 @@ class JobReport:
     upstream_same_day: bool | None = None
     quality: dict[str, int | None] | None = None
     rejects: dict[str, int] = field(default_factory=dict)
+    # Impressions without a day are in no train window.
+    undated_impressions: int = 0
     warnings: list[str] = field(default_factory=list)
 
 
@@ -134,7 +137,7 @@ def _load_json(
         write_parquet(staged, f"{staging}/{name}", partition_by=["rejected"])
         back = spark.read.schema(staged.schema).parquet(f"{staging}/{name}")
         report.rejects[name] = counts.get.get("rejected", 0)
-        write_quarantine(rejected_rows(back.where("rejected")), config.out, name)
+        write_quarantine(rejected_rows(back.where("rejected")), config.out, name, report.run)
         loaded[name] = back.where("NOT rejected").drop("rejected", "_raw", BAD_FIELDS)
     return loaded
 
@@ -147,7 +150,7 @@ def _load_parquet(spark: SparkSession, config: JobConfig, report: JobReport) ->
         flagged = flag_times(feed, FEED_TIMES[name])
         rejected = rejected_rows(flagged)
         report.rejects[name] = rejected.count()
-        write_quarantine(rejected, config.out, name)
+        write_quarantine(rejected, config.out, name, report.run)
         loaded[name] = _TYPED[name](good_rows(flagged))
     return loaded
 
@@ -159,7 +162,7 @@ def _load(
         return {n: _TYPED[n](feed) for n, feed in demo_inputs(spark, config.demo_day).items()}
     load = _load_parquet(spark, config, report) if config.layout == "parquet" else _load_json(spark, config, report, staging)
     if config.strict and any(report.rejects.values()):
-        raise RejectError(f"rejected records: {report.rejects}")
+        raise RejectError(f"rejected records: {report.rejects}, in {quarantine_path(config.out, '', report.run)}")
     return load
 
 
@@ -222,19 +225,20 @@ def _write(
 
 
 def run_job(spark: SparkSession, config: JobConfig) -> JobReport:
-    """The run is written next to ``out`` and takes its place only when all checks have passed."""
+    """The run is written next to ``out`` and becomes its current one only when all checks have passed."""
     configure(spark, config)
-    report = JobReport()
+    report = JobReport(run=uuid.uuid4().hex)
     out = config.out.rstrip("/")
     staging = config.staging.rstrip("/") if config.staging else new_run_dir(spark, otherwise=f"{out}_staging")
-    unpublished = f"{out}_unpublished-{uuid.uuid4().hex}"
+    unpublished = f"{out}_unpublished-{report.run}"
     try:
         feeds = _load(spark, config, report, staging)
+        report.undated_impressions = feeds["impressions"].where("as_of_date IS NULL").count()
         impressions = slice_impressions_last_n_days(feeds["impressions"], config.train_days)
         actions = feeds["clicks"].unionByName(feeds["atc"]).unionByName(feeds["orders"])
         _check(config, report, actions, impressions)
         _write(config, report, impressions, actions, unpublished)
-        publish(spark, unpublished, out)
+        publish(spark, unpublished, out, report.run)
     finally:
         remove(spark, unpublished)
         if not config.staging and not config.keep_staging:

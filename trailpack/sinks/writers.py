@@ -1,4 +1,9 @@
-"""Parquet runs and rejected records."""
+"""Parquet runs and rejected records.
+
+A published run is a folder of its own below ``<out>/_runs``; the small file ``<out>/_CURRENT`` names the one that counts. A new run is
+moved there whole and then named, by one atomic replacement, so whoever reads finds the old run or the new one, whatever fails in
+between. The run before it stays for those who have begun to read it.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +15,9 @@ from pyspark.sql import types as T
 
 from ..schemas import training_output_schema
 
+# Names that Spark's readers pass over.
+RUNS, POINTER = "_runs", "_CURRENT"
+
 
 def write_parquet(
     df: DataFrame,
@@ -31,22 +39,38 @@ def write_parquet(
     df.write.mode(mode).option("compression", compression).partitionBy(*keys).parquet(out_path)
 
 
+def current_run(spark: SparkSession, out_dir: str) -> str | None:
+    """The number of the published run, None where nothing has been published."""
+    files, at = _file_system(spark, f"{out_dir.rstrip('/')}/{POINTER}")
+    if not files.exists(at):
+        return None
+    opened = files.open(at)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(opened, "UTF-8").strip()
+    finally:
+        opened.close()
+
+
+def run_path(out_dir: str, run: str) -> str:
+    return f"{out_dir.rstrip('/')}/{RUNS}/{run}"
+
+
 def read_run(
     spark: SparkSession, path: str, schema: T.StructType = training_output_schema
 ) -> DataFrame:
-    """A written run. With the schema given, an empty run reads as an empty table."""
-    return spark.read.schema(schema).parquet(path)
+    """A written run, or the one published there. With the schema given, an empty run reads as an empty table."""
+    run = current_run(spark, path)
+    return spark.read.schema(schema).parquet(run_path(path, run) if run else path)
 
 
-def quarantine_path(out_dir: str, name: str) -> str:
-    """Next to the run, not inside it: overwriting the run must not remove its rejects."""
-    return f"{out_dir.rstrip('/')}_quarantine/{name}"
+def quarantine_path(out_dir: str, name: str, run: str) -> str:
+    """Next to the runs, not inside them: a run that fails leaves its rejects, and touches no other's."""
+    return f"{out_dir.rstrip('/')}_quarantine/{run}/{name}"
 
 
-def write_quarantine(df: DataFrame | None, out_dir: str, name: str) -> None:
-    """Replaces what an earlier run has left there, also with nothing."""
+def write_quarantine(df: DataFrame | None, out_dir: str, name: str, run: str) -> None:
     if df is not None:
-        df.write.mode("overwrite").json(quarantine_path(out_dir, name))
+        df.write.mode("overwrite").json(quarantine_path(out_dir, name, run))
 
 
 def new_run_dir(spark: SparkSession, otherwise: str | None) -> str:
@@ -82,12 +106,36 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(at, True)
 
 
-def publish(spark: SparkSession, written: str, out_dir: str) -> None:
-    """Put a run that was written elsewhere on the same file system in the place of ``out_dir``."""
+def _replace_pointer(spark: SparkSession, out_dir: str, run: str) -> None:
+    """One rename that puts the new pointer in the place of the old."""
+    jvm = spark.sparkContext._jvm
+    files, new = _file_system(spark, f"{out_dir}/{POINTER}.{run}")
+    written = files.create(new, True)
+    written.write(bytearray(f"{run}\n".encode()))
+    written.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(context.makeQualified(new), context.makeQualified(_file_system(spark, f"{out_dir}/{POINTER}")[1]), overwrite)
+
+
+def publish(spark: SparkSession, written: str, out_dir: str, run: str) -> None:
+    """Make a run that was written elsewhere on the same file system the current one of ``out_dir``."""
+    out_dir = out_dir.rstrip("/")
+    before = current_run(spark, out_dir)
     files, source = _file_system(spark, written)
-    _, target = _file_system(spark, out_dir)
-    files.delete(target, True)
-    if target.getParent():
-        files.mkdirs(target.getParent())
+    _, target = _file_system(spark, run_path(out_dir, run))
+    files.mkdirs(target.getParent())
     if not files.rename(source, target):
-        raise OSError(f"could not move {written} to {out_dir}")
+        raise OSError(f"could not move {written} to {target}")
+    _replace_pointer(spark, out_dir, run)
+    _forget(spark, out_dir, {run, before})
+
+
+def _forget(spark: SparkSession, out_dir: str, kept: set[str | None]) -> None:
+    """Remove all runs and rejects but those of ``kept``."""
+    for folder in (f"{out_dir}/{RUNS}", f"{out_dir}_quarantine"):
+        files, at = _file_system(spark, folder)
+        for entry in files.listStatus(at) if files.exists(at) else ():
+            if entry.getPath().getName() not in kept:
+                files.delete(entry.getPath(), True)

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.casts import day_of_text, lenient_cast
 from ..schemas import atc_schema, clicks_schema, impressions_schema, orders_schema
+from .arrays import array_elements
 
 LAYOUTS = ("lines", "array", "parquet")
 CORRUPT = "_corrupt_record"
@@ -35,11 +36,6 @@ FEED_TIMES = {
     "orders": ("order_date",),
 }
 
-# Two values side by side without a comma: a bracket closes and another opens. Text in quotes is cut out first.
-_QUOTED = r'"(?:[^"\\]++|\\.)*+"'
-_SIDE_BY_SIDE = r"[}\]]\s*[{\[]"
-
-
 def _as_text(dtype: T.DataType) -> T.DataType:
     """The same nesting with every leaf a string."""
     if isinstance(dtype, T.StructType):
@@ -163,26 +159,16 @@ def read_flagged(
     times: tuple[str, ...] = (),
 ) -> DataFrame:
     """A JSON feed with its rejects still in place: one pass for whoever stages both."""
-    if layout == "array":
-        check_array_files(spark, path)
     text_schema = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
-    raw = (
-        spark.read.schema(text_schema.add(corrupt_col, T.StringType()))
-        .option("mode", "PERMISSIVE")
-        .option("multiLine", layout == "array")
-        .option("columnNameOfCorruptRecord", corrupt_col)
-        .json(path)
-    )
+    raw = _records(spark, path, text_schema.add(corrupt_col, T.StringType()), layout, corrupt_col)
     return flag_rejects(raw, schema, corrupt_col, times)
 
 
-def check_array_files(spark: SparkSession, path: str | list[str]) -> None:
-    """Raise if a file holds more than one JSON value: read as one document, it would give its first value only."""
-    files = spark.read.text(path, wholetext=True)
-    bare = F.regexp_replace("value", _QUOTED, "")
-    several = files.where(F.regexp_like(bare, F.lit(_SIDE_BY_SIDE))).select("_metadata.file_path").first()
-    if several:
-        raise ValueError(f"{several[0]} holds several JSON values; read it with layout='lines'")
+def _records(spark: SparkSession, path: str | list[str], schema: T.StructType, layout: str, corrupt_col: str | None) -> DataFrame:
+    options = {"mode": "PERMISSIVE"} | ({"columnNameOfCorruptRecord": corrupt_col} if corrupt_col else {})
+    if layout == "array":
+        return array_elements(spark, path).select(F.from_json("value", schema, options).alias("record")).select("record.*")
+    return spark.read.schema(schema).options(**options).json(path)
 
 
 def read_feed(
@@ -196,8 +182,8 @@ def read_feed(
 ) -> tuple[DataFrame, DataFrame | None]:
     """(good, rejected) of a feed; ``rejected`` is None where no split is made.
 
-    ``lines``: one record per line, splittable; a line that is no record is rejected. ``array``: files
-    holding one JSON array (or object) each; a file is one task, and one with more values raises.
+    ``lines``: one record per line; a line that is no record is rejected. ``array``: files holding one JSON
+    array (or object) each; one with more values raises. Both are read by many tasks, whatever a file's size.
     ``parquet``: typed already; rejected are rows whose ``times`` do not parse.
     """
     if layout not in LAYOUTS:
@@ -210,10 +196,7 @@ def read_feed(
         flagged = flag_times(typed, times)
         return good_rows(flagged), rejected_rows(flagged)
     if corrupt_col is None:
-        if layout == "array":
-            check_array_files(spark, path)
-        reader = spark.read.schema(schema).option("mode", "PERMISSIVE")
-        return reader.option("multiLine", layout == "array").json(path), None
+        return _records(spark, path, schema, layout, None), None
     flagged = read_flagged(spark, path, schema, layout=layout, corrupt_col=corrupt_col, times=times)
     return good_rows(flagged), rejected_rows(flagged)
 
