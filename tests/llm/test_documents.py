@@ -170,6 +170,44 @@ def test_quality_outliers(spark):
     assert all(r.kept for r in quality.judge_quality(frame(spark, same)).collect())
 
 
+@pytest.mark.parametrize("n", [1, 3, 45, 60])
+def test_a_small_source_unlike_the_others_is_judged_like_a_large_one(spark, n):
+    """Long words in one source only: it is not measured against the others, whatever its size."""
+    import random
+
+    rng = random.Random(n)
+    extra = rows()[0][5:]
+
+    def text(letters):
+        return " ".join("".join(rng.choice("abcdefgh") for _ in range(letters)) for _ in range(rng.randrange(80, 300)))
+
+    data = [(i, text(5), "en", f"s{i % 3}", 1, *extra) for i in range(300)]
+    data += [(1000 + i, text(12), "en", "own", 1, *extra) for i in range(n)]
+    found = {r.doc_id: r.kept for r in quality.judge_quality(frame(spark, data)).collect()}
+    assert all(found[1000 + i] for i in range(n)) and sum(found[i] for i in range(300)) >= 298
+
+
+def test_estimate_is_near_the_exact_least_determinant(spark):
+    """Against all subsets of small groups: the nearest three quarters that have the least determinant."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(3)
+    p = len(quality.NAMES)
+    data, made = [], {}
+    for g in range(4):
+        good = rng.normal(0, 1, (9, p)) * np.array([2, 1, 0.5, 0.3, 0.3]) + g
+        bad = rng.normal(0, 0.2, (3, p)) + 15 + g
+        made[f"g{g}"] = np.concatenate([good, bad])
+        data += [(f"g{g}", i % quality.PARTS, *map(float, x)) for i, x in enumerate(made[f"g{g}"])]
+    frame_of = spark.createDataFrame(data, "grp string, part int, " + ", ".join(f"{n} double" for n in quality.NAMES))
+    found = {r.grp: r for r in quality.mcd(frame_of).collect()}
+    for g, x in made.items():
+        logdets = {c: np.linalg.slogdet(np.cov(x[list(c)].T, bias=True))[1] for c in combinations(range(12), 9)}
+        best = min(logdets, key=logdets.get)
+        assert best == tuple(range(9))
+        assert np.allclose(found[g].centre, x[list(best)].mean(axis=0))
+
+
 # SimHash -----------------------------------------------------------------------------------------
 
 
