@@ -13,7 +13,7 @@ from hard_cases import frame, rows, text_of, words
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from trailpack.llm import decontamination, line_dedup, packing, quality, simhash, substring_dedup, tokens, toxicity
+from trailpack.llm import decontamination, line_dedup, near_copies, packing, quality, simhash, substring_dedup, tokens, toxicity
 
 STRIP = " \t\n\x0b\x0c\r"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -590,3 +590,68 @@ def test_empty_tables(spark):
     ):
         assert found.collect() == []
     assert decontamination.without_contained(frame(spark), items).count() == len(rows())
+
+
+# Near copies -------------------------------------------------------------------------------------
+
+
+def changed(rng, words, share):
+    """``words`` with some replaced, left out or put in, until their five-word shingles are just at ``share``."""
+    own = list(words)
+    before = {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+    while True:
+        tried = list(own)
+        at = rng.randrange(len(tried))
+        tried[at : at + rng.choice([0, 1, 1])] = [f"new{rng.random()}"] if rng.random() < 0.8 else []
+        after = {tuple(tried[i : i + 5]) for i in range(len(tried) - 4)}
+        if len(before & after) < share * len(before | after):
+            return own
+        own = tried
+
+
+def test_near_copies(spark):
+    """Pairs at a similarity of 0.8 and 0.9: nine in ten are found; what is below is left alone; one of each group stays."""
+    import random
+
+    rng = random.Random(5)
+    vocabulary = [f"w{int(rng.paretovariate(0.7))}" for _ in range(20_000)]
+    data, pairs = [], {}
+    for k in range(240):
+        own = [rng.choice(vocabulary) for _ in range(rng.choice([60, 200, 900]))]
+        share = (0.8, 0.9, 0.5)[k % 3]
+        other = changed(rng, own, 0.8 if share == 0.5 else share)
+        if share == 0.5:
+            other = [w if i % 12 else f"x{rng.random()}" for i, w in enumerate(own)]
+        pairs[k] = share
+        data += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(other).upper())]
+    data += [(1000, None), (1001, ""), (1002, " "), (None, data[0][1]), (1003, "one two"), (1004, "ONE  two")]
+    extra = rows()[0][2:]
+    kept = near_copies.without_near_copies(frame(spark, [(*d, *extra) for d in data]).repartition(5))
+    assert kept.columns == frame(spark).columns
+    ids = [r.doc_id for r in kept.collect()]
+    left = {i for i in ids if i is not None and i < 1000}
+    assert {2 * k for k in pairs} <= left
+    for share in (0.8, 0.9):
+        own = [k for k in pairs if pairs[k] == share]
+        assert sum(2 * k + 1 not in left for k in own) >= 0.9 * len(own), share
+    assert all(2 * k + 1 in left for k in pairs if pairs[k] == 0.5)
+    assert {1000, 1001, 1002, 1003} <= set(ids)
+    assert 1004 not in ids and ids.count(None) == 1
+    assert near_copies.without_near_copies(frame(spark, [])).collect() == []
+
+
+def test_pair_keys_miss_no_five_bits():
+    """Fingerprints at up to five differing bits share a key."""
+    rng = np.random.default_rng(7)
+    prints = rng.integers(0, 2**63, 300).astype(np.uint64)
+    other = prints.copy()
+    for i in range(len(other)):
+        for bit in rng.choice(64, rng.integers(0, 6), replace=False):
+            other[i] ^= np.uint64(1) << np.uint64(bit)
+    sets = [[set() for _ in prints] for _ in range(2)]
+    for k, own in enumerate((prints, other)):
+        for key, at in near_copies.pair_keys(own, 0):
+            for i, value in zip(at.tolist(), key.tolist(), strict=True):
+                sets[k][i].add(value)
+    shared = [bool(a & b) for a, b in zip(*sets, strict=True)]
+    assert all(shared)

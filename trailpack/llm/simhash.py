@@ -195,6 +195,9 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     gone = ids.groupBy("doc_id").agg(F.max(least).alias("stays")).where("not stays").select("doc_id")
     kept = documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
     if documents.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        known = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
+        # Of rows that repeat a doc_id, the one with the least text.
+        row = F.struct(*(F.col(f"`{c}`") for c in kept.columns)).alias("row")
+        known = kept.where("doc_id is not null").select("doc_id", row).groupBy("doc_id")
+        known = known.agg(F.min_by("row", F.struct(F.coalesce("row.text", F.lit("")), F.xxhash64("row"))).alias("row")).select("row.*")
         kept = known.unionByName(kept.where("doc_id is null"))
     return kept
