@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from trailpack.llm.common import stored, with_package
 from trailpack.llm.decontamination import without_contained
 from trailpack.llm.line_dedup import dedup_lines
+from trailpack.llm.near_copies import without_near_copies
 from trailpack.llm.packing import pack
 from trailpack.llm.simhash import one_of_each
 from trailpack.llm.toxicity import without_toxic
@@ -30,8 +31,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return one_of_each(docs)
+    """One document of each group of near-duplicates stays: by SimHash, then by word fingerprints and exact shingles.
+
+    Rows with a null doc_id stay. An empty table stays empty.
+    """
+    return without_near_copies(one_of_each(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
