@@ -3,8 +3,8 @@
 Words are runs of characters other than ``[\\x20\\x09-\\x0D]``. A document that passes the plain limits is rejected if its
 transformed statistics lie too far, by squared Mahalanobis distance, from the centre of its language and source. Centre and
 scatter are the minimum-covariance-determinant estimate (MCD) of that group: from each of several starts (``STARTS``) every step takes the
-``SHARE`` nearest documents of the group and estimates again from those, until no determinant falls any more; after ``TRIED`` steps
-the start of the least determinant goes on alone. Every step is one distributed sum over all documents, of all groups and starts at
+``SHARE`` nearest documents of the group and estimates again from those, which lowers the determinant until it settles; after ``TRIED``
+of ``STEPS`` steps the start of the least determinant goes on alone. Every step is one distributed sum over all documents, of all groups and starts at
 once; a group never comes together in one task.
 
 A group of any size is judged in the same way, by its own centre. Its scatter is drawn towards that of its language over all sources, as
@@ -35,11 +35,9 @@ MIN_WORDS, MAX_REPEATED = 20, 30
 #: The transformed statistics with the least standard deviation that counts as spread.
 FLOOR = {"log_words": 0.5, "word_length": 0.5, "symbols": 0.1, "dup_lines": 0.05, "repeated": 0.05}
 NAMES = tuple(FLOOR)
-SHARE, STEPS = 0.75, 12
+SHARE, STEPS = 0.75, 10
 #: Starts (by the medians' deviations, and by the floors), and the steps after which the better one of each group goes on.
 STARTS, TRIED = ("deviations", "floors"), 2
-#: A determinant that falls by less than this part has settled.
-SETTLED = 1e-3
 #: Documents that the language's scatter counts for beside the group's own.
 PRIOR = 50
 #: A group's rows meet its estimate in so many parts, so that a large group is not one task's.
@@ -211,11 +209,7 @@ def mcd(rows: DataFrame) -> DataFrame:
     best = now.groupBy("grp").agg(F.min_by(F.struct("centre", "inverse", "scatter", "determinant"), F.struct("determinant", "start")).alias("e"))
     now = stored(best.select("grp", "e.*"))
     for _ in range(STEPS - TRIED):
-        after = stored(step(now, ["grp"]))
-        fell = after.select("grp", F.col("determinant").alias("new")).join(now.select("grp", "determinant"), "grp")
-        now = after
-        if fell.where(F.col("new") < F.col("determinant") - SETTLED).limit(1).count() == 0:
-            break
+        now = stored(step(now, ["grp"]))
     return now
 
 
