@@ -27,6 +27,8 @@ from .simhash import SEGMENTS, majority, near
 SHINGLE, SIMILARITY = 5, 0.8
 #: Fingerprints of a text, and most differing bits of one in a link that is looked at.
 PRINTS, MOST = 3, 10
+#: Rows of a run that counts as short.
+SHORT = 8
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -91,8 +93,14 @@ def link_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def links(key: np.ndarray, row: np.ndarray, prints: np.ndarray) -> pd.DataFrame:
         bounds = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
+        # Most short runs are chance meetings without a link: all their pairs are looked at together, one distance in the run at a time.
+        linked = np.diff(bounds) > SHORT
+        run = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        for step in range(1, min(SHORT, len(key))):
+            close = np.bitwise_count((prints[step:] ^ prints[:-step]).view(np.uint64)) <= MOST
+            linked[run[step:][close & (run[step:] == run[:-step])]] = True
         found = set()
-        for i in np.flatnonzero(np.diff(bounds) > 1):
+        for i in np.flatnonzero(linked):
             own = slice(bounds[i], bounds[i + 1])
             found.update((min(e), max(e)) for e in nearest_tree(row[own], prints[own]))
         return pd.DataFrame(list(found), columns=["a", "b"], dtype="int64")
