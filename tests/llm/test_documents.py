@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -441,6 +442,110 @@ def test_no_word_of_a_repeated_passage_is_lost(spark, seed):
     assert len(classes) > 200 and all(any(left) for left in classes.values())
 
 
+def pasted(seed, n=60):
+    """(doc_id, text) of passages in random surroundings: in one text twice, in texts of one doc_id, in rows that come again, with
+    words and gaps of over 255 characters and some outside ASCII."""
+    import random
+
+    rng = random.Random(seed)
+    pool = [text_of(rng, k, 10**6).split() for k in (20, 21, 30, 45, 80, 300)]
+    pool += [pool[3][:30] + ["ä" * 300, "x" * 700] + pool[4], ["same"] * 600, pool[0] + pool[2]]
+    data = []
+    for i in range(n):
+        own = []
+        for _ in range(rng.randrange(1, 5)):
+            own += text_of(rng, rng.randrange(0, 30), 10**6).split() + rng.choice(pool)
+        gap = " " * rng.choice([1, 1, 1, 300])
+        data.append((i // 2 if i % 3 == 0 else i, "É " + gap.join(own) if i % 4 else " ".join(own).upper()))
+    return data + data[:5] + [(None, data[0][1]), (7, None), (8, "")]
+
+
+def plain_windows(data):
+    """(doc_id, text, place) -> (n_docs, kept (doc_id, place)) of the windows in at least two documents."""
+    n, holders = substring_dedup.LEAST_WORDS, defaultdict(set)
+    for d, t in set(data):
+        own = words(t) if d is not None and t else []
+        for p in range(len(own) - n + 1):
+            holders[tuple(own[p : p + n])].add((d, p, t))
+    return {(d, t, p): (len({h[0] for h in own}), min(own)[:2]) for own in holders.values() if len({h[0] for h in own}) > 1 for d, p, t in own}
+
+
+@pytest.mark.parametrize("of_key", [1, 40, 2_000_000])
+def test_runs_say_of_each_window_what_all_windows_say(spark, monkeypatch, of_key):
+    """Whether a key's runs are gathered by one task or its windows aggregated."""
+    monkeypatch.setattr(substring_dedup, "MOST_OF_KEY", of_key)
+    monkeypatch.setattr(substring_dedup, "ROWS", 7)
+    seen = []
+    monkeypatch.setattr(substring_dedup, "judged_windows", lambda found, real=substring_dedup.judged_windows: seen.append(1) or real(found))
+    data = pasted(3)
+    wanted = plain_windows(data)
+    covered = defaultdict(set)
+    for d, t, p in wanted:
+        covered[d, t].update(range(p, p + substring_dedup.LEAST_WORDS))
+    frame_ = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    found = substring_dedup.repeated_passages(frame_).collect()
+    assert bool(seen) == (of_key < 2_000_000) and len(wanted) > 3000
+    # Of texts that have their doc_id for themselves, the spans are the words of the repeated windows, where they are.
+    texts = defaultdict(set)
+    for d, t in data:
+        texts[d].add(t)
+    alone = {d: next(iter(own)) for d, own in texts.items() if len(own) == 1 and d is not None}
+    for d, t in alone.items():
+        at = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")]
+        spans = [(r.start, r.start + r.n_chars, r.n_words) for r in found if r.doc_id == d]
+        own = {k for k, (a, b) in enumerate(at) if any(x <= a and b <= y for x, y, _ in spans)}
+        assert covered[d, t] <= own and bool(own) == bool(covered[d, t])
+        assert all(sum(x <= a and b <= y for a, b in at) == k and x in dict(at) for x, y, k in spans)
+    most = defaultdict(int)
+    for (d, _, _), (n, _) in wanted.items():
+        most[d] = max(most[d], n)
+    assert {d: max(r.n_docs for r in found if r.doc_id == d) for d in most} == most
+    kept = defaultdict(set)
+    for (d, _, _), (_, (least, _)) in wanted.items():
+        kept[d].add(least)
+    assert all(r.kept_doc_id in kept[r.doc_id] for r in found)
+
+
+def test_gathered_and_aggregated_keys_have_the_same_spans(spark, monkeypatch):
+    frame_ = spark.createDataFrame(pasted(5), "doc_id long, text string").repartition(4)
+    found = bag(substring_dedup.repeated_passages(frame_).collect())
+    monkeypatch.setattr(substring_dedup, "MOST_OF_KEY", 60)
+    monkeypatch.setattr(substring_dedup, "MOST_OF_RUN", 2)
+    assert bag(substring_dedup.repeated_passages(frame_).collect()) == found and len(found) > 100
+
+
+def test_runs_are_judged_alike_wherever_batches_end(monkeypatch):
+    import pyarrow as pa
+
+    hasher, texts, parts = decontamination.Hasher(), [], []
+    for d, t in pasted(6):
+        data = (t or "").encode().lower()
+        own, starts, ends = hasher.words(data)
+        keys, hashes = substring_dedup.window_keys(own)
+        if d is not None and len(keys):
+            texts.append((d, zlib.crc32(data) - 2**31))
+            parts.append((keys, hashes, np.arange(len(keys)), starts[: len(keys)], ends[substring_dedup.LEAST_WORDS - 1 :]))
+    found = pa.Table.from_batches(substring_dedup.run_batches(texts, parts, substring_dedup.MOST_OF_RUN)).sort_by([("key", "ascending"), ("doc_id", "ascending")])
+    whole = pa.Table.from_batches(substring_dedup.judge(iter(found.combine_chunks().to_batches()))).to_pylist()
+    monkeypatch.setattr(substring_dedup, "ROWS", 2)
+    batches = list(substring_dedup.judge(iter(found.combine_chunks().to_batches(max_chunksize=3))))
+    assert len(batches) > 100 and pa.Table.from_batches(batches).to_pylist() == whole and len(whole) > 300
+
+
+def test_repeated_passages_store_less_than_the_texts(spark, tmp_path, monkeypatch):
+    """No row of each window goes to disk: on 0.51 GB these took more than all the disk there was."""
+    import itertools
+    import random
+
+    rng, number = random.Random(1), itertools.count()
+    monkeypatch.setattr("trailpack.llm.common.scratch_dir", lambda spark: f"{tmp_path}/{next(number)}")
+    pool = [text_of(rng, 400, 10**6) for _ in range(40)]
+    data = [(i, f"{rng.choice(pool)} {text_of(rng, 20, 10**6)}") for i in range(800)]
+    found = substring_dedup.repeated_passages(spark.createDataFrame(data, "doc_id long, text string").repartition(4)).collect()
+    assert sum(r.removed for r in found) >= 760
+    assert 0 < sum(p.stat().st_size for p in tmp_path.rglob("*.parquet")) < 0.2 * sum(len(t) for _, t in data)
+
+
 def test_hard_documents_have_passages_where_they_repeat(spark):
     found = substring_dedup.repeated_passages(frame(spark)).collect()
     shared = {r.doc_id for r in found}
